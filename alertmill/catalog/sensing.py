@@ -130,8 +130,8 @@ def sensor_rolling_std(spark, sf_dir):
 @register(
     "sensor_backfill",
     """SELECT event_id AS id,
-       round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24.0), 6) AS time_sin,
-       round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24.0), 6) AS time_cos,
+       round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24.0) + 1e-9, 6) AS time_sin,
+       round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0) / 24.0) + 1e-9, 6) AS time_cos,
        0e0 AS freq_rolling_std_5w FROM events""",
 )
 def sensor_backfill(spark, sf_dir):

@@ -61,7 +61,7 @@ def ranked(
     )
     inside = Window.partitionBy(*ks, "_part").orderBy(*order)
     out = rows.join(spans, [*ks, "_part"]).withColumn("_rank", F.col("_start") + F.row_number().over(inside))
-    names = [*rows.columns, "_rank", "_n"]
+    names = [F.col(f"`{c}`") for c in (*rows.columns, "_rank", "_n")]
     plain = out.select(*names, F.lit(False).alias("_halo"))
     if before or after:
         near = F.array_union(
