@@ -75,20 +75,29 @@ def sequential_features(
     return filled.drop("_rank", "_n", *[f"_m_{f}" for f in SEQUENTIAL_FEATURES])
 
 
-def _middle(a: Column) -> Column:
-    s = F.array_sort(a)
-    n = F.size(a)
-    return (
-        F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)
-    ) / 2.0
+def _bind(value: Column, then) -> Column:
+    """Evaluate ``value`` once and use it in ``then``."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _at(i: int):
-    return lambda v: v[i]
+def _middle(s: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(s)
+    return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2).cast("int") + 1)) / 2.0
 
 
-def _away_from(mid: Column):
-    return lambda x: F.abs(x - mid)
+def _robust_distance(near: Column, vec: Column, i: int) -> Column:
+    def around(s: Column) -> Column:
+        return _bind(_middle(s), lambda m: _bind(F.sort_array(_away(s, m)), lambda t: gap(m, t)))
+
+    def gap(m: Column, t: Column) -> Column:
+        return F.abs(vec[i] - m) / (_middle(t) + 1e-9)
+
+    return _bind(F.sort_array(F.transform(near, lambda v: v[i])), around)
+
+
+def _away(s: Column, m: Column) -> Column:
+    return F.transform(s, lambda x: F.abs(x - m))
 
 
 def neighbour_deviation(
@@ -105,16 +114,9 @@ def neighbour_deviation(
         F.collect_list("_v").over(w.rowsBetween(-reach, -1)), F.collect_list("_v").over(w.rowsBetween(1, reach))
     )
     rows = core(rows.withColumn("_near", near))
-    for i in range(len(features)):
-        mid = F.col(f"_m{i}")
-        rows = rows.withColumn(f"_a{i}", F.transform("_near", _at(i)))
-        rows = rows.withColumn(f"_m{i}", _middle(F.col(f"_a{i}")))
-        rows = rows.withColumn(f"_d{i}", _middle(F.transform(f"_a{i}", _away_from(mid))) + 1e-9)
-    total = sum((F.abs(F.col("_v")[i] - F.col(f"_m{i}")) / F.col(f"_d{i}") for i in range(len(features))), F.lit(0.0))
+    total = sum((_robust_distance(F.col("_near"), F.col("_v"), i) for i in range(len(features))), F.lit(0.0))
     raw = F.when(F.size("_near") < 2, 0.0).otherwise(total / len(features))
-    scored = rows.withColumn("tas_raw", raw).drop(
-        "_v", "_near", *[f"_{c}{i}" for c in "amd" for i in range(len(features))]
-    )
+    scored = rows.withColumn("tas_raw", raw).drop("_v", "_near")
     stats = scored.groupBy(key).agg(F.avg("tas_raw").alias("_mu"), (F.stddev_pop("tas_raw") + 1e-9).alias("_sd"))
     return scored.join(stats, key).withColumn("tas", (F.col("tas_raw") - F.col("_mu")) / F.col("_sd")).drop("_mu", "_sd")
 
