@@ -151,8 +151,8 @@ roc AS (SELECT dataset, model, p AS threshold, (tpos - cpos + pos) / tpos AS tpr
 
 @register(
     "roc_points",
-    f"""WITH {ROC} SELECT dataset, model, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr
-        FROM roc""",
+    f"""WITH {ROC} SELECT dataset, model, round(threshold + 1e-9, 6) AS threshold, round(tpr + 1e-9, 6) AS tpr,
+        round(fpr + 1e-9, 6) AS fpr FROM roc""",
 )
 def roc_points(spark, sf_dir):
     points = metrics.roc_points(metrics.score_steps(long_scores(spark, sf_dir), MODEL_KEYS), MODEL_KEYS)
@@ -161,8 +161,8 @@ def roc_points(spark, sf_dir):
 
 @register(
     "precision_recall_points",
-    f"""WITH {STEPS} SELECT dataset, model, round(p, 6) AS threshold, round(cneg / (cneg + cpos), 6) AS precision,
-        round(cneg / tneg, 6) AS recall FROM steps""",
+    f"""WITH {STEPS} SELECT dataset, model, round(p + 1e-9, 6) AS threshold,
+        round(cneg / (cneg + cpos) + 1e-9, 6) AS precision, round(cneg / tneg + 1e-9, 6) AS recall FROM steps""",
 )
 def precision_recall_points(spark, sf_dir):
     points = metrics.precision_recall_points(metrics.score_steps(long_scores(spark, sf_dir), MODEL_KEYS), MODEL_KEYS)
@@ -204,7 +204,7 @@ gr AS (SELECT dataset, model, thr, det, fa, na, nn, det / na AS tpr, fa / nn AS
 @register(
     "threshold_grid",
     f"""WITH {_grid_sql(metrics.F1_GRID)} SELECT dataset, model, round(thr, 4) AS threshold, det AS detected,
-        fa AS false_alarms, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(f1, 6) AS f1 FROM gr""",
+        fa AS false_alarms, round(tpr + 1e-9, 6) AS tpr, round(fpr + 1e-9, 6) AS fpr, round(f1 + 1e-9, 6) AS f1 FROM gr""",
 )
 def threshold_grid(spark, sf_dir):
     t = metrics.threshold_table(long_scores(spark, sf_dir), MODEL_KEYS, metrics.F1_GRID)
