@@ -21,18 +21,20 @@ from alertmill.operators.stats import hedges_g
 _POISSON_CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(14)])
 
 
-def poisson_weights(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
-    """Counts (rows x replicates) from 64-bit row keys by integer mixing."""
+def hashed_uniform(keys: np.ndarray, streams: np.ndarray | int) -> np.ndarray:
+    """Uniform draws in [0, 1) from 64-bit keys and stream numbers by integer mixing."""
     with np.errstate(over="ignore"):
-        x = keys.astype(np.uint64)[:, None] + (replicates.astype(np.uint64) + np.uint64(1 + 1_000_003 * seed))[
-            None, :
-        ] * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return np.searchsorted(_POISSON_CDF, (x >> np.uint64(11)).astype(float) * 2.0**-53, side="right").astype(float)
+        x = keys.astype(np.uint64) + np.asarray(streams).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)).astype(float) * 2.0**-53
+
+
+def poisson_weights(keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) counts, rows x replicates, that depend on row key and replicate only."""
+    u = hashed_uniform(keys[:, None], (replicates + 1 + 1_000_003 * seed)[None, :])
+    return np.searchsorted(_POISSON_CDF, u, side="right").astype(float)
 
 
 def replicate_moments(
