@@ -279,7 +279,9 @@ def noise_sweep(spark, sf_dir):
 @register("sequence_noise_sweep")
 def sequence_noise_sweep(spark, sf_dir):
     test = _sequences(spark, sf_dir).filter("split = 'test'")
-    s = robust.sequence_noise_sweep(test, "window_id", _classifier(spark, sf_dir).transform)
+    s = robust.sequence_noise_sweep(
+        test, "window_id", _classifier(spark, sf_dir).transform, len(SELECTED_FEATURES)
+    )
     return rounded(s, ["auc", "recall_normal", "tpr"])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from alertmill.operators import metrics
 from alertmill.operators.stats import summarise_repeats
+from alertmill.session import settle
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -63,25 +64,30 @@ def noise_sweep(
     rows = df.select("*", F.inline(_levels(levels, 1, seed)))
     hit = F.col("level") if everyone else F.when(F.col("y") == 0, F.col("level")).otherwise(0.0)
     noisy = score(with_noise(rows, features, id_col, hit, F.col("seed")))
-    r = metrics.report(noisy, ["level"], threshold)
+    r = metrics.report(settle(noisy.select("level", "y", "p"), "noisy"), ["level"], threshold)
     return r.select("level", "auc", "tpr", "fpr", (F.col("auc") > robust_auc).alias("robust"))
 
 
 def sequence_noise_sweep(
-    sequences: DataFrame, id_col: str, score: Scorer, levels: Sequence[float] = (0.0, 0.05, 0.10), seed: int = 42
+    sequences: DataFrame,
+    id_col: str,
+    score: Scorer,
+    width: int,
+    length: int = 10,
+    levels: Sequence[float] = (0.0, 0.05, 0.10),
+    seed: int = 42,
 ) -> DataFrame:
-    """Noise on every element of every sequence."""
+    """Noise on every element of every sequence of ``length`` vectors of ``width``."""
     rows = sequences.select("*", F.inline(_levels(levels, 1, seed)))
-    noisy = F.transform(
-        "sequence",
-        lambda v, i: F.transform(
-            v, lambda x, j: x * (1.0 + F.col("level") * gaussian(F.col(id_col).cast("string"), i, j, F.lit(seed)))
-        ),
-    )
-    r = metrics.report(score(rows.withColumn("sequence", noisy)), ["level"])
-    return r.select(
-        "level", "auc", "recall_normal", "tpr", (F.col("auc") > 0.85).alias("robust")
-    )
+
+    def element(i: int, j: int) -> Column:
+        draw = gaussian(F.col(id_col), F.lit(i), F.lit(j), F.col("seed"))
+        return F.col("sequence")[i][j] * (1.0 + F.col("level") * draw)
+
+    noisy = F.array(*[F.array(*[element(i, j) for j in range(width)]) for i in range(length)])
+    scored = score(rows.withColumn("sequence", noisy)).select("level", "y", "p")
+    r = metrics.report(settle(scored, "noisy"), ["level"])
+    return r.select("level", "auc", "recall_normal", "tpr", (F.col("auc") > 0.85).alias("robust"))
 
 
 def repeated_noise(
@@ -99,6 +105,7 @@ def repeated_noise(
     noisy = score(with_noise(rows, features, id_col, hit, F.col("seed")))
     per = metrics.auc(noisy, ["level", "repeat"])
     out = per.groupBy("level").agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
+    out = settle(out, "noise_levels")
     clean = out.filter("level = 0").first()["auc_mean"]
     return out.filter("level > 0").withColumn("delta", F.col("auc_mean") - clean)
 
