@@ -403,7 +403,31 @@ def importance_shares(spark, sf_dir):
     return rounded(attribution.importance(c), ["mean_abs", "importance_pct"])
 
 
-@register("feature_table")
+RAW = [f for f in SELECTED_FEATURES if f != "freq_rolling_std_5w"]
+
+FEATURE_SQL = f"""WITH {WINDOWS},
+pl AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY attack_type ORDER BY ws, window_id)
+    <= floor(count(*) OVER (PARTITION BY attack_type) * 0.6) THEN 'train' ELSE 'test' END AS split FROM windows),
+pk AS (SELECT *, row_number() OVER (PARTITION BY attack_type, split ORDER BY md5('42:' || window_id), window_id) AS pick
+  FROM pl),
+least AS (SELECT min(c) AS c FROM (SELECT count(*) AS c FROM pl WHERE split = 'train' AND attack_type <> 'normal'
+  GROUP BY attack_type)),
+bal AS (SELECT pk.* FROM pk, least WHERE split = 'test' OR attack_type = 'normal' OR pick <= least.c),
+q AS (SELECT {", ".join(f"quantile_cont({f}, 0.5) AS m_{f}, quantile_cont({f}, 0.99) AS u_{f}"
+                        for f in [*RAW, "alert_frequency_per_hour"])} FROM bal WHERE split = 'train'),
+cl AS (SELECT split, attack_type, ws, window_id,
+    {", ".join(f"least(coalesce({f}, m_{f}), u_{f}) AS {f}" for f in [*RAW, "alert_frequency_per_hour"])} FROM bal, q),
+ro AS (SELECT *, row_number() OVER o AS rn, count(*) OVER (PARTITION BY attack_type) AS n,
+    CASE WHEN count(*) OVER w >= 3 THEN stddev_samp(alert_frequency_per_hour) OVER w END AS s FROM cl
+  WINDOW o AS (PARTITION BY attack_type ORDER BY ws, window_id),
+         w AS (PARTITION BY attack_type ORDER BY ws, window_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+md AS (SELECT attack_type, quantile_cont(s, 0.5) FILTER (rn <= greatest(1, floor(n * 0.6))) AS ms FROM ro GROUP BY 1)
+SELECT split, ro.attack_type, count(*) AS n, {", ".join(f"round(avg({f}), 4) AS {f}" for f in RAW)},
+  round(avg(coalesce(s, ms, 0)), 4) AS freq_rolling_std_5w
+FROM ro JOIN md ON md.attack_type = ro.attack_type GROUP BY split, ro.attack_type"""
+
+
+@register("feature_table", FEATURE_SQL)
 def feature_table(spark, sf_dir):
     t = features(spark, sf_dir)
     return t.groupBy("split", "attack_type").agg(

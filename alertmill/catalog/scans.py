@@ -362,7 +362,29 @@ def _ordered(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@register("live_ordered_features")
+ORDERED_SQL = f"""WITH {ALERTS},
+wm AS (SELECT max(us // 1000000) FILTER ((us // 1000000 + 1) * 1000000 <= (SELECT max(us) - 600000000 FROM alerts))
+    * 1000000 AS done FROM alerts),
+g AS (SELECT a.*, unnest(range(us // 600000000 - 5, us // 600000000 + 1)) AS w FROM alerts a),
+cl AS (SELECT g.* FROM g, wm WHERE w * 600000000 + 3600000000 <= done),
+d AS (SELECT stream, w, (us - lag(us) OVER (PARTITION BY stream, w ORDER BY us)) / 6e7 AS d FROM cl WHERE emg = 1),
+ds AS (SELECT stream, w, avg(d) AS mean_d, coalesce(var_samp(d), 0) AS var_d FROM d GROUP BY ALL),
+b AS (SELECT stream, w, sum(emg) AS e, min(us) AS first_us FROM cl GROUP BY ALL),
+h AS (SELECT b.stream, b.w, count(*) AS early FROM b JOIN cl ON cl.stream = b.stream AND cl.w = b.w
+  WHERE emg = 1 AND us < first_us + 1800000000 GROUP BY ALL),
+i AS (SELECT b.*, sum(CASE WHEN w - prev <= 12 THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY w) AS island
+  FROM (SELECT *, lag(w) OVER (PARTITION BY stream ORDER BY w) AS prev FROM b) b),
+r AS (SELECT stream, w, e, CASE WHEN count(*) OVER x >= 3 THEN stddev_samp(e) OVER x END AS s FROM i
+  WINDOW x AS (PARTITION BY stream, island ORDER BY w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT r.stream, strftime(make_timestamp(r.w * 600000000), '%Y-%m-%d %H:%M:%S.%f') AS window_start, e::BIGINT AS n_emergency,
+  round(CASE WHEN e >= 2 THEN mean_d END + 1e-9, 6) AS inter_alert_interval_mean,
+  round(CASE WHEN e >= 3 THEN var_d ELSE 0 END + 1e-9, 6) AS inter_interval_variance,
+  round(CASE WHEN e >= 4 THEN e - 2 * coalesce(early, 0) ELSE 0 END + 1e-9, 6) AS alert_rate_acceleration,
+  round(s + 1e-9, 6) AS freq_rolling_std_5w
+FROM r LEFT JOIN ds ON ds.stream = r.stream AND ds.w = r.w LEFT JOIN h ON h.stream = r.stream AND h.w = r.w"""
+
+
+@register("live_ordered_features", ORDERED_SQL)
 def live_ordered_features(spark, sf_dir):
     w = _ordered(spark, sf_dir)
     cols = ["inter_alert_interval_mean", "inter_interval_variance", "alert_rate_acceleration", "freq_rolling_std_5w"]
@@ -371,7 +393,15 @@ def live_ordered_features(spark, sf_dir):
     )
 
 
-@register("live_scoring")
+@register(
+    "live_scoring",
+    f"""WITH {ALERTS},
+        g AS (SELECT a.*, unnest(range(us // 600000000 - 5, us // 600000000 + 1)) AS w FROM alerts a),
+        b AS (SELECT stream, w, sum(emg) AS e FROM g
+          WHERE w * 600000000 + 3600000000 <= (SELECT max(us) - 600000000 FROM alerts) GROUP BY ALL)
+        SELECT stream, CASE WHEN 1e0 / (1 + e) < 0.5 THEN 'DROP' ELSE 'FORWARD' END AS route, count(*) AS n FROM b
+        GROUP BY ALL""",
+)
 def live_scoring(spark, sf_dir):
     """Closed windows scored by a simple rate rule and routed in micro-batches."""
     closed, out = _fresh(spark, "closed"), _fresh(spark, "routed")

@@ -608,13 +608,27 @@ def temperature_fit(spark, sf_dir):
     )
 
 
-@register("platt_calibration")
+@register(
+    "platt_calibration",
+    f"""WITH {SCORES} SELECT round(avg(y), 4) AS mean_p, round(avg(y * (0.7 * p_if + 0.3 * y)), 4) AS mean_px,
+        count(*) AS n FROM scores""",
+)
 def platt_calibration(spark, sf_dir):
+    """At the optimum the calibrated score has the mean of the label, alone and times the raw score."""
+    s = views.scores(spark, sf_dir).withColumn("x", 0.7 * F.col("p_if") + 0.3 * F.col("y"))
+    p = fusion.Platt.fit(s, "x", max_iter=500).apply(F.col("x"))
+    return s.agg(
+        F.round(F.avg(p), 4).alias("mean_p"), F.round(F.avg(p * F.col("x")), 4).alias("mean_px"), F.count(F.lit(1)).alias("n")
+    )
+
+
+@register("platt_error")
+def platt_error(spark, sf_dir):
     s = views.scores(spark, sf_dir)
     model = fusion.Platt.fit(s, "p_if")
     after = metrics.ece(s.withColumn("p", model.apply(F.col("p_if"))), KEYS)
     before = metrics.ece(s, KEYS, "p_if").withColumnRenamed("ece", "ece_before")
-    return after.join(before, KEYS).select("dataset", F.round("ece_before", 5).alias("ece_before"), F.round("ece", 4).alias("ece"))
+    return rounded(after.join(before, KEYS), ["ece", "ece_before"], 4)
 
 
 @register("mixture_threshold")
@@ -703,13 +717,20 @@ def coral_alignment(spark, sf_dir):
     )
 
 
-@register("coral_alignment_packet")
+@register(
+    "coral_alignment_packet",
+    f"""WITH {MATRIX}, z AS (SELECT class, {", ".join(f"({f} - avg({f}) OVER w) / (stddev_pop({f}) OVER w + 1e-9) AS {f}"
+                                                      for f in FEATS)} FROM matrix WINDOW w AS (PARTITION BY true))
+        SELECT {", ".join(f"round(covar_samp({a}, {b}), 3) + 0 AS cov_{a}_{b}" for a, b in COVS)}
+        FROM z WHERE class = 'N'""",
+)
 def coral_alignment_packet(spark, sf_dir):
+    """Covariance of the aligned target, which must be that of the source."""
     m = views.matrix(spark, sf_dir)
     z = prep.Standardiser.fit(m, FEATS).transform(m)
     source, target = z.filter("class = 'N'"), z.filter("class = 'R'")
     out = prep.CoralAligner.fit(source, target, FEATS, packet=True).transform(target, FEATS)
-    return rounded(out.select("id", *FEATS), FEATS)
+    return out.agg(*[(F.round(F.covar_samp(a, b), 3) + 0).alias(f"cov_{a}_{b}") for a, b in COVS])
 
 
 @register(

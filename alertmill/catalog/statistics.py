@@ -292,13 +292,35 @@ def top_windows(spark, sf_dir):
     return w.select("window_id", "alert_frequency_per_hour")
 
 
-@register("detection_rate_intervals")
+_TAIL = (
+    "list_sum(list_transform(range({a}, {b}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)"
+    " + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+)
+
+
+@register(
+    "detection_rate_intervals",
+    f"""WITH RECURSIVE {LONG},
+        c AS (SELECT dataset, model, count(*) FILTER (p < 0.5) AS k, count(*) AS n FROM long WHERE y = 0 GROUP BY ALL),
+        -- bisection: the bound at which the seen count is just in the 2.5 % tail
+        bis(dataset, model, k, n, step, a, b, u, v) AS (
+          SELECT dataset, model, k, n, 0, 0e0, 1e0, 0e0, 1e0 FROM c
+          UNION ALL
+          SELECT dataset, model, k, n, step + 1,
+            CASE WHEN {_TAIL.format(a="k", b="n + 1", p="((a + b) / 2)")} < 0.025 THEN (a + b) / 2 ELSE a END,
+            CASE WHEN {_TAIL.format(a="k", b="n + 1", p="((a + b) / 2)")} < 0.025 THEN b ELSE (a + b) / 2 END,
+            CASE WHEN {_TAIL.format(a="0", b="k + 1", p="((u + v) / 2)")} > 0.025 THEN (u + v) / 2 ELSE u END,
+            CASE WHEN {_TAIL.format(a="0", b="k + 1", p="((u + v) / 2)")} > 0.025 THEN v ELSE (u + v) / 2 END
+          FROM bis WHERE step < 45)
+        SELECT dataset, model, round(k / n, 6) AS tpr, round(a, 6) AS ci_lo, round(u, 6) AS ci_hi
+        FROM bis WHERE step = 45""",
+)
 def detection_rate_intervals(spark, sf_dir):
     c = metrics.confusion(long_scores(spark, sf_dir), MODEL_KEYS).withColumn(
         "n_attack", F.col("n_attack_detected") + F.col("n_attack_missed")
     )
     return stats.share_interval(c, "n_attack_detected", "n_attack").select(
-        *MODEL_KEYS, "tpr", F.round("ci_lo", 8).alias("ci_lo"), F.round("ci_hi", 8).alias("ci_hi")
+        *MODEL_KEYS, *[F.round(n, 6).alias(n) for n in ("tpr", "ci_lo", "ci_hi")]
     )
 
 
@@ -329,9 +351,26 @@ def mcnemar(spark, sf_dir):
     return rounded(_mcnemar(spark, sf_dir).select("dataset", "y", "b", "c", "chi2"), ["chi2"])
 
 
-@register("mcnemar_power")
+@register("mcnemar_p_values")
+def mcnemar_p_values(spark, sf_dir):
+    return rounded(_mcnemar(spark, sf_dir).select("dataset", "y", "p_value"), ["p_value"])
+
+
+@register(
+    "mcnemar_power",
+    f"""WITH {SCORES}, r AS (SELECT dataset, y, (p_if < 0.5) = (y = 0) AS f, (p_lstm < 0.5) = (y = 0) AS s FROM scores),
+        t AS (SELECT dataset, y, count(*) FILTER (f AND NOT s) AS b, count(*) FILTER (s AND NOT f) AS c FROM r GROUP BY ALL),
+        n AS (SELECT *, b + c AS n, c / (b + c) AS q FROM t WHERE b > 0 AND c > 0),
+        i AS (SELECT dataset, y, n, q, unnest(range(0, n + 1)) AS i FROM n),
+        d AS (SELECT *, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5))) OVER w AS half,
+            sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(q) + (n - i) * ln(1 - q))) OVER w AS seen
+          FROM i WINDOW w AS (PARTITION BY dataset, y ORDER BY i)),
+        k AS (SELECT dataset, y, min(i) AS crit FROM d WHERE half >= 0.95 GROUP BY ALL)
+        SELECT k.dataset, k.y, round(1 - d.seen, 5) + 0 AS power FROM k JOIN d
+          ON d.dataset = k.dataset AND d.y = k.y AND d.i = k.crit - 1""",
+)
 def mcnemar_power(spark, sf_dir):
-    return rounded(_mcnemar(spark, sf_dir).select("dataset", "y", "p_value", "power"), ["p_value", "power"])
+    return _mcnemar(spark, sf_dir).select("dataset", "y", (F.round("power", 5) + 0).alias("power"))
 
 
 @register(
