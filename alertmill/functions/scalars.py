@@ -31,8 +31,11 @@ def finite_or_zero(c: Column) -> Column:
     return F.coalesce(finite(c), F.lit(0.0))
 
 
+EMERGENCY = "emergency"
+
+
 def emergency(c: str = "type") -> Column:
-    return F.coalesce(F.col(c) == "emergency", F.lit(False))
+    return F.coalesce(F.col(c) == EMERGENCY, F.lit(False))
 
 
 def day_angle(ts: Column, with_minutes: bool = True) -> Column:

@@ -84,6 +84,7 @@ def _leaf_stats(trees: list[Tree], d: int) -> Callable[[Iterator[pd.DataFrame]],
         n = [np.zeros(len(t.feature), dtype=np.int64) for t in trees]
         lo = [np.full((len(t.feature), d), np.inf) for t in trees]
         hi = [np.full((len(t.feature), d), -np.inf) for t in trees]
+        is_open = [np.isin(np.arange(len(t.feature)), list(t.open)) for t in trees]
         for pdf in batches:
             x, key, fold = pdf[names].to_numpy(dtype=float), pdf["key"].to_numpy(), pdf["fold"].to_numpy()
             for i, t in enumerate(trees):
@@ -91,11 +92,17 @@ def _leaf_stats(trees: list[Tree], d: int) -> Callable[[Iterator[pd.DataFrame]],
                     continue
                 taken = (hashed_uniform(key, t.seed) < t.rate) & (fold != t.skip_fold)
                 part = x[taken]
-                if len(part):
-                    at = t.walk(part)
-                    n[i] += np.bincount(at, minlength=len(n[i]))
-                    np.minimum.at(lo[i], at, part)
-                    np.maximum.at(hi[i], at, part)
+                at = t.walk(part)
+                live = np.flatnonzero(is_open[i][at])
+                order = live[np.argsort(at[live], kind="stable")]
+                if not len(order):
+                    continue
+                part, at = part[order], at[order]
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                nodes = at[starts]
+                n[i][nodes] += np.diff(np.r_[starts, len(at)])
+                lo[i][nodes] = np.minimum(lo[i][nodes], np.minimum.reduceat(part, starts, axis=0))
+                hi[i][nodes] = np.maximum(hi[i][nodes], np.maximum.reduceat(part, starts, axis=0))
         for i, t in enumerate(trees):
             nodes = np.array(sorted(t.open), dtype=np.int64)
             nodes = nodes[n[i][nodes] > 0] if len(nodes) else nodes
@@ -126,7 +133,8 @@ def grow(rows: DataFrame, trees: list[Tree], d: int, max_depth: int) -> list[Tre
                 *[F.min(f"lo{j}").alias(f"lo{j}") for j in range(d)],
                 *[F.max(f"hi{j}").alias(f"hi{j}") for j in range(d)],
             )
-            .toPandas()
+            .toArrow()
+            .to_pandas()
             .sort_values(["tree", "node"])
         )
         lo = stats[[f"lo{j}" for j in range(d)]].to_numpy()

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertmill.functions.scalars import day_angle, emergency, hex_bytes, micros, utf8_hex, whole
+from alertmill.functions.scalars import EMERGENCY, day_angle, emergency, hex_bytes, micros, utf8_hex, whole
 from alertmill.schemas import WINDOW_FEATURES
 from alertmill.session import settle
 
@@ -104,24 +104,36 @@ class _Capture:
 
     def __init__(self, alerts: DataFrame, configs: Sequence[WindowConfig]):
         self.starts = settle(origins(alerts, configs), "origins")
-        us = micros("timestamp")
-        known = [c for c in ("topic", "message") if c in alerts.columns]
-        self.events = (
-            alerts.select("stream", us.alias("us"), emergency().alias("emg"), *known)
-            .join(self.starts.select("stream", "t0", "pane_us"), "stream")
-            .withColumn("rel", F.col("us") - F.col("t0"))
-            .withColumn("pane", whole(F.col("rel"), F.col("pane_us")))
-            .withColumn("sec", whole(F.col("rel"), SECOND))
-        )
+        self.alerts = alerts
         emg = F.col("emg")
-        ticks = self.events.groupBy("stream", "pane", "sec", whole(F.col("us"), BIN).alias("bin5")).agg(
-            F.count(F.lit(1)).alias("n_msg"),
-            F.count_if(emg).alias("n_emg"),
-            F.min("us").alias("first_msg"),
-            F.min(F.when(emg, F.col("us"))).alias("first_emg"),
+        ticks = (
+            self.events(alerts.select("stream", "timestamp", emergency().alias("emg")), "emg")
+            .groupBy("stream", "pane", "sec", whole(F.col("us"), BIN).alias("bin5"))
+            .agg(
+                F.count(F.lit(1)).alias("n_msg"),
+                F.count_if(emg).alias("n_emg"),
+                F.min("us").alias("first_msg"),
+                F.min(F.when(emg, F.col("us"))).alias("first_emg"),
+            )
         )
         self.ticks = settle(ticks, "ticks")
-        self.marks = self.events.filter(emg).groupBy("stream", "pane", "sec", "us").agg(F.count(F.lit(1)).alias("n"))
+        self.marks = (
+            self.events(self.emergencies("timestamp")).groupBy("stream", "pane", "sec", "us").agg(F.count(F.lit(1)).alias("n"))
+        )
+
+    def emergencies(self, *cols: str) -> DataFrame:
+        """Alert rows only; a plain comparison, so that the scan can skip the rest."""
+        return self.alerts.filter(F.col("type") == EMERGENCY).select("stream", *cols)
+
+    def events(self, rows: DataFrame, *cols: str) -> DataFrame:
+        """Rows with their instant, pane and second since the start of the capture."""
+        us = micros("timestamp")
+        rel = F.col("us") - F.col("t0")
+        return (
+            rows.select("stream", us.alias("us"), *cols)
+            .join(self.starts.select("stream", "t0", "pane_us"), "stream")
+            .select("stream", "us", whole(rel, F.col("pane_us")).alias("pane"), whole(rel, SECOND).alias("sec"), *cols)
+        )
 
     def placed(self, df: DataFrame) -> DataFrame:
         return into_windows(df.join(self.starts, "stream"))
@@ -156,7 +168,8 @@ class _Capture:
         )
 
     def topics(self) -> DataFrame:
-        seen = self.events.filter(F.col("emg") & F.col("topic").isNotNull()).select("stream", "pane", "topic").distinct()
+        rows = self.emergencies("timestamp", "topic").filter(F.col("topic").isNotNull())
+        seen = self.events(rows, "topic").select("stream", "pane", "topic").distinct()
         return self.placed(seen).groupBy("stream", "k").agg(F.count_distinct("topic").alias("n_topics"))
 
     def payload(self) -> DataFrame:
@@ -164,8 +177,9 @@ class _Capture:
 
         Every payload brings a leading zero byte; the window then takes one off.
         """
+        rows = self.emergencies("timestamp", "message").filter(F.col("message").isNotNull())
         panes = (
-            self.events.filter(F.col("emg") & F.col("message").isNotNull())
+            self.events(rows, "message")
             .select(
                 "stream", "pane", F.explode(hex_bytes(F.concat(F.lit("00"), utf8_hex(F.col("message"))))).alias("byte")
             )
