@@ -32,11 +32,17 @@ def features(spark, sf_dir):
     )
 
 
+def _scaler(spark, sf_dir):
+    def build():
+        normals = features(spark, sf_dir).filter("split = 'train' AND y = 1")
+        return prep.Standardiser.fit(normals, SELECTED_FEATURES)
+
+    return _once(spark, sf_dir, "scaler", build)
+
+
 def _scaled(spark, sf_dir):
     def build():
-        t = features(spark, sf_dir)
-        scaler = prep.Standardiser.fit(t.filter("split = 'train' AND y = 1"), SELECTED_FEATURES)
-        return settle(scaler.transform(t), "scaled")
+        return settle(_scaler(spark, sf_dir).transform(features(spark, sf_dir)), "scaled")
 
     return _once(spark, sf_dir, "scaled", build)
 
@@ -266,12 +272,14 @@ def _score_rows(spark, sf_dir):
         "forest_bounds",
         lambda: prep.score_bounds(_scored(spark, sf_dir).filter("split = 'train' AND y = 1"), "score"),
     )
-    return lambda df: f.transform(df).withColumn("p", prep.unit_range(F.col("score"), lo, hi))
+    scaler = _scaler(spark, sf_dir)
+    return lambda df: f.transform(scaler.transform(df)).withColumn("p", prep.unit_range(F.col("score"), lo, hi))
 
 
 @register("noise_sweep")
 def noise_sweep(spark, sf_dir):
-    test = _scaled(spark, sf_dir).filter("split = 'test'")
+    """Noise goes onto the raw features; scaling is part of scoring."""
+    test = features(spark, sf_dir).filter("split = 'test'")
     s = robust.noise_sweep(test, SELECTED_FEATURES, "window_id", _score_rows(spark, sf_dir))
     return rounded(s, ["auc", "tpr", "fpr"])
 
@@ -287,14 +295,14 @@ def sequence_noise_sweep(spark, sf_dir):
 
 @register("repeated_noise")
 def repeated_noise(spark, sf_dir):
-    test = _scaled(spark, sf_dir).filter("split = 'test'")
+    test = features(spark, sf_dir).filter("split = 'test'")
     s = robust.repeated_noise(test, SELECTED_FEATURES, "window_id", _score_rows(spark, sf_dir), levels=[0.05, 0.2], repeats=3)
     return rounded(s, ["auc_mean", "auc_std", "delta"])
 
 
 @register("jitter_sweep")
 def jitter_sweep(spark, sf_dir):
-    t = _scaled(spark, sf_dir)
+    t = features(spark, sf_dir)
     s = robust.jitter_sweep(
         t.filter("split = 'test' AND attack_type = 'slow_poisoning'"),
         t.filter("split = 'train' AND y = 1"),

@@ -313,7 +313,8 @@ def projected_features(spark, sf_dir):
 
 
 def _alert_stream(spark, sf_dir):
-    raw = live.read_stream(spark, sf_dir, views.table(spark, sf_dir, "events").schema, "events.parquet")
+    # A pattern, since a stream may not name a single file.
+    raw = live.read_stream(spark, f"{sf_dir}/events.parque[t]", views.table(spark, sf_dir, "events").schema)
     k = F.regexp_extract("props", '"k": (\\d+)', 1).cast("int")
     return raw.select(
         as_utc("ts").alias("timestamp"),
@@ -346,20 +347,18 @@ FROM b JOIN b5 ON b5.stream = b.stream AND b5.w = b.w LEFT JOIN b10 ON b10.strea
 @register("live_windows", LIVE_SQL)
 def live_windows(spark, sf_dir):
     """Windows closed by the watermark once the whole table has streamed through."""
-    out = _fresh(spark, "live")
-    live.run_to_table(live.live_windows(_alert_stream(spark, sf_dir)), out, _fresh(spark, "live-state"))
-    w = spark.read.parquet(out)
+    stream = live.live_windows(_alert_stream(spark, sf_dir))
+    w = live.run_to_table(stream, _fresh(spark, "live"), _fresh(spark, "live-state"))
     w = w.withColumn("window_start", F.date_format("window_start_time", STAMP))
     return rounded(w.select("stream", "window_start", "n_messages", "n_emergency", *LIVE_COLS), LIVE_COLS)
 
 
 def _ordered(spark, sf_dir):
-    cells, out = _fresh(spark, "cells"), _fresh(spark, "ordered")
-    live.run_to_table(live.second_cells(_alert_stream(spark, sf_dir)), cells, _fresh(spark, "cells-state"))
-    schema = spark.read.parquet(cells).schema
-    stream = live.read_stream(spark, cells, schema)
-    live.run_to_table(live.ordered_features(stream), out, _fresh(spark, "ordered-state"))
-    return spark.read.parquet(out)
+    cells = _fresh(spark, "cells")
+    first = live.second_cells(_alert_stream(spark, sf_dir))
+    live.run_to_table(first, cells, _fresh(spark, "cells-state"))
+    second = live.ordered_features(live.read_stream(spark, cells, first.schema))
+    return live.run_to_table(second, _fresh(spark, "ordered"), _fresh(spark, "ordered-state"))
 
 
 ORDERED_SQL = f"""WITH {ALERTS},
@@ -405,8 +404,9 @@ def live_ordered_features(spark, sf_dir):
 def live_scoring(spark, sf_dir):
     """Closed windows scored by a simple rate rule and routed in micro-batches."""
     closed, out = _fresh(spark, "closed"), _fresh(spark, "routed")
-    live.run_to_table(live.live_windows(_alert_stream(spark, sf_dir)), closed, _fresh(spark, "closed-state"))
-    stream = live.read_stream(spark, closed, spark.read.parquet(closed).schema)
+    windows = live.live_windows(_alert_stream(spark, sf_dir))
+    live.run_to_table(windows, closed, _fresh(spark, "closed-state"))
+    stream = live.read_stream(spark, closed, windows.schema)
     rule = lambda df: df.withColumn("p", 1.0 / (1.0 + F.col("n_emergency")))
     live.score_stream(stream, rule, out, _fresh(spark, "routed-state")).start().awaitTermination()
     return spark.read.parquet(out).groupBy("stream", "route").agg(F.count(F.lit(1)).alias("n"))

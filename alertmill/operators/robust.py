@@ -149,10 +149,11 @@ def jitter_sweep(
 ) -> DataFrame:
     """Detection rate under growing timing jitter, with the shift in normal deviations."""
     rows, base = jitter_rows(attacks, normals, id_col, levels, repeats, seed)
-    per = score(rows).groupBy("level", "repeat").agg(
+    kept = rows.withColumn("_gap", F.col(INTERVAL)).withColumn("_var", F.col(VARIANCE))
+    per = score(kept).groupBy("level", "repeat").agg(
         F.avg(F.when(F.col("p") < threshold, 1.0).otherwise(0.0)).alias("tpr"),
-        (F.abs(F.avg(INTERVAL) - base["mi"]) / (base["si"] + 1e-12)).alias("gap_shift"),
-        (F.abs(F.avg(VARIANCE) - base["mv"]) / (base["sv"] + 1e-12)).alias("variance_shift"),
+        (F.abs(F.avg("_gap") - base["mi"]) / (base["si"] + 1e-12)).alias("gap_shift"),
+        (F.abs(F.avg("_var") - base["mv"]) / (base["sv"] + 1e-12)).alias("variance_shift"),
     )
     return per.groupBy("level").agg(
         F.avg("tpr").alias("tpr_mean"),

@@ -21,11 +21,9 @@ from alertmill.operators.windows import BIN, CV_FLOOR, MINUTE
 BINS = 12  # five-minute bins of an hour window
 
 
-def read_stream(spark: SparkSession, path: str, schema, pattern: str | None = None, files: int | None = None) -> DataFrame:
-    """Parquet files of a folder as they arrive."""
+def read_stream(spark: SparkSession, path: str, schema, files: int | None = None) -> DataFrame:
+    """Parquet files of a folder as they arrive, ``files`` at a time."""
     reader = spark.readStream.schema(schema)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
     return reader.parquet(path)
@@ -238,8 +236,8 @@ def score_stream(
     return windows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process what is there and append the results to ``out`` as Parquet."""
+def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Process what is there, append the results to ``out`` as Parquet and read it."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -249,3 +247,4 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)

@@ -67,8 +67,7 @@ def test_ordered_features(spark, files):
     path, pdf, schema = files
     cells, out = scratch_path(spark, "cells"), scratch_path(spark, "ordered")
     live.run_to_table(live.second_cells(live.read_stream(spark, path, schema, files=1)), cells, scratch_path(spark, "s1"))
-    stored = spark.read.parquet(cells)
-    stream = live.read_stream(spark, cells, stored.schema)
+    stream = live.read_stream(spark, cells, spark.read.parquet(cells).schema)
     live.run_to_table(live.ordered_features(stream), out, scratch_path(spark, "s2"))
     got = spark.read.parquet(out).withColumn("s", F.unix_micros("window_start_time")).toPandas()
     assert len(got) > 300 and not got.duplicated(["stream", "s"]).any()
