@@ -465,3 +465,12 @@ def foreign_log_transfer(spark, sf_dir):
     r = pipeline.transfer(views.readings(spark, sf_dir), home, _detection(spark, sf_dir), min_rows=3)
     num = [c for c, t in r.dtypes if t == "double"]
     return rounded(r, num)
+
+
+@register("foreign_log_transfer_parity")
+def foreign_log_transfer_parity(spark, sf_dir):
+    """The variant that reads target labels for orientation and weights."""
+    home = features(spark, sf_dir)
+    r = pipeline.transfer(views.readings(spark, sf_dir), home, _detection(spark, sf_dir), min_rows=3, label_free=False)
+    num = [c for c, t in r.dtypes if t == "double"]
+    return rounded(r, num)

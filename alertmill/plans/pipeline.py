@@ -128,7 +128,8 @@ def detection_report(model: Detection, threshold: float = 0.5) -> DataFrame:
 
 
 # Weights used when target labels must not be read.
-FIXED_WEIGHTS = {"gate": 0.65, "ae": 0.15, "tas": 0.20}
+FIXED_WEIGHTS = {"gate": 0.65, "ae": 0.15, "tas": 0.15, "tgt_if": 0.05}
+COMPONENTS = {"gate": "p_gate", "ae": "p_ae", "tas": "p_tas", "tgt_if": "p_target"}
 
 
 def transfer(
@@ -174,29 +175,43 @@ def transfer(
         one = settle(errors.transform(one), "parts")
         cut = fusion.mixture_threshold(one, "ae_z")
         one = one.withColumn("p_ae", fusion.error_probability(F.col("ae_z"), cut))
-        target = target_forest(mine, feats, "window_id").transform(mine, "target_score")
-        one = one.join(target.select("window_id", "target_score"), "window_id")
-        one = one.select("window_id", "dataset", "y", "attack_type", "p_sequence", "p_ae", "target_score")
+        target = settle(
+            target_forest(mine, feats, "window_id").transform(mine, "target_score").select("window_id", "dataset", "target_score"),
+            "target",
+        )
+        target = target.withColumn("_cut", F.lit(fusion.mixture_threshold(target, "target_score")))
+        target = fusion.target_score(target, ["dataset"], "target_score", "_cut", "p_target")
+        one = one.join(target.select("window_id", "p_target"), "window_id")
+        one = one.select("window_id", "dataset", "y", "attack_type", "p_sequence", "p_ae", "p_target")
         parts = one if parts is None else parts.unionByName(one)
     tas = rolling.neighbour_deviation(z, "dataset", ["window_start_time"], feats)
     tas = tas.select("window_id", fusion.neighbour_probability(F.col("tas")).alias("p_tas"))
     scored = settle(parts.join(p_forest, "window_id").join(tas, "window_id"), "components")
     if not label_free:
-        for p in ("p_forest", "p_sequence", "p_ae", "p_tas"):
+        for p in ("p_forest", "p_sequence", "p_ae", "p_tas", "p_target"):
             scored = settle(fusion.orient(scored, ["dataset"], p), "oriented")
     gated = scored.withColumn("p_gate", model.gate.apply(F.col("p_forest"), F.col("p_sequence")))
-    names = {"gate": "p_gate", "ae": "p_ae", "tas": "p_tas"}
     if label_free:
-        fused = gated.withColumn("p", sum((F.col(c) * FIXED_WEIGHTS[n] for n, c in names.items()), F.lit(0.0)))
+        weights = {n: F.lit(w) for n, w in FIXED_WEIGHTS.items()}
+        fused = gated
     else:
-        best = fusion.best_weights(fusion.weight_table(gated, ["dataset"], names), ["dataset"])
-        fused = gated.join(best, "dataset").withColumn(
-            "p", sum((F.col(c) * F.col(f"w_{n}") for n, c in names.items()), F.lit(0.0))
-        )
+        fused = gated.join(separating_weights(gated), "dataset")
+        weights = {n: F.col(f"w_{n}") for n in COMPONENTS}
+    fused = fused.withColumn("p", sum((F.col(c) * weights[n] for n, c in COMPONENTS.items()), F.lit(0.0)))
     fused = settle(fused, "fused")
     return transfer_report(fused, threshold)
 
 
+def separating_weights(gated: DataFrame) -> DataFrame:
+    """Weights per dataset by class separation; the target forest only joins where it separates. Reads labels."""
+    use = fusion.separation(gated, ["dataset"], "p_target").select("dataset", "enabled")
+    rows = gated.join(use, "dataset")
+    three = {n: c for n, c in COMPONENTS.items() if n != "tgt_if"}
+    with_target = fusion.best_weights(fusion.weight_table(rows.filter("enabled"), ["dataset"], COMPONENTS), ["dataset"])
+    without = fusion.best_weights(fusion.weight_table(rows.filter("NOT enabled"), ["dataset"], three), ["dataset"])
+    return with_target.unionByName(without.withColumn("w_tgt_if", F.lit(0.0)))
+
+
 def transfer_report(fused: DataFrame, threshold: float = 0.55) -> DataFrame:
     """Fixed, adaptive, best and limited-alarm operating points per dataset, and the verdict."""
     k = ["dataset"]
