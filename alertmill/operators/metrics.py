@@ -6,6 +6,7 @@ for a single group) and reduce the rows to distinct scores or bins first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -206,6 +207,23 @@ def grid(start: float, stop: float, step: float) -> list[float]:
     return [float(t) for t in np.arange(start, stop, step)]
 
 
+def _count_at_or_below(p: Column, ts: Sequence[float]) -> Column:
+    """How many of the sorted ``ts`` are at or below p.
+
+    On an even grid the place is computed and then set right by comparing with
+    the two nearest thresholds, so rounding cannot move a row.
+    """
+    step = (ts[-1] - ts[0]) / (len(ts) - 1) if len(ts) > 1 else 0.0
+    if step <= 0 or max(abs(ts[0] + i * step - t) for i, t in enumerate(ts)) > step / 4:
+        return sum((F.when(p >= t, 1).otherwise(0) for t in ts), F.lit(0))
+    # Open ends on both sides: table[i + 2] is threshold i.
+    table = F.array(*[F.lit(t) for t in (-math.inf, *ts, math.inf)])
+    at = F.greatest(F.lit(-1), F.least(F.lit(len(ts) - 1), F.floor((p - ts[0]) / step))).cast("int")
+    return (
+        F.when(F.element_at(table, at + 3) <= p, at + 2).when(F.element_at(table, at + 2) > p, at).otherwise(at + 1)
+    )
+
+
 def threshold_table(
     df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], p: str = "p", y: str = "y"
 ) -> DataFrame:
@@ -216,7 +234,7 @@ def threshold_table(
     rows are never multiplied by the grid.
     """
     ts = sorted(thresholds)
-    place = sum((F.when(F.col(p) >= t, 1).otherwise(0) for t in ts), F.lit(0))
+    place = _count_at_or_below(F.col(p), ts)
     cells = df.groupBy(*keys, place.alias("_g")).agg(F.sum(_is(0, y)).alias("_a"), F.sum(_is(1, y)).alias("_m"))
     totals = cells.groupBy(*keys).agg(F.sum("_a").alias("n_attack"), F.sum("_m").alias("n_normal"))
     zero = totals.select(*keys, F.lit(0).alias("_g"), F.lit(0).alias("_a"), F.lit(0).alias("_m"))

@@ -253,3 +253,12 @@ def test_shapley_adds_up():
     assert phi.sum() == pytest.approx(score(x[None])[0] - score(base).mean())
     linear = attribution.shapley(x, lambda m: m @ w, base, [np.array([i]) for i in range(4)])
     assert np.allclose(linear, (x - base.mean(axis=0)) * w)
+
+
+def test_thresholds_are_placed_exactly(spark):
+    for ts in (metrics.F1_GRID, sorted(metrics.FPR_GRID), [0.1, 0.2, 0.9]):
+        points = sorted({*ts, *np.nextafter(ts, 0), *np.nextafter(ts, 1), -0.5, 0.0, 1.0, 1.5})
+        df = spark.createDataFrame([("k", float(p), i % 2) for i, p in enumerate(points)], "k string, p double, y int")
+        for r in metrics.threshold_table(df, ["k"], ts).collect():
+            below = [i % 2 for i, p in enumerate(points) if p < r["threshold"]]
+            assert (r["detected"], r["false_alarms"]) == (below.count(0), below.count(1))
