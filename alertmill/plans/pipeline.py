@@ -13,7 +13,7 @@ from alertmill.operators.detectors import ReconstructionDetector, SequenceClassi
 from alertmill.operators.forest import IsolationForest, target_forest
 from alertmill.operators.sequences import padded_sequences, sliding_sequences
 from alertmill.operators.windows import CAPTURES, WindowConfig, deduplicate_windows, extract_windows
-from alertmill.schemas import SELECTED_FEATURES, SEQUENTIAL_FEATURES, WINDOW_FEATURES
+from alertmill.schemas import SELECTED_FEATURES, WINDOW_FEATURES
 from alertmill.session import settle
 
 ORDER = ["window_start_time", "window_id"]
@@ -234,6 +234,3 @@ def transfer_report(fused: DataFrame, threshold: float = 0.55) -> DataFrame:
     return out.withColumn(
         "verdict", metrics.verdict(F.coalesce("auc_behavioral", "auc_all"), F.col("fpr_at_15fpr"))
     )
-
-
-FEATURE_TABLE_COLUMNS = [*WINDOW_FEATURES, *SEQUENTIAL_FEATURES]

@@ -33,15 +33,6 @@ SELECTED_FEATURES = [
 ]
 CANDIDATE_FEATURES = [*WINDOW_FEATURES, "freq_rolling_std_5w"]
 
-ALERT_SCHEMA = T.StructType(
-    [
-        T.StructField("timestamp", T.TimestampType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("topic", T.StringType()),
-        T.StructField("message", T.StringType()),
-    ]
-)
-
 SENSOR_SCHEMA = T.StructType(
     [
         T.StructField("date", T.StringType()),
@@ -51,12 +42,3 @@ SENSOR_SCHEMA = T.StructType(
         T.StructField("type", T.StringType()),
     ]
 )
-
-PACKET_SCHEMA = T.StructType(
-    [
-        T.StructField("mqtt.msgtype", T.StringType()),
-        T.StructField("mqtt.topic", T.StringType()),
-        T.StructField("mqtt.msg", T.StringType()),
-        T.StructField("frame.time_epoch", T.StringType()),
-    ]
-)
