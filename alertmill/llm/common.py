@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertmill.session import settle
+
 #: A side is broadcast only if it has been counted to hold no more rows than this.
 BROADCAST_ROWS = 200_000
 
@@ -21,3 +23,14 @@ def join_small(left: DataFrame, right: DataFrame, on: Column, how: str = "inner"
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+
+
+def text_key(name: str) -> Column:
+    """128 bits that stand for a text: two hashes with different seeds. Null counts as empty."""
+    text = text_or_empty(name)
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows written once with a number of their own in ``_row``, the same for every later reader."""
+    return settle(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from alertmill.llm import quality, sql
+from alertmill.llm import contamination, mixing, quality, sharding, sql
 from alertmill.llm.registry import register, table
 
 
+@register("op5_sharding")
+def op5_sharding(spark, sf_dir):
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+@register("op6_decontamination", sql.contamination_sql())
+def op6_decontamination(spark, sf_dir):
+    return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("op7_quality_rules", sql.quality_sql())
 def op7_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@register("op9_mixing", sql.mixing_sql())
+def op9_mixing(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))

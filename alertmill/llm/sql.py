@@ -56,3 +56,49 @@ def quality_sql(table: str = "documents") -> str:
     judged AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM base)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
         (NOT base_failed AND ok) AS kept FROM judged JOIN verdict USING (rid)"""
+
+
+TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def contamination_sql() -> str:
+    return rf"""WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWERED}, '{TOKEN}') AS ws FROM benchmark),
+    g AS (SELECT item, least(len(ws), 13) AS n, unnest(range(1, len(ws) - least(len(ws), 13) + 2)) AS i, ws FROM b WHERE len(ws) > 0),
+    win AS (SELECT DISTINCT item, n, list_slice(ws, i, i + n - 1) AS gram FROM g),
+    d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWERED}, '{TOKEN}') AS ws FROM documents),
+    p AS (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win)),
+    occ AS (SELECT rid, i, win.n, item FROM (SELECT rid, i, n, list_slice(ws, i, i + n - 1) AS gram FROM p) AS q
+        JOIN win ON q.n = win.n AND q.gram = win.gram),
+    hit AS (SELECT rid, count(DISTINCT w) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS w FROM occ) GROUP BY rid),
+    its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT rid, item FROM occ) GROUP BY rid)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256,
+        (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws)) AS contaminated
+    FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
+
+
+def mixing_sql() -> str:
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source,
+        len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+        md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR))) AS token FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+        row_number() OVER (ORDER BY source IS NULL, source) AS r FROM d GROUP BY source),
+    w AS (SELECT *, CASE (r - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+    o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, r) AS k FROM w),
+    c AS (SELECT *, 2.0::DOUBLE * source_size / weight AS ratio,
+        coalesce(sum(source_size * 2) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+        sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight,
+        sum(source_size) OVER () AS total FROM o),
+    l AS (SELECT CAST(3 * total - 2 * spent AS DOUBLE) / CAST(2 * open_weight AS DOUBLE) AS level FROM c
+        WHERE ratio >= CAST(3 * total - 2 * spent AS DOUBLE) / CAST(2 * open_weight AS DOUBLE) ORDER BY k LIMIT 1),
+    t AS (SELECT source, r, source_size, CASE WHEN 2 * source_size < weight * level THEN CAST(2 * source_size AS DOUBLE)
+        ELSE weight * level END AS target FROM w, l),
+    q AS (SELECT d.*, t.source_size, t.target, t.r,
+        sum(size) OVER (PARTITION BY d.source ORDER BY token, doc_id, size, rid ROWS UNBOUNDED PRECEDING) AS cum
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    f AS (SELECT *, CAST(cum + e * source_size AS DOUBLE) / target AS finish FROM q, (VALUES (0), (1)) AS v(e) WHERE size > 0),
+    u AS (SELECT rid, sum(size) OVER (ORDER BY finish, r, token, doc_id, size, rid, e ROWS UNBOUNDED PRECEDING) AS run FROM f),
+    n AS (SELECT rid, count(*) AS copies FROM u WHERE 2 * run <= 3 * (SELECT sum(size) FROM d) GROUP BY rid)
+    SELECT doc_id, size, source_size, target, size * coalesce(copies, 0) AS taken FROM q LEFT JOIN n USING (rid)"""
