@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from alertmill.llm import contamination, mixing, quality, sharding, sql
+import corpus_pipeline
+from alertmill.llm import contamination, line_spread, mixing, ngram_join, quality, secrets, sharding, sql
 from alertmill.llm.registry import register, table
 
 
+@register("op2_secret_scan")
+def op2_secret_scan(spark, sf_dir):
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 @register("op5_sharding")
 def op5_sharding(spark, sf_dir):
     return sharding.shard_report(table(spark, sf_dir, "documents"))
@@ -21,6 +27,21 @@ def op7_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@register("op8_line_dedup", sql.line_sql())
+def op8_line_dedup(spark, sf_dir):
+    return line_spread.line_report(table(spark, sf_dir, "documents"))
+
+
 @register("op9_mixing", sql.mixing_sql())
 def op9_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@register("op10_ngram_join")
+def op10_ngram_join(spark, sf_dir):
+    return ngram_join.join_report(table(spark, sf_dir, "documents"))
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)

@@ -102,3 +102,15 @@ def mixing_sql() -> str:
     u AS (SELECT rid, sum(size) OVER (ORDER BY finish, r, token, doc_id, size, rid, e ROWS UNBOUNDED PRECEDING) AS run FROM f),
     n AS (SELECT rid, count(*) AS copies FROM u WHERE 2 * run <= 3 * (SELECT sum(size) FROM d) GROUP BY rid)
     SELECT doc_id, size, source_size, target, size * coalesce(copies, 0) AS taken FROM q LEFT JOIN n USING (rid)"""
+
+
+def line_sql() -> str:
+    from alertmill.llm.line_spread import SITES
+
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT rid, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS place FROM d),
+    b AS (SELECT line FROM l WHERE regexp_matches(line, '{WORD}') GROUP BY line HAVING count(DISTINCT source) >= {SITES}),
+    m AS (SELECT l.*, b.line IS NOT NULL AS bad FROM l LEFT JOIN b ON l.line = b.line)
+    SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN (
+        SELECT rid, count(*) FILTER (WHERE regexp_matches(line, '{WORD}')) AS n_lines, count(*) FILTER (WHERE bad) AS n_removed,
+        string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT bad) AS kept FROM m GROUP BY rid) USING (rid)"""
