@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from alertmill.llm import contamination, line_spread, mixing, ngram_join, quality, secrets, sharding, sql
+from alertmill.llm import contamination, line_spread, mixing, ngram_join, quality, secrets, sharding, sql, suffix_dedup, toxicity
 from alertmill.llm.registry import register, table
 
 
@@ -12,6 +12,16 @@ def op2_secret_scan(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+@register("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 @register("op5_sharding")
 def op5_sharding(spark, sf_dir):
     return sharding.shard_report(table(spark, sf_dir, "documents"))
