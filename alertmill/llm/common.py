@@ -21,8 +21,13 @@ def join_small(left: DataFrame, right: DataFrame, on: Column, how: str = "inner"
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """Each row as one struct ``_doc``, so that no column of the caller can clash with one of an operator."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))
+
+
 def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+    return F.coalesce(F.col(name), F.lit(""))
 
 
 def text_key(name: str) -> Column:

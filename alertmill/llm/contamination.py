@@ -22,7 +22,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import join_small, text_key
+from alertmill.llm.common import join_small, packed, text_key
 from alertmill.session import settle
 
 N_WORDS = 13
@@ -111,13 +111,13 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    return join_small(docs.withColumn("_own", text_key("text")), found, F.col("_own") == F.col("_key"), how)
+    return join_small(packed(docs).withColumn("_own", text_key("_doc.text")), found, F.col("_own") == F.col("_key"), how)
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns. The verdict depends on the text alone."""
     bad = contamination(docs, benchmark).filter(is_contaminated(F.size("hit"), F.col("n_words"))).select("_key").distinct()
-    return _matched(docs, bad, "left_anti").drop("_own")
+    return _matched(docs, bad, "left_anti").select("_doc.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -125,8 +125,9 @@ def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(docs, benchmark).filter(F.size("hit") > 0).select("_key", "hit").dropDuplicates(["_key"])
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"({word}{gap})"), F.lit(1))
+    text = F.col("_doc.text")
+    pieces = F.regexp_extract_all(text, F.lit(f"({word}{gap})"), F.lit(1))
     kept = F.filter(pieces, lambda p, i: ~F.array_contains(F.col("hit"), i))
-    text = F.concat(F.regexp_extract("text", f"^({gap})", 1), F.array_join(kept, ""))
+    rest = F.concat(F.regexp_extract(text, f"^({gap})", 1), F.array_join(kept, ""))
     out = _matched(docs, found, "left")
-    return out.withColumn("text", F.when(F.col("hit").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    return out.select(F.col("_doc").withField("text", F.when(F.col("hit").isNull(), text).otherwise(rest)).alias("_doc")).select("_doc.*")

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import join_small, text_key, text_or_empty
+from alertmill.llm.common import join_small, packed, text_key, text_or_empty
 from alertmill.session import settle
 
 SITES = 10
@@ -68,26 +68,26 @@ def _removed(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _with_cut(docs: DataFrame, site: str, sites: int) -> DataFrame:
-    own = docs.withColumn("_own", text_key("text"))
+    own = packed(docs).withColumn("_own", text_key("_doc.text"))
     return join_small(own, _removed(docs, boilerplate(docs, site, sites)), F.col("_own") == F.col("_key"), "left")
 
 
 def _kept() -> Column:
-    kept = F.filter(_lines(F.col("text")), lambda line, place: ~F.array_contains(F.col("_cut"), place))
-    return F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(_lines(F.col("_doc.text")), lambda line, place: ~F.array_contains(F.col("_cut"), place))
+    return F.when(F.col("_cut").isNull(), F.col("_doc.text")).otherwise(F.array_join(kept, "\n"))
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """All documents with their columns; boilerplate lines are cut from ``text``."""
-    return _with_cut(docs, site, sites).withColumn("text", _kept()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _with_cut(docs, site, sites).select(F.col("_doc").withField("text", _kept()).alias("_doc")).select("_doc.*")
 
 
 def line_report(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     slim = docs.select("doc_id", F.col(f"`{site}`").alias("site"), text_or_empty("text").alias("text"))
     own = _with_cut(slim, "site", sites)
     return own.select(
-        "doc_id",
-        F.size(F.filter(_lines(F.col("text")), lambda line: line.rlike(_WORD))).cast("bigint").alias("n_lines"),
+        "_doc.doc_id",
+        F.size(F.filter(_lines(F.col("_doc.text")), lambda line: line.rlike(_WORD))).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias("n_removed"),
         F.sha2(_kept(), 256).alias("kept_sha256"),
     )

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm import words as W
-from alertmill.llm.common import join_small, numbered
+from alertmill.llm.common import join_small, numbered, packed
 from alertmill.operators import ordered
 from alertmill.session import settle
 
@@ -109,9 +109,9 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixture itself: each document as often as it is taken, with all its columns."""
-    own = numbered(docs)
-    sizes = settle(own.select("_row", "doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    own = numbered(packed(docs))
+    sizes = settle(own.select("_row", "_doc.doc_id", "_doc.source", n_words(F.col("_doc.text")).alias("size")), "sizes")
     taken = mixed(sizes).filter("copies > 0").select(F.col("_row").alias("_taken"), "copies")
     out = own.join(taken, F.col("_row") == F.col("_taken"))
     repeats = F.sequence(F.lit(1), F.col("copies").cast("int"))
-    return out.withColumn("_copy", F.explode(repeats)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select("_doc", F.explode(repeats).alias("_copy")).select("_doc.*")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from alertmill.llm import words as W
-from alertmill.llm.common import BROADCAST_ROWS, numbered
+from alertmill.llm.common import BROADCAST_ROWS, numbered, packed
 from alertmill.llm.components import components
 from alertmill.session import settle
 
@@ -307,9 +307,9 @@ def join_report(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the least doc_id, with all its columns."""
-    own = numbered(docs)
-    rows = joined(own.select("_row", "doc_id", "text"))
+    own = numbered(packed(docs))
+    rows = joined(own.select("_row", "_doc.doc_id", "_doc.text"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
     kept = first.select(F.col("first._row").alias("_kept"))
     small = settle(kept, "kept")
-    return own.join(small, F.col("_row") == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return own.join(small, F.col("_row") == F.col("_kept"), "left_semi").select("_doc.*")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertmill.llm import words as W
-from alertmill.llm.common import join_small
+from alertmill.llm.common import join_small, packed
 from alertmill.session import settle
 
 MIN_WORDS = 50
@@ -224,8 +224,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that pass, with all their columns."""
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "source", text_counts(F.col("text")).alias("_c")
-    )
-    rows = judged(settle(with_measures(packed), "measures"))
-    return rows.filter("kept").select("_row.*")
+    own = packed(docs).select("_doc", "_doc.lang", "_doc.source", text_counts(F.col("_doc.text")).alias("_c"))
+    rows = judged(settle(with_measures(own), "measures"))
+    return rows.filter("kept").select("_doc.*")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from alertmill.llm import contamination, line_spread, mixing, ngram_join, quality, secrets, sharding, sql, suffix_dedup, toxicity
+from alertmill.llm import contamination, line_spread, lm, mixing, ngram_join, quality, secrets, sharding, sql, suffix_dedup, toxicity
 from alertmill.llm.registry import register, table
 
 
+@register("op1_lm_scoring")
+def op1_lm_scoring(spark, sf_dir):
+    return lm.lm_report(table(spark, sf_dir, "documents"))
+
+
 @register("op2_secret_scan")
 def op2_secret_scan(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))

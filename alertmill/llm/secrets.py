@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertmill.llm.common import numbered, packed
 from alertmill.session import settle
 
 MARK, MARK_TWIN = "", ""
@@ -73,11 +74,12 @@ def _segments(kind: str, text: Column) -> Column:
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """Rows (_row, doc_id, kind, start, end, value), and one with a null kind for each document."""
+    """Rows (_row, doc_id, kind, start, end, value), and one with a null kind for each document; ``_row`` may be given."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # the marks' own characters become others of the same length that no pattern matches
     plain = F.when(text.contains(MARK), F.translate(text, MARK, MARK_TWIN)).otherwise(text)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), plain.alias("text"))
+    number = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select("doc_id", number.alias("_row"), plain.alias("text"))
     cuts = [F.struct(F.lit(k).alias("kind"), _segments(k, F.col("text")).alias("segments")) for k in KINDS]
     always = F.struct(F.lit(None).cast("string").alias("kind"), F.array(F.lit("")).alias("segments"))
     found = rows.select("_row", "doc_id", F.explode(F.array(always, *cuts)).alias("c")).filter("c.segments IS NOT NULL")
@@ -166,16 +168,18 @@ def secret_report(docs: DataFrame) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] != "random")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint) AS n_{k}") for k in KINDS if k != "random"]
-    return secret_spans(docs).select("doc_id", *counts, F.sha2(_digest(base), 256).alias("base_sha256"), _digest(spans).alias("spans"))
+    return secret_spans(docs.select("doc_id", "text")).select("doc_id", *counts, F.sha2(_digest(base), 256).alias("base_sha256"), _digest(spans).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "*") -> DataFrame:
-    """All documents, every character of a span replaced by ``mask``; needs a table whose rows keep their order."""
-    found = secret_spans(docs).filter(F.size("spans") > 0).select(F.col("_row").alias("_of"), "spans")
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
+    """All documents, every character of a span replaced by ``mask``."""
+    own = numbered(packed(docs))
+    found = secret_spans(own.select("_row", "_doc.doc_id", "_doc.text")).filter(F.size("spans") > 0)
+    found = found.select(F.col("_row").alias("_of"), "spans")
     out = own.join(found, F.col("_row") == F.col("_of"), "left")
     cut = F.expr(
-        f"aggregate(spans, text, (t, s) -> concat(substring(t, 1, cast(s.start as int)), repeat('{mask}', cast(s.end - s.start as int)),"
+        f"aggregate(spans, _doc.text, (t, s) -> concat(substring(t, 1, cast(s.start as int)), repeat('{mask}', cast(s.end - s.start as int)),"
         " substring(t, cast(s.end as int) + 1)))"
     )
-    return out.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("spans").isNull(), F.col("_doc.text")).otherwise(cut)
+    return out.select(F.col("_doc").withField("text", text).alias("_doc")).select("_doc.*")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm import words as W
-from alertmill.llm.common import join_small, text_key, text_or_empty
+from alertmill.llm.common import join_small, packed, text_key, text_or_empty
 from alertmill.session import settle
 
 LENGTH = 200
@@ -322,21 +322,21 @@ def _digests(text: Column, ranges: Column) -> Column:
 
 
 def _with_ranges(docs: DataFrame) -> DataFrame:
-    own = docs.withColumn("_own", text_key("text"))
+    own = packed(docs).withColumn("_own", text_key("_doc.text"))
     found = repeated_ranges(docs.select("text"))
     return join_small(own, found, (F.col("_own.a") == F.col("ka")) & (F.col("_own.b") == F.col("kb")), "left")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     rows = _with_ranges(docs.select("doc_id", "text"))
-    return rows.select("doc_id", _digests(F.col("text"), F.col("ranges")).alias("d")).select("doc_id", "d.*")
+    return rows.select("_doc.doc_id", _digests(F.col("_doc.text"), F.col("ranges")).alias("d")).select("doc_id", "d.*")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """All documents; ``kept`` holds the bytes of ``text`` that stay (a cut may fall inside a character)."""
+    """All documents; ``kept_bytes`` holds the bytes of ``text`` that stay (a cut may fall inside a character)."""
 
     @F.arrow_udf("binary")
     def kept(texts: pa.Array, lists: pa.Array) -> pa.Array:
         return pa.array([_kept(t.as_py(), r.as_py())[0] for t, r in zip(texts, lists)], pa.binary())
 
-    return _with_ranges(docs).select(*[F.col(f"`{c}`") for c in docs.columns], kept("text", "ranges").alias("kept"))
+    return _with_ranges(docs).select("_doc.*", kept("_doc.text", "ranges").alias("kept_bytes"))
