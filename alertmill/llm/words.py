@@ -130,7 +130,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
     out = np.zeros(n, np.uint64)
     for j in range(k):
         step = np.zeros(n, np.uint64)
-        step[: n - j] = hashes[j:]
+        step[: max(n - j, 0)] = hashes[j:]
         step[room <= j] = 0
         out = (out + step) * _RADIX + np.uint64(j + 1)
     begins = (room >= k) | ((counts[rows] < k) & (at == bounds[:-1][rows]))
