@@ -9,8 +9,8 @@ that is broadcast to score every text.
 Fitting reads a bounded sample: labelled rows outside the held-out fold whose
 digest falls under FIT_ROWS / (number of such rows), so about ``FIT_ROWS``
 documents whatever the table holds. They are dealt to ``WORKERS`` tasks; each
-round a task runs its share through FTRL from the common state, and the states
-are averaged.
+round a task runs its share through FTRL ``PASSES`` times from the common state,
+and the states are averaged.
 
 Defined cases: a null or empty text is scored by the bias alone; null labels
 and labels of unknown documents are not used; repeated labels count as often as
@@ -34,9 +34,11 @@ from alertmill.session import settle
 
 BITS = 18
 BUCKETS = 1 << BITS
-FIT_ROWS = 16_000
+FIT_ROWS = 12_000
 WORKERS = 4
-ROUNDS = 8
+ROUNDS = 2
+#: Passes over its share that a task makes in a round.
+PASSES = 3
 FOLDS = 5
 ALPHA, BETA, L1, L2 = 1.5, 1.0, 4.0, 0.02
 
@@ -155,7 +157,7 @@ def _round(common: State) -> Callable[[pa.Table], pa.Table]:
         labels, order = rows["label"].to_numpy(), np.argsort(rows["place"].to_numpy(), kind="stable")
         x = rows["x"].combine_chunks()
         body, bounds = x.values.to_numpy(), x.offsets.to_numpy()
-        for i in order.tolist():
+        for i in np.tile(order, PASSES).tolist():
             state.learn(np.append(body[bounds[i] : bounds[i + 1]].astype(np.int64), BUCKETS), int(labels[i] > 0))
         return pa.table({"z": [state.z.tobytes()], "n": [state.n.tobytes()]})
 
