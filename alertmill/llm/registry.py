@@ -15,11 +15,20 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package for the workers, and Arrow batches small enough for rows of long text."""
+    ship_package(spark)
+    spark.conf.set(BATCH_ROWS, min(int(spark.conf.get(BATCH_ROWS)), 1000))
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

@@ -15,36 +15,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from alertmill.llm import contamination, mixing, ngram_join, quality, sharding
-from alertmill.session import settle, ship_package
+from alertmill.llm.registry import prepare
+from alertmill.session import settle
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules of their language and source."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the least doc_id."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.without_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold the benchmark's passages."""
-    ship_package(spark)
+    prepare(spark)
     return contamination.without_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of the sources take them."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document of the mixture."""
-    ship_package(spark)
+    prepare(spark)
     return sharding.sharded(docs)
 
 
