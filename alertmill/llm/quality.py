@@ -194,7 +194,7 @@ def fences(measures: DataFrame) -> DataFrame:
 def with_measures(docs: DataFrame) -> DataFrame:
     """``docs`` must hold ``_c``, the struct of counts, ``lang`` and ``source``."""
     return docs.withColumns(
-        {r.name: F.expr(f"coalesce(_c.{r.top} * 1000 div _c.{r.bottom}, 0)") for r in RULES}
+        {r.name: F.expr(f"_c.{r.top} * 1000 div greatest(_c.{r.bottom}, 1)") for r in RULES}
     )
 
 

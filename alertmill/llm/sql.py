@@ -6,7 +6,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def quality_sql(table: str = "documents") -> str:
     from alertmill.llm.quality import MIN_DOCUMENTS, MIN_WORDS, RULES, SKETCH_BITS
 
-    measures = ", ".join(f"CASE WHEN {r.bottom} > 0 THEN {r.top} * 1000 // {r.bottom} ELSE 0 END AS {r.name}" for r in RULES)
+    measures = ", ".join(f"{r.top} * 1000 // greatest({r.bottom}, 1) AS {r.name}" for r in RULES)
     names = ", ".join(r.name for r in RULES)
     levels = []
     for level, keys in enumerate(("lang, source, ", "lang, ", "")):
