@@ -116,6 +116,22 @@ def _vectors(spark, sf_dir):
     return v.select("vec_id", "y", *[F.col("features")[i].alias(c) for i, c in enumerate(VEC)])
 
 
+@register(
+    "missing_covariance",
+    """WITH v AS (SELECT vec_id, k, CASE WHEN (vec_id * 7 + k) % 11 > 0 THEN CAST(embedding[k + 1] AS DOUBLE) END AS x
+          FROM (SELECT vec_id, embedding, unnest(range(64)) AS k FROM embeddings))
+        SELECT CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(covar_samp(a.x, b.x) + 1e-9, 6) AS covariance
+        FROM v AS a JOIN v AS b ON a.vec_id = b.vec_id AND a.k <= b.k GROUP BY 1, 2""",
+)
+def missing_covariance(spark, sf_dir):
+    """All 64 columns, each with missing values in other rows, over many partitions."""
+    cols = [f"v{k}" for k in range(64)]
+    gone = [F.when((F.col("vec_id") * 7 + k) % 11 > 0, F.col("features")[k]).alias(c) for k, c in enumerate(cols)]
+    _, cov = prep.moments(views.vectors(spark, sf_dir).repartition(16).select(*gone), cols)
+    cells = [(i, j, round(float(cov[i, j]) + 1e-9, 6)) for i in range(64) for j in range(i, 64)]
+    return spark.createDataFrame(cells, "i int, j int, covariance double")
+
+
 @register(
     "pseudo_normals",
     f"""WITH {VEC_SQL}, m AS (SELECT {", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in VEC)} FROM vecs),

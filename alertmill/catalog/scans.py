@@ -83,6 +83,40 @@ def dataset_discovery(spark, sf_dir):
     )
 
 
+@register(
+    "unlike_sensor_logs",
+    """SELECT 'log' || CAST(user_id % 3 AS VARCHAR) AS dataset, count(*) AS n,
+       CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS attacks,
+       CASE WHEN user_id % 3 = 0 THEN round(sum(value), 2) END AS temperature,
+       CASE WHEN user_id % 3 = 1 THEN round(sum(value), 2) END AS pressure,
+       CASE WHEN user_id % 3 = 2 THEN round(sum(value), 2) END AS humidity,
+       CAST(sum(epoch_us(date_trunc('second', ts)) // 1000000 % 86400) AS BIGINT) AS seconds
+       FROM events GROUP BY user_id % 3""",
+)
+def unlike_sensor_logs(spark, sf_dir):
+    """A folder of three logs with other columns in another order, each read by its own header."""
+    folder = _fresh(spark, "unlike-logs")
+    r = views.readings(spark, sf_dir).withColumns(
+        {"date": F.date_format("timestamp", "dd-MMM-yy"), "time": F.date_format("timestamp", " HH:mm:ss")}
+    )
+    stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts")
+    logs = [
+        r.select("date", "time", F.col("value").alias("temperature"), "label", "type"),
+        r.select("label", "type", F.lit("low").alias("condition"), F.col("value").alias("pressure"), "date", "time"),
+        r.select(stamp, F.col("value").alias("humidity"), F.lit(0).alias("light"), "type", "label"),
+    ]
+    for k, log in enumerate(logs):
+        log.filter(F.col("dataset") == k).write.option("header", True).csv(f"{folder}/log=log{k}")
+    found = scans.read_sensors(spark, folder)
+    names = ("temperature", "pressure", "humidity")
+    return found.groupBy(F.col("log").alias("dataset")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("label").alias("attacks"),
+        *[F.round(F.sum(F.col(c).cast("double")), 2).alias(c) for c in names],
+        F.sum(F.unix_timestamp("timestamp") % 86400).alias("seconds"),
+    )
+
+
 @register(
     "sensor_time_parse",
     """SELECT event_id AS id, epoch_us(date_trunc('second', ts)) AS us FROM events WHERE event_type <> 'view'""",

@@ -9,12 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Beyond this a + b, with both large, the expansion is used; both agree to 1e-7 there.
+LARGE = 1e6
+STEPS = 20_000
+
+
+def _expansion(x: float, a: float, b: float) -> float:
+    """Leading terms of the uniform expansion for large a and b (error of order (a + b)^-3/2)."""
+    n, x0 = a + b, a / (a + b)
+    gap = x - x0
+    half_square = -(x0 * math.log1p(gap / x0) + (1.0 - x0) * math.log1p(-gap / (1.0 - x0)))
+    eta = math.copysign(math.sqrt(2.0 * max(half_square, 0.0)), gap)
+    root = math.sqrt(x0 * (1.0 - x0))
+    if abs(gap) < 1e-5 * root:
+        first = (1.0 - 2.0 * x0) / (3.0 * root)
+    else:
+        first = 1.0 / eta - root / gap
+    tail = math.exp(-n * half_square) / math.sqrt(2.0 * math.pi * n)
+    return 0.5 * math.erfc(-eta * math.sqrt(n / 2.0)) + tail * first
+
+
 def beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
+    """Regularised incomplete beta function: continued fraction, or an expansion for large a and b."""
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
+    if a + b > LARGE and min(a, b) > math.sqrt(LARGE):
+        return min(1.0, max(0.0, _expansion(x, a, b)))
     if x > (a + 1.0) / (a + b + 2.0):
         return 1.0 - beta_cdf(1.0 - x, b, a)
     front = math.exp(
@@ -23,7 +45,7 @@ def beta_cdf(x: float, a: float, b: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
     total = d
-    for m in range(1, 10_000):
+    for m in range(1, STEPS):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -34,8 +56,8 @@ def beta_cdf(x: float, a: float, b: float) -> float:
             c = c if abs(c) > tiny else tiny
             total *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return front * total / a
+            return front * total / a
+    raise ArithmeticError(f"no convergence at x = {x}, a = {a}, b = {b}")
 
 
 def beta_quantile(q: float, a: float, b: float) -> float:

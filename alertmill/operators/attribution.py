@@ -1,6 +1,6 @@
-"""Exact Shapley attribution of small feature sets, and comparison of two models.
+"""Shapley attribution, exact or by sampled orders, and comparison of two models.
 
-All coalitions of a row are built and scored inside the task that holds the
+The coalitions of a row are built and scored inside the task that holds the
 row; only one value per feature leaves it.
 """
 
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BatchScore = Callable[[np.ndarray], np.ndarray]
-MAX_PLAYERS = 12
+#: All coalitions of more features than this are not enumerated; give ``samples``.
+EXACT_FEATURES = 12
 
 
 def background(normals: DataFrame, vector: str, k: int = 20, seed: int = 42) -> np.ndarray:
@@ -47,6 +48,26 @@ def shapley(x: np.ndarray, score: BatchScore, base: np.ndarray, groups: list[np.
     return value @ weights
 
 
+def sampled_shapley(
+    x: np.ndarray, score: BatchScore, base: np.ndarray, groups: list[np.ndarray], samples: int, seed: int = 42
+) -> np.ndarray:
+    """Mean gain of each group over ``samples`` random orders and their reverses; the gains of an order sum exactly."""
+    rng, d = np.random.default_rng(seed), len(groups)
+    orders = [rng.permutation(d) for _ in range(-(-samples // 2))]
+    orders = [o for p in orders for o in (p, p[::-1])]
+    keep = np.zeros((len(orders), d + 1, len(x)), dtype=bool)
+    for o, order in enumerate(orders):
+        for step, g in enumerate(order):
+            keep[o, step + 1 :, groups[g]] = True
+    flat = keep.reshape(-1, len(x))
+    mixed = np.where(flat[:, None, :], x[None, None, :], base[None, :, :])
+    value = score(mixed.reshape(-1, len(x))).reshape(len(orders), d + 1, len(base)).mean(axis=2)
+    total = np.zeros(d)
+    for o, order in enumerate(orders):
+        total[order] += np.diff(value[o])
+    return total / len(orders)
+
+
 def attribute(
     rows: DataFrame,
     id_col: str,
@@ -55,22 +76,25 @@ def attribute(
     score: BatchScore,
     base: np.ndarray,
     steps: int = 1,
+    samples: int | None = None,
 ) -> DataFrame:
     """(id, feature, contribution) for each row.
 
     With ``steps`` the vector is a flattened sequence and one feature owns its
-    place in every step.
+    place in every step. ``samples`` is the number of random orders; without it
+    all coalitions are taken, which only few features allow.
     """
     d = len(names)
-    if d > MAX_PLAYERS:
-        raise ValueError(f"exact attribution takes at most {MAX_PLAYERS} features")
+    if samples is None and d > EXACT_FEATURES:
+        raise ValueError(f"give samples for more than {EXACT_FEATURES} features")
     groups = [np.arange(steps) * d + i for i in range(d)]
     names = list(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rid, v in zip(pdf[id_col], pdf["_v"], strict=True):
-                phi = shapley(np.asarray(v, dtype=float), score, base, groups)
+                x = np.asarray(v, dtype=float)
+                phi = sampled_shapley(x, score, base, groups, samples) if samples else shapley(x, score, base, groups)
                 yield pd.DataFrame({id_col: [rid] * d, "feature": names, "contribution": phi})
 
     kind = dict(rows.dtypes)[id_col]

@@ -4,9 +4,10 @@ A tree's sample is a fixed share of all rows and may be far too large for one
 task, so no tree is ever given its rows. Each level is one pass: tasks walk
 their rows down the trees grown so far and report count and range per open
 leaf and feature; the few open leaves are split on the driver. Rows take part
-in a tree by a hash of their key. The number of nodes is bounded by the height
-limit, not by the data; leaves cut off there enter the path length with the
-usual correction for their size.
+in a tree by a hash of their key. A tree's height is the logarithm of its
+sample, so its nodes are bounded by the sample: give ``sample_size``, the rows
+per tree, to bound a forest over a large table. Leaves cut off at that height
+enter the path length with the usual correction for their size.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from alertmill.operators.ordered import feature_quantiles, quantiles
 from alertmill.operators.resample import hashed_uniform
 from alertmill.session import settle
 
-HEIGHT_LIMIT = 12
+def height(psi: int) -> int:
+    """The height at which a tree over ``psi`` rows stops."""
+    return max(1, math.ceil(math.log2(psi)))
 
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
@@ -176,7 +179,7 @@ class IsolationForest:
         n = rows.count()
         psi = max(2, min(sample_size, n) if sample_size else int(sample_fraction * n))
         trees = plan_trees(len(features), n_trees, psi / max(n, 1), feature_fraction, seed)
-        limit = max_depth or min(HEIGHT_LIMIT, max(1, math.ceil(math.log2(psi))))
+        limit = max_depth or height(psi)
         return cls(list(features), grow(rows, trees, len(features), limit), psi)
 
     def score_array(self, x: np.ndarray, n_trees: int | None = None) -> np.ndarray:
@@ -256,8 +259,7 @@ def tune(
             for f in sorted(sizes):
                 trees += plan_trees(d, most, sf, ff, seed, skip_fold=f)
             psi = {f: max(2, int(sf * (total - n))) for f, n in sizes.items()}
-            limit = min(HEIGHT_LIMIT, math.ceil(math.log2(max(psi.values()))))
-            grow(rows, trees, d, limit)
+            grow(rows, trees, d, height(max(psi.values())))
             forests = {
                 f: IsolationForest(list(features), trees[i * most : (i + 1) * most], psi[f])
                 for i, f in enumerate(sorted(sizes))

@@ -18,16 +18,13 @@ HEX_TEXT = r"^(\s*[0-9A-Fa-f]{2})+\s*$"
 
 
 def packet_windows(
-    packets: DataFrame, order: Sequence[str] = ("seq",), size: int = 50, cap: int | None = None
+    packets: DataFrame, order: Sequence[str] = ("seq",), size: int = 50
 ) -> DataFrame:
     """Number packets in capture order and cut them into whole windows.
 
-    A partial tail is dropped. ``cap`` reads only the first packets, as a
-    capture limit; none by default.
+    A partial tail is dropped.
     """
     rows = core(ranked(packets, [], list(order)), keep=["_rank", "_n"])
-    if cap is not None:
-        rows = rows.filter(F.col("_rank") <= cap).withColumn("_n", F.least(F.col("_n"), F.lit(cap)))
     return (
         rows.filter(F.col("_rank") <= F.col("_n") - F.col("_n") % size)
         .withColumn("window_no", whole(F.col("_rank") - 1, size))

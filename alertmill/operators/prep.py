@@ -130,39 +130,35 @@ def zscore_by(df: DataFrame, key: str, features: Sequence[str], limit: float = 5
 
 
 def moments(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean vector and sample covariance matrix.
+    """Mean vector and sample covariance matrix; missing values are left out pair by pair.
 
-    Few features: one aggregate per pair. Many: partial products per Arrow
-    batch, summed by a shuffle on the matrix cell.
+    NULL and NaN are missing. Tasks report one row per matrix cell: rows that
+    have both values, the sums of either and of the product, around the mean.
     """
     d = len(features)
-    if d <= 16:
-        pairs = [(i, j) for i in range(d) for j in range(i, d)]
-        row = df.agg(
-            *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
-            *[F.covar_samp(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs],
-        ).first()
-        mean = np.array([row[f"m{i}"] for i in range(d)], dtype=float)
-        cov = np.zeros((d, d))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-        return mean, cov
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    means = [F.avg(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))).alias(f"m{i}") for i, f in enumerate(features)]
+    first = df.agg(*means).first()
     mean = np.array([first[f"m{i}"] for i in range(d)], dtype=float)
+    centre = np.nan_to_num(mean)
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((d, d))
+        total = np.zeros((3, d, d))
         for pdf in batches:
-            x = pdf.to_numpy(dtype=float) - mean
-            total += x.T @ x
+            x = pdf.to_numpy(dtype=float) - centre
+            seen = ~np.isnan(x)
+            x, seen = np.where(seen, x, 0.0), seen.astype(float)
+            total += np.stack([seen.T @ seen, x.T @ seen, x.T @ x])
         i, j = np.indices((d, d))
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    cells = df.select(*features).mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v"))
-    cov = np.zeros((d, d))
-    for i, j, v in cells.collect():
-        cov[i, j] = v / max(first["n"] - 1, 1)
-    return mean, cov
+        flat = total.reshape(3, -1)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "n": flat[0], "s": flat[1], "v": flat[2]})
+
+    cells = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    cells = cells.mapInPandas(products, "i int, j int, n double, s double, v double")
+    n, s, v = np.zeros((3, d, d))
+    for r in cells.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("v").alias("v")).collect():
+        n[r["i"], r["j"]], s[r["i"], r["j"]], v[r["i"], r["j"]] = r["n"], r["s"], r["v"]
+    # s[i, j] sums feature i over the rows that also have feature j
+    return mean, (v - s * s.T / np.maximum(n, 1)) / np.maximum(n - 1, 1)
 
 
 def _root(c: np.ndarray, power: float) -> np.ndarray:

@@ -261,36 +261,34 @@ def user_metric_replicates(
     y: str = "y",
     replicates: int = 200,
     seed: int = 42,
-    bins: int = 4096,
 ) -> DataFrame:
     """Replicates of a caller's ``metric_fn(scores, labels, weights)``.
 
-    The function sees all scores at once, so scores in [0, 1] are first reduced
-    to ``bins`` equal bins per class: a replicate is a weighted histogram of at
-    most ``2 * bins`` cells whatever the number of rows. Scores are bin centres.
+    The function sees the distinct (score, label) pairs of the table, exact as
+    they are, with the summed weights of a replicate. Pairs are merged inside
+    the tasks and again by a grouped sum before a replicate is evaluated.
     """
     reps = np.arange(replicates)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((replicates, 2 * bins))
         for pdf in batches:
-            cell, keys = pdf["cell"].to_numpy(), pdf["key"].to_numpy()
+            cell = pdf.groupby(["p", "y"], sort=False, dropna=False).ngroup().to_numpy()
+            first = np.unique(cell, return_index=True)[1]
+            scores, labels, keys = (pdf[c].to_numpy() for c in ("p", "y", "key"))
             for chunk in _chunks(reps, len(pdf)):
                 w = poisson_weights(keys, chunk, seed)
                 for j, b in enumerate(chunk):
-                    acc[b] += np.bincount(cell, weights=w[:, j], minlength=2 * bins)
-        b, c = np.nonzero(acc)
-        yield pd.DataFrame({"replicate": b, "cell": c, "w": acc[b, c]})
-
-    cell = F.least(F.lit(bins - 1), F.floor(F.col(p) * bins)) + F.when(F.col(y) == 1, bins).otherwise(0)
-    rows = df.select(F.xxhash64(F.col(id_col)).alias("key"), cell.cast("int").alias("cell"))
-    cells = (
-        rows.mapInPandas(sums, "replicate int, cell int, w double").groupBy("replicate", "cell").agg(F.sum("w").alias("w"))
-    )
+                    total = np.bincount(cell, weights=w[:, j], minlength=len(first))
+                    live = total > 0
+                    yield pd.DataFrame({"replicate": b, "p": scores[first][live], "y": labels[first][live], "w": total[live]})
+
+    label = F.when(F.col(y) == 1, 1).otherwise(0)
+    rows = df.select(F.xxhash64(F.col(id_col)).alias("key"), F.col(p).cast("double").alias("p"), label.alias("y"))
+    cells = rows.mapInPandas(sums, "replicate int, p double, y int, w double")
+    cells = cells.groupBy("replicate", "p", "y").agg(F.sum("w").alias("w"))
 
     def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf["cell"].to_numpy()
-        value = metric_fn((c % bins + 0.5) / bins, c // bins, pdf["w"].to_numpy())
+        value = metric_fn(pdf["p"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy())
         return pd.DataFrame({"replicate": [pdf["replicate"].iloc[0]], "value": [float(value)]})
 
     return cells.groupBy("replicate").applyInPandas(evaluate, "replicate int, value double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,22 +91,56 @@ def _newest(spark: SparkSession, path: str) -> int:
     return row["t"] or 0
 
 
+def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files below ``path`` by their first line. One pass; as many rows as files reach the driver."""
+    lines = spark.read.text(path).filter(F.col("_metadata.file_block_start") == 0)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    found: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "at").alias("first")).orderBy("file").collect():
+        found.setdefault(r["first"].strip("\r"), []).append(r["file"])
+    return found
+
+
 def read_many(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Every CSV below ``path`` in one job; ``dataset`` is the file name without ending."""
-    df = read_csv(spark, path, schema)
+    """Every CSV of a folder, each by its own header; ``dataset`` is the file name without ending.
+
+    Files with the same header are one scan; the scans are united by name, and
+    a column that a file does not have is NULL in its rows.
+    """
+    scans = []
+    types = {f.name: f.dataType for f in schema.fields}
+    for files in headers(spark, path).values():
+        names = _csv(spark).csv(files[0]).columns
+        read = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in names])
+        scans.append(_csv(spark).schema(read).option("basePath", path).csv(files))
+    if not scans:
+        raise ValueError(f"no files below {path}")
+    df = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_named(s) for s in scans])
+    return df
+
+
+def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("dataset", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.csv)?$", 1))
 
 
 def sensor_time(df: DataFrame) -> DataFrame:
-    """``timestamp`` from date and time, or from the first time column there is; bad rows dropped."""
+    """``timestamp`` from date and time, or from the first time column there is; bad rows dropped.
+
+    In a union of unlike files each row uses the first of these that it has.
+    """
+    stamps = []
     if {"date", "time"} <= set(df.columns):
         joined = F.concat_ws(" ", F.trim("date"), F.trim("time"))
-        stamp = F.try_to_timestamp(joined, F.lit("d-MMM-yy HH:mm:ss"))
-    else:
-        found = next((c for c in ("ts", "timestamp", "Time", "time") if c in df.columns), None)
-        if found is None:
-            raise ValueError("no time column in the sensor log")
-        stamp = parse_time(F.col(found).cast("string"))
+        both = F.col("date").isNotNull() & F.col("time").isNotNull()
+        stamps.append(F.when(both, F.try_to_timestamp(joined, F.lit("d-MMM-yy HH:mm:ss"))))
+    single = [c for c in ("ts", "timestamp", "Time", "time") if c in df.columns]
+    if not stamps and not single:
+        raise ValueError("no time column in the sensor log")
+    if single:
+        value = F.coalesce(*[F.col(c).cast("string") for c in single])
+        dated = F.col("date").isNotNull() if stamps else F.lit(False)
+        stamps.append(F.when(~dated, parse_time(value)))
+    stamp = F.coalesce(*stamps)
     return df.withColumn("timestamp", stamp).filter(F.col("timestamp").isNotNull())
 
 

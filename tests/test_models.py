@@ -164,3 +164,28 @@ def test_hot_values_keep_their_rank(many_parts):
     got = stats.rank_rows(df, ["x", "z"], "id").toPandas().set_index("id").sort_index()
     assert np.allclose(got["x"], pd.Series(x).rank())
     assert np.allclose(got["z"], pd.Series(-x).rank())
+
+
+def test_moments_leave_missing_values_out_pair_by_pair(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 20))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    cols = [f"x{i}" for i in range(20)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    mean, cov = prep.moments(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(7), cols)
+    assert np.allclose(mean, np.nanmean(x, axis=0))
+    for i, j in ((0, 0), (0, 1), (4, 19), (7, 3)):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert cov[i, j] == pytest.approx(np.cov(x[both, i], x[both, j])[0, 1])
+
+
+def test_user_metric_sees_exact_scores_outside_the_unit_range(spark):
+    rows = [(i, [-2.5, 0.25, 3.0][i % 3], i % 2) for i in range(60)]
+    seen = resample.user_metric_replicates(
+        spark.createDataFrame(rows, "id bigint, p double, y int"), lambda p, y, w: float(set(p) <= {-2.5, 0.25, 3.0}), "id", replicates=5
+    )
+    assert {r["value"] for r in seen.collect()} == {1.0}
+
+
+def test_forest_height_follows_the_sample():
+    assert forest.height(4096) == 12 and forest.height(100_000) == 17 and forest.height(2) == 1

