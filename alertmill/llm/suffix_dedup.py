@@ -45,7 +45,7 @@ from alertmill.llm.common import join_small, packed, text_key, text_or_empty
 from alertmill.session import settle
 
 LENGTH = 200
-GRAM = 64
+GRAM = 100
 #: k-grams in a window.
 SPAN = LENGTH - GRAM + 1
 GROUP = 2048
