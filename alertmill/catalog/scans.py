@@ -47,14 +47,29 @@ def alert_scan(spark, sf_dir):
 
 @register(
     "landed_alerts",
-    f"""WITH {ALERTS} SELECT stream, count(*) AS n, max(us) AS last_us FROM alerts WHERE stream = 'flooding'
-        GROUP BY stream""",
+    f"""WITH {ALERTS} SELECT stream, count(*) AS n, max(us) AS last_us FROM alerts GROUP BY stream""",
 )
 def landed_alerts(spark, sf_dir):
     a = scans.land(views.alerts(spark, sf_dir), _fresh(spark, "alerts"))
-    return a.filter("stream = 'flooding'").groupBy("stream").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("timestamp")).alias("last_us")
-    )
+    return a.groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_micros("timestamp")).alias("last_us"))
+
+
+@register(
+    "landed_reuse",
+    f"""WITH {ALERTS}, n AS (SELECT count(*) AS every, count(*) FILTER (WHERE emg = 1) AS emergency FROM alerts WHERE stream = 'flooding')
+        SELECT 1 AS reading, emergency AS n FROM n UNION ALL SELECT 2, emergency FROM n UNION ALL SELECT 3, every FROM n""",
+)
+def landed_reuse(spark, sf_dir):
+    """Land a capture, read it again as it is, change the source, and read again."""
+    csv, parquet = _fresh(spark, "source-csv"), _fresh(spark, "landed")
+    a = views.alerts(spark, sf_dir).filter("stream = 'flooding'")
+    a = a.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).drop("id", "stream")
+    counts = []
+    for source in (a.filter("type = 'emergency'"), None, a):
+        if source is not None:
+            source.write.mode("overwrite").option("header", True).option("escape", '"').csv(csv)
+        counts.append(scans.landed_or_read(spark, csv, parquet, "flooding").count())
+    return spark.createDataFrame(list(enumerate(counts, 1)), "reading int, n bigint")
 
 
 @register("float_downcast", "SELECT event_id AS id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM events")
