@@ -16,12 +16,17 @@ sizes near the border are in both, so no link is lost. In the band of long sets
 frequencies are counted for every ``STRIDE``-th token by hash; these come first
 in its order, and the others follow only in sets that have too few of them.
 
-Candidates without pairs inside a group. Per posting list one pivot is compared
-with the members of other components; links found are merged; the pivot, now
-compared with everybody, leaves the list. This repeats until the pairs of
-different components that are left are fewer than ``DIRECT`` times the posting
-entries; those pairs are then counted, filtered by m and verified. Pairs inside
-a component are never made. Verification compares whole sets.
+Candidates without pairs inside a group. The rarest token that two sets share
+must leave both enough tokens behind it, which bounds the size of the other set
+(``most``); entries without such a partner in their list are set aside. Per list
+one pivot is compared with the members of other components; links found are
+merged; the pivot, now compared with everybody in it, leaves the list. This
+repeats while one pair in ``PRODUCTIVE`` is a link and the pairs of different
+components that are left are more than ``DIRECT`` times the entries. The classes
+then still in a list with another component, a small rest, are ordered anew by
+the frequencies of all of their tokens, and go through the same pivots; the
+pairs left are filtered by the number of prefix tokens they share and verified.
+Pairs inside a component are never made. Verification compares whole sets.
 
 Defined cases: a null or empty text, or one of spaces, has no shingle and is a
 component of its own; fewer than ``SHINGLE`` words are one shingle; repeated
@@ -54,6 +59,8 @@ VERIFY_COST = 16
 BORDER = 256
 STRIDE = 4
 DIRECT = 4
+#: Pivots go on while one pair in so many, or more, is a link.
+PRODUCTIVE = 20
 #: Members compared with a pivot in one verification group.
 CHUNK = 64
 
@@ -97,31 +104,31 @@ def signature(text: Column, k: int) -> Column:
     return sign(text)
 
 
-def _submitted(runs: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _submitted(runs: np.ndarray, bounds: np.ndarray, whole: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(row, band, tokens, late): what each row brings to each of its bands; ``late`` marks the second class of the order."""
     for row in range(len(bounds) - 1):
         tokens = runs[bounds[row] : bounds[row + 1]]
         n = len(tokens)
         if n == 0:
             continue
-        if n <= BORDER:
+        if whole or n <= BORDER:
             yield row, 0, tokens, np.zeros(n, bool)
-        if n > needed(BORDER + 1) - 1:
+        if not whole and n > needed(BORDER + 1) - 1:
             late = tokens % np.uint64(STRIDE) != 0
             if n - int(late.sum()) >= n - needed(n) + MOST_MATCHES:
                 tokens, late = tokens[~late], np.zeros(n - int(late.sum()), bool)
             yield row, 1, tokens, late
 
 
-def submissions(own: DataFrame, k: int) -> DataFrame:
-    """(h, late, band, cid, n, ones): one row per token a row brings; ``ones`` is the number it brings in this band and class."""
+def submissions(own: DataFrame, k: int, whole: bool) -> DataFrame:
+    """(h, place, cid): one row per token a row brings; ``place`` is twice the band, and one more for the second class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for part in W.slices(batch.column(1)):
                 runs, bounds = sets(part, k)
-                found = list(_submitted(runs, bounds))
+                found = list(_submitted(runs, bounds, whole))
                 if not found:
                     continue
                 sizes = [len(t) for _, _, t, _ in found]
@@ -137,9 +144,13 @@ def submissions(own: DataFrame, k: int) -> DataFrame:
     return own.select("_row", "text").mapInArrow(run, "h bigint, place tinyint, cid bigint")
 
 
-def postings(own: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Prefix tokens that occur more than once: (band, h, cid, n, m, rare)."""
-    tokens = submissions(own, k)
+def postings(own: DataFrame, classes: DataFrame, k: int, whole: bool = False) -> DataFrame:
+    """Prefix tokens that occur more than once: (band, h, cid, n, m, rare, most, first). ``whole``: one band with all tokens.
+
+    ``most`` is the largest set that can still reach the threshold with this one
+    if they share no rarer token; ``first`` tells whether the list has any such.
+    """
+    tokens = submissions(own, k, whole)
     counts = tokens.groupBy("h", "place").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = tokens.join(counts, ["h", "place"])
     reps = classes.select("cid", "n", "brings")
@@ -163,16 +174,21 @@ def postings(own: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     costs = F.array(*[F.struct((r * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m, r in enumerate(reads, 1)])
     most = F.least(F.lit(MOST_MATCHES), F.col("n") - F.col("base"))
     chosen = F.array_min(F.filter(costs, lambda c: c["m"] <= most))["m"]
-    return (
+    entries = (
         near.withColumn("m", chosen)
         .filter(F.col("rank") <= F.col("base") + F.col("m"))
-        .select("band", "h", "cid", "n", "m", "rare")
+        .select("band", "h", "cid", "n", "m", "rare", F.expr(f"(n - rank + 1) * {NUM + DEN} div {NUM} - n").alias("most"))
     )
+    # the first token that two sets share leaves each too little if the other is larger than ``most``
+    sizes = entries.groupBy("band", "h").agg(F.min("n").alias("least_n"), F.max("most").alias("most_n"))
+    first = (F.col("most") >= F.col("least_n")) & (F.col("n") <= F.col("most_n"))
+    return entries.join(sizes, ["band", "h"]).withColumn("first", first).drop("least_n", "most_n")
 
 
-def fits(a: Column, b: Column) -> Column:
-    """Sizes that can reach the threshold."""
-    return (F.least(a, b) * DEN >= F.greatest(a, b) * NUM)
+def fits(left: str, right: str) -> Column:
+    """Whether two entries of a list can be the first token of a pair that reaches the threshold."""
+    n, o = F.col(f"{left}n"), F.col(f"{right}n")
+    return (F.least(n, o) * DEN >= F.greatest(n, o) * NUM) & (o <= F.col(f"{left}most")) & (n <= F.col(f"{right}most"))
 
 
 def _links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -218,46 +234,63 @@ def _by_chunk(table: pa.Table) -> list[pa.RecordBatch]:
     return table.drop_columns(["bucket"]).to_batches()
 
 
-def links(entries: DataFrame, own: DataFrame, k: int) -> DataFrame:
-    """All links needed to connect the classes as full comparison would: (u, v)."""
-    spark = own.sparkSession
-    found = spark.createDataFrame([], "u bigint, v bigint")
+def _open(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries of lists that hold several components, with ``root``, the list's largest component ``main`` and its ``cross`` pairs."""
+    labels = components(found).select(F.col("node").alias("cid"), "root")
+    rows = entries.join(labels, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    per_root = rows.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("c"))
+    lists = per_root.groupBy("band", "h").agg(
+        F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "root"))["root"].alias("main")
+    )
+    lists = lists.filter(F.col("squares") < F.col("members") * F.col("members"))
+    cross = F.expr("(members * members - squares) / 2 / members").alias("cross")
+    return settle(rows.join(lists.select("band", "h", "main", cross), ["band", "h"]), "open")
+
+
+def _by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Compare pivots while that finds links; returns the links and the entries still open."""
     while True:
-        labels = components(found)
-        rows = entries.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left")
-        rows = rows.withColumn("root", F.coalesce("root", "cid"))
-        per_root = rows.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("c"))
-        lists = per_root.groupBy("band", "h").agg(
-            F.sum("c").alias("members"),
-            F.sum(F.col("c") * F.col("c")).alias("squares"),
-            F.max(F.struct("c", "root"))["root"].alias("main"),
-        )
-        lists = lists.filter(F.col("squares") < F.col("members") * F.col("members"))
-        open_rows = settle(rows.join(lists.select("band", "h", "main", (F.expr("(members * members - squares) / 2")).alias("cross")), ["band", "h"]), "open")
-        stats = open_rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(1)).alias("x")).first()
-        if not stats["n"]:
-            return found
-        cross = open_rows.groupBy("band", "h").agg(F.first("cross").alias("c")).agg(F.sum("c")).first()[0]
-        if cross <= DIRECT * stats["n"]:
-            break
-        pivot = open_rows.groupBy("band", "h").agg(F.min(F.struct("rare", "cid", "n", "root")).alias("p"))
-        stars = open_rows.join(pivot, ["band", "h"])
-        pairs = stars.filter((F.col("root") != F.col("p.root")) & fits(F.col("n"), F.col("p.n")))
+        rows = _open(entries, found)
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("cross").alias("cross")).first()
+        if not size["n"] or size["cross"] <= DIRECT * size["n"]:
+            return found, rows
+        pivot = rows.groupBy("band", "h").agg(F.min(F.struct("rare", "cid", "n", "root", "most")).alias("p"))
+        stars = rows.join(pivot, ["band", "h"])
+        pairs = stars.filter((F.col("root") != F.col("p.root")) & fits("", "p."))
         pairs = settle(pairs.select(F.col("p.cid").alias("pivot"), "cid").distinct(), "pairs")
-        found = settle(found.unionByName(verified(pairs, own, k)), "links")
+        new = settle(verified(pairs, own, k), "links")
+        found = settle(found.unionByName(new), "links")
         entries = settle(stars.filter(F.col("cid") != F.col("p.cid")).select(*entries.columns), "entries")
-    side = open_rows.filter(F.col("root") != F.col("main")).select(
-        "band", "h", *[F.col(c).alias(f"o_{c}") for c in ("cid", "n", "m", "root")]
+        if new.count() * PRODUCTIVE < pairs.count():
+            return found, _open(entries, found)
+
+
+def links(entries: DataFrame, own: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """All links needed to connect the classes as full comparison would: (u, v)."""
+    found = own.sparkSession.createDataFrame([], "u bigint, v bigint")
+    found, rows = _by_pivots(entries.filter("first"), own, found, k)
+    left = settle(rows.select("cid").distinct(), "left")
+    if not left.limit(1).count():
+        return found
+    # what is left once more, in one order by the frequencies of all of its tokens
+    own = settle(own.join(left.withColumnRenamed("cid", "_row"), "_row", "left_semi"), "texts")
+    whole = F.array(F.col("n"), *[F.lit(0).cast("bigint")] * 3)
+    classes = classes.join(left, "cid", "left_semi").withColumn("brings", whole)
+    entries = settle(postings(own, classes, k, whole=True), "postings")
+    found, rows = _by_pivots(entries.filter("first"), own, found, k)
+    side = rows.filter(F.col("root") != F.col("main")).select(
+        "band", "h", *[F.col(c).alias(f"o_{c}") for c in ("cid", "n", "most", "root")]
     )
-    pairs = side.join(open_rows, ["band", "h"]).filter(
+    pairs = side.join(rows, ["band", "h"]).filter(
         (F.col("root") != F.col("o_root"))
         & ((F.col("root") == F.col("main")) | (F.col("o_cid") < F.col("cid")))
-        & fits(F.col("n"), F.col("o_n"))
-    )
-    shared = pairs.groupBy(F.least("cid", "o_cid").alias("pivot"), F.greatest("cid", "o_cid").alias("cid"), "band").agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("m", "o_m")).alias("asked")
+        & fits("", "o_")
     )
-    pairs = settle(shared.filter("shared >= asked").select("pivot", "cid").distinct(), "pairs")
+    pairs = settle(pairs.select(F.least("cid", "o_cid").alias("pivot"), F.greatest("cid", "o_cid").alias("cid")).distinct(), "pairs")
+    mine = entries.select("h", F.col("cid").alias("pivot"), F.col("m").alias("o_m"))
+    shared = pairs.join(mine, "pivot").join(entries.select("h", "cid", "m"), ["h", "cid"])
+    shared = shared.groupBy("pivot", "cid").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("m", "o_m")).alias("asked"))
+    pairs = settle(shared.filter("shared >= asked").select("pivot", "cid"), "matches")
     return settle(found.unionByName(verified(pairs, own, k)), "links")
 
 
@@ -286,7 +319,7 @@ def joined(own: DataFrame, k: int = SHINGLE) -> DataFrame:
     classes = rows.filter("s.n > 0").groupBy(*key).agg(F.min(F.struct("_row", "brings")).alias("least"))
     classes = settle(classes.select("n", "a", "b", F.col("least._row").alias("cid"), F.col("least.brings").alias("brings")), "classes")
     entries = settle(postings(own, classes, k), "postings")
-    labels = components(links(entries, own, k))
+    labels = components(links(entries, own, classes, k))
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
         F.struct("n", "a", "b").alias("s"), "cid", F.coalesce("root", "cid").alias("root")
     )
