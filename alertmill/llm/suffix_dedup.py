@@ -11,10 +11,10 @@ are equal, all their windows repeat and no text is looked at.
 Merging. Otherwise the distinct segment texts of the hash go to a bucket of
 bounded size. Its texts are dealt to shards, each shard gets its Burrows-Wheeler
 transform, and the transforms are merged: the interleaving of the shards' rows
-starts as one block and is refined once per byte, by a stable pass over the
-transforms' symbols along their LF mapping. The round in which two rows part is
-their common prefix, so rows that are in one block after ``LENGTH`` rounds are a
-repeated interval. Rows alone in their block are left out of later rounds; no
+starts as one block and is refined for every two bytes, by a stable pass over the
+transforms' symbols along their LF mapping. The round in which two rows part
+tells their common prefix, so rows that are in one block after ``LENGTH`` bytes
+are a repeated interval. Rows alone in their block are left out of later rounds; no
 suffix of the union is sorted.
 
 A hash with more than ``GROUP`` distinct texts would outgrow a bucket. Its
@@ -149,7 +149,13 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     symbols = np.zeros(len(owner), np.int64)
     symbols[place < sizes[owner] - 1] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     left = sizes[owner] - place
-    rank, width = symbols, 1
+    rank, width = np.zeros(len(symbols), np.int64), 7
+    for j in range(width):
+        ahead = np.zeros(len(symbols), np.int64)
+        ahead[: max(len(symbols) - j, 0)] = symbols[j:]
+        ahead[left <= j] = 0
+        rank = rank << 9 | ahead
+    rank = np.unique(rank, return_inverse=True)[1] + 1
     while width < LENGTH:
         ahead = np.zeros(len(rank), np.int64)
         ahead[:-width] = rank[width:]
@@ -172,19 +178,22 @@ def merged_repeats(shards: list[list[bytes]]) -> list[tuple[int, np.ndarray]]:
     lf = np.concatenate([np.where(p[1] >= 0, p[1] + rows[i], -1) for i, p in enumerate(parts)])
     owner = np.concatenate([p[2] + texts[i] for i, p in enumerate(parts)])
     place = np.concatenate([p[3] for p in parts])
-    symbol8 = symbol.astype(np.uint8)
-    inter, block = np.arange(len(symbol)), np.zeros(len(symbol), np.int64)
-    for _ in range(LENGTH):
-        live = lf[inter] >= 0
-        inter, block = inter[live], block[live]
-        s = symbol8[inter]
+    # two symbols at a time: along LF twice, with the pair of symbols passed
+    back = np.where(lf >= 0, lf[lf], -1)
+    pair = (symbol[lf].astype(np.uint16) << np.uint16(8)) | symbol.astype(np.uint16)
+    lf, pair = back.astype(np.int32), np.where(back >= 0, pair, 0).astype(np.uint16)
+    inter, block = np.arange(len(lf), dtype=np.int32), np.zeros(len(lf), np.int32)
+    for _ in range(LENGTH // 2):
+        target = lf[inter]
+        live = target >= 0
+        s = pair[inter[live]]
         turn = np.argsort(s, kind="stable")
-        inter, block, s = lf[inter[turn]], block[turn], s[turn]
+        inter, block, s = target[live][turn], block[live][turn], s[turn]
         new = np.ones(len(inter), bool)
         new[1:] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
         # a row whose neighbours are in other blocks is alone: its common prefix is known
-        alone = new & np.append(new[1:], True)
-        inter, block = inter[~alone], (np.cumsum(new) - 1)[~alone]
+        kept = ~(new & np.append(new[1:], True))
+        inter, block = inter[kept], np.cumsum(new, dtype=np.int32)[kept]
         if not len(inter):
             return []
     found = np.lexsort((place[inter], owner[inter]))
