@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.session import settle
+from alertmill.session import scratch_path
 
 #: A side is broadcast only if it has been counted to hold no more rows than this.
 BROADCAST_ROWS = 200_000
@@ -37,5 +37,10 @@ def text_key(name: str) -> Column:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """The rows written once with a number of their own in ``_row``, the same for every later reader."""
-    return settle(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    """The rows written once with a number of their own in ``_row``, the same for every later reader.
+
+    This holds whole texts, so it is written with the denser codec.
+    """
+    rows, path = df.withColumn("_row", F.monotonically_increasing_id()), scratch_path(df.sparkSession, "numbered")
+    rows.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
