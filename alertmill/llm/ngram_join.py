@@ -1,7 +1,9 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is its set of distinct ``SHINGLE``-word shingles (64-bit hashes).
-Documents with equal sets are one class; classes are joined.
+A document is its set of distinct shingles of ``k`` words (64-bit hashes).
+Documents with equal sets are one class; classes are joined. Shingle length and
+threshold are a ``Rule``: ``REPORT`` (4 words, 0.85) for the report, ``STAGE``
+(5 words, 0.8) for removing near copies.
 
 Order and prefixes. All tokens have one global order, rare first. If two sets
 reach the threshold, their prefixes of n - ceil(t n) + m tokens share at least
@@ -29,7 +31,7 @@ pairs left are filtered by the number of prefix tokens they share and verified.
 Pairs inside a component are never made. Verification compares whole sets.
 
 Defined cases: a null or empty text, or one of spaces, has no shingle and is a
-component of its own; fewer than ``SHINGLE`` words are one shingle; repeated
+component of its own; fewer than ``k`` words are one shingle; repeated
 rows are in one class; null doc_ids are ignored when a component is named, and
 name it null if it has no other; an empty table gives an empty result. Columns
 other than doc_id and text are not read.
@@ -38,6 +40,7 @@ other than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +53,6 @@ from alertmill.llm.common import BROADCAST_ROWS, numbered, packed
 from alertmill.llm.components import components
 from alertmill.session import settle
 
-SHINGLE = 4
-#: The threshold as a fraction, 0.85.
-NUM, DEN = 17, 20
 MOST_MATCHES = 4
 #: Cost of verifying a pair, in posting entries read.
 VERIFY_COST = 16
@@ -65,9 +65,20 @@ PRODUCTIVE = 20
 CHUNK = 64
 
 
-def needed(n):
-    """ceil(t n)."""
-    return (n * NUM + DEN - 1) // DEN
+class Rule(NamedTuple):
+    """Words of a shingle, and the threshold as a fraction."""
+
+    k: int
+    num: int
+    den: int
+
+    def needed(self, n: int) -> int:
+        """ceil(t n)."""
+        return (n * self.num + self.den - 1) // self.den
+
+
+REPORT = Rule(4, 17, 20)
+STAGE = Rule(5, 4, 5)
 
 
 def sets(part: W.Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +115,7 @@ def signature(text: Column, k: int) -> Column:
     return sign(text)
 
 
-def _submitted(runs: np.ndarray, bounds: np.ndarray, whole: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _submitted(runs: np.ndarray, bounds: np.ndarray, rule: Rule, whole: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(row, band, tokens, late): what each row brings to each of its bands; ``late`` marks the second class of the order."""
     for row in range(len(bounds) - 1):
         tokens = runs[bounds[row] : bounds[row + 1]]
@@ -113,22 +124,22 @@ def _submitted(runs: np.ndarray, bounds: np.ndarray, whole: bool = False) -> Ite
             continue
         if whole or n <= BORDER:
             yield row, 0, tokens, np.zeros(n, bool)
-        if not whole and n > needed(BORDER + 1) - 1:
+        if not whole and n > rule.needed(BORDER + 1) - 1:
             late = tokens % np.uint64(STRIDE) != 0
-            if n - int(late.sum()) >= n - needed(n) + MOST_MATCHES:
+            if n - int(late.sum()) >= n - rule.needed(n) + MOST_MATCHES:
                 tokens, late = tokens[~late], np.zeros(n - int(late.sum()), bool)
             yield row, 1, tokens, late
 
 
-def submissions(own: DataFrame, k: int, whole: bool) -> DataFrame:
+def submissions(own: DataFrame, rule: Rule, whole: bool) -> DataFrame:
     """(h, place, cid): one row per token a row brings; ``place`` is twice the band, and one more for the second class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for part in W.slices(batch.column(1)):
-                runs, bounds = sets(part, k)
-                found = list(_submitted(runs, bounds, whole))
+                runs, bounds = sets(part, rule.k)
+                found = list(_submitted(runs, bounds, rule, whole))
                 if not found:
                     continue
                 sizes = [len(t) for _, _, t, _ in found]
@@ -144,13 +155,13 @@ def submissions(own: DataFrame, k: int, whole: bool) -> DataFrame:
     return own.select("_row", "text").mapInArrow(run, "h bigint, place tinyint, cid bigint")
 
 
-def postings(own: DataFrame, classes: DataFrame, k: int, whole: bool = False) -> DataFrame:
+def postings(own: DataFrame, classes: DataFrame, rule: Rule, whole: bool = False) -> DataFrame:
     """Prefix tokens that occur more than once: (band, h, cid, n, m, rare, most, first). ``whole``: one band with all tokens.
 
     ``most`` is the largest set that can still reach the threshold with this one
     if they share no rarer token; ``first`` tells whether the list has any such.
     """
-    tokens = submissions(own, k, whole)
+    tokens = submissions(own, rule, whole)
     counts = tokens.groupBy("h", "place").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = tokens.join(counts, ["h", "place"])
     reps = classes.select("cid", "n", "brings")
@@ -168,7 +179,7 @@ def postings(own: DataFrame, classes: DataFrame, k: int, whole: bool = False) ->
     ranked = shared.withColumn("rank", F.row_number().over(line) + alone).withColumn(
         "rare", (brought + brought_late - both) * 1000 / F.col("n")
     )
-    base = F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}")
+    base = F.col("n") - F.expr(f"(n * {rule.num} + {rule.den - 1}) div {rule.den}")
     near = ranked.withColumn("base", base).filter(F.col("rank") <= F.col("base") + MOST_MATCHES)
     reads = [F.sum(F.when(F.col("rank") <= F.col("base") + m, F.col("df") - 1).otherwise(0)).over(doc) for m in range(1, MOST_MATCHES + 1)]
     costs = F.array(*[F.struct((r * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m")) for m, r in enumerate(reads, 1)])
@@ -177,7 +188,7 @@ def postings(own: DataFrame, classes: DataFrame, k: int, whole: bool = False) ->
     entries = (
         near.withColumn("m", chosen)
         .filter(F.col("rank") <= F.col("base") + F.col("m"))
-        .select("band", "h", "cid", "n", "m", "rare", F.expr(f"(n - rank + 1) * {NUM + DEN} div {NUM} - n").alias("most"))
+        .select("band", "h", "cid", "n", "m", "rare", F.expr(f"(n - rank + 1) * {rule.num + rule.den} div {rule.num} - n").alias("most"))
     )
     # the first token that two sets share leaves each too little if the other is larger than ``most``
     sizes = entries.groupBy("band", "h").agg(F.min("n").alias("least_n"), F.max("most").alias("most_n"))
@@ -185,19 +196,19 @@ def postings(own: DataFrame, classes: DataFrame, k: int, whole: bool = False) ->
     return entries.join(sizes, ["band", "h"]).withColumn("first", first).drop("least_n", "most_n")
 
 
-def fits(left: str, right: str) -> Column:
+def fits(left: str, right: str, rule: Rule) -> Column:
     """Whether two entries of a list can be the first token of a pair that reaches the threshold."""
     n, o = F.col(f"{left}n"), F.col(f"{right}n")
-    return (F.least(n, o) * DEN >= F.greatest(n, o) * NUM) & (o <= F.col(f"{left}most")) & (n <= F.col(f"{right}most"))
+    return (F.least(n, o) * rule.den >= F.greatest(n, o) * rule.num) & (o <= F.col(f"{left}most")) & (n <= F.col(f"{right}most"))
 
 
-def _links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(list(batches))
     cids, pivots = rows["cid"].to_numpy(), rows["pivot"].to_numpy()
     found: dict[int, list[np.ndarray]] = {}
     bodies: list[np.ndarray] = []
     for part in W.slices(rows["text"].combine_chunks()):
-        runs, bounds = sets(part, k)
+        runs, bounds = sets(part, rule.k)
         bodies += [runs[bounds[i] : bounds[i + 1]].copy() for i in range(part.rows)]
     at = {int(c): i for i, c in enumerate(cids) if c == pivots[i]}
     out = []
@@ -205,12 +216,12 @@ def _links(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         if c != p:
             a, b = bodies[at[p]], bodies[i]
             common = len(np.intersect1d(a, b, assume_unique=True))
-            if common * DEN >= (len(a) + len(b) - common) * NUM:
+            if common * rule.den >= (len(a) + len(b) - common) * rule.num:
                 out.append((p, c))
     yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in (0, 1)], names=["u", "v"])
 
 
-def verified(pairs: DataFrame, own: DataFrame, k: int) -> DataFrame:
+def verified(pairs: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (pivot, cid) whose whole sets reach the threshold, as links (u, v). Pairs must be distinct and settled."""
     total = pairs.count()
     chunk = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
@@ -225,7 +236,7 @@ def verified(pairs: DataFrame, own: DataFrame, k: int) -> DataFrame:
     schema = "u bigint, v bigint"
 
     def check(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(_links(iter(_by_chunk(table)), k))
+        return pa.Table.from_batches(_links(iter(_by_chunk(table)), rule))
 
     return texts.select(bucket, "pivot", "chunk", "cid", "text").groupBy("bucket").applyInArrow(check, schema)
 
@@ -247,7 +258,7 @@ def _open(entries: DataFrame, found: DataFrame) -> DataFrame:
     return settle(rows.join(lists.select("band", "h", "main", cross), ["band", "h"]), "open")
 
 
-def _by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """Compare pivots while that finds links; returns the links and the entries still open."""
     while True:
         rows = _open(entries, found)
@@ -256,19 +267,19 @@ def _by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, k: int) ->
             return found, rows
         pivot = rows.groupBy("band", "h").agg(F.min(F.struct("rare", "cid", "n", "root", "most")).alias("p"))
         stars = rows.join(pivot, ["band", "h"])
-        pairs = stars.filter((F.col("root") != F.col("p.root")) & fits("", "p."))
+        pairs = stars.filter((F.col("root") != F.col("p.root")) & fits("", "p.", rule))
         pairs = settle(pairs.select(F.col("p.cid").alias("pivot"), "cid").distinct(), "pairs")
-        new = settle(verified(pairs, own, k), "links")
+        new = settle(verified(pairs, own, rule), "links")
         found = settle(found.unionByName(new), "links")
         entries = settle(stars.filter(F.col("cid") != F.col("p.cid")).select(*entries.columns), "entries")
         if new.count() * PRODUCTIVE < pairs.count():
             return found, _open(entries, found)
 
 
-def links(entries: DataFrame, own: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def links(entries: DataFrame, own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """All links needed to connect the classes as full comparison would: (u, v)."""
     found = own.sparkSession.createDataFrame([], "u bigint, v bigint")
-    found, rows = _by_pivots(entries.filter("first"), own, found, k)
+    found, rows = _by_pivots(entries.filter("first"), own, found, rule)
     left = settle(rows.select("cid").distinct(), "left")
     if not left.limit(1).count():
         return found
@@ -276,25 +287,25 @@ def links(entries: DataFrame, own: DataFrame, classes: DataFrame, k: int) -> Dat
     own = settle(own.join(left.withColumnRenamed("cid", "_row"), "_row", "left_semi"), "texts")
     whole = F.array(F.col("n"), *[F.lit(0).cast("bigint")] * 3)
     classes = classes.join(left, "cid", "left_semi").withColumn("brings", whole)
-    entries = settle(postings(own, classes, k, whole=True), "postings")
-    found, rows = _by_pivots(entries.filter("first"), own, found, k)
+    entries = settle(postings(own, classes, rule, whole=True), "postings")
+    found, rows = _by_pivots(entries.filter("first"), own, found, rule)
     side = rows.filter(F.col("root") != F.col("main")).select(
         "band", "h", *[F.col(c).alias(f"o_{c}") for c in ("cid", "n", "most", "root")]
     )
     pairs = side.join(rows, ["band", "h"]).filter(
         (F.col("root") != F.col("o_root"))
         & ((F.col("root") == F.col("main")) | (F.col("o_cid") < F.col("cid")))
-        & fits("", "o_")
+        & fits("", "o_", rule)
     )
     pairs = settle(pairs.select(F.least("cid", "o_cid").alias("pivot"), F.greatest("cid", "o_cid").alias("cid")).distinct(), "pairs")
     mine = entries.select("h", F.col("cid").alias("pivot"), F.col("m").alias("o_m"))
     shared = pairs.join(mine, "pivot").join(entries.select("h", "cid", "m"), ["h", "cid"])
     shared = shared.groupBy("pivot", "cid").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("m", "o_m")).alias("asked"))
     pairs = settle(shared.filter("shared >= asked").select("pivot", "cid"), "matches")
-    return settle(found.unionByName(verified(pairs, own, k)), "links")
+    return settle(found.unionByName(verified(pairs, own, rule)), "links")
 
 
-def _brings(text: Column, k: int) -> Column:
+def _brings(text: Column, rule: Rule) -> Column:
     """How many tokens a row brings: [band 0, band 0 late, band 1, band 1 late]."""
 
     @F.arrow_udf("array<bigint>")
@@ -302,7 +313,7 @@ def _brings(text: Column, k: int) -> Column:
         out = []
         for part in W.slices(texts):
             rows = np.zeros((part.rows, 4), np.int64)
-            for row, band, _, late in _submitted(*sets(part, k)):
+            for row, band, _, late in _submitted(*sets(part, rule.k), rule):
                 rows[row, band * 2 : band * 2 + 2] = (~late).sum(), late.sum()
             out += rows.tolist()
         return pa.array(out, pa.list_(pa.int64()))
@@ -310,16 +321,16 @@ def _brings(text: Column, k: int) -> Column:
     return count(text)
 
 
-def joined(own: DataFrame, k: int = SHINGLE) -> DataFrame:
+def joined(own: DataFrame, rule: Rule = REPORT) -> DataFrame:
     """Per row of a ``numbered`` table: _row, doc_id, n_shingles, class (least _row of its set) and component (least _row)."""
     rows = settle(
-        own.select("_row", "doc_id", signature(F.col("text"), k).alias("s"), _brings(F.col("text"), k).alias("brings")), "signatures"
+        own.select("_row", "doc_id", signature(F.col("text"), rule.k).alias("s"), _brings(F.col("text"), rule).alias("brings")), "signatures"
     )
     key = [F.col("s.n").alias("n"), F.col("s.a").alias("a"), F.col("s.b").alias("b")]
     classes = rows.filter("s.n > 0").groupBy(*key).agg(F.min(F.struct("_row", "brings")).alias("least"))
     classes = settle(classes.select("n", "a", "b", F.col("least._row").alias("cid"), F.col("least.brings").alias("brings")), "classes")
-    entries = settle(postings(own, classes, k), "postings")
-    labels = components(links(entries, own, classes, k))
+    entries = settle(postings(own, classes, rule), "postings")
+    labels = components(links(entries, own, classes, rule))
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
         F.struct("n", "a", "b").alias("s"), "cid", F.coalesce("root", "cid").alias("root")
     )
@@ -338,10 +349,10 @@ def join_report(docs: DataFrame) -> DataFrame:
     return rows.join(names, "component").select("doc_id", "n_shingles", "component_id")
 
 
-def without_copies(docs: DataFrame) -> DataFrame:
+def without_copies(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     """One document of each component, that with the least doc_id, with all its columns."""
     own = numbered(packed(docs))
-    rows = joined(own.select("_row", "_doc.doc_id", "_doc.text"))
+    rows = joined(own.select("_row", "_doc.doc_id", "_doc.text"), rule)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
     kept = first.select(F.col("first._row").alias("_kept"))
     small = settle(kept, "kept")

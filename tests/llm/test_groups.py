@@ -71,6 +71,23 @@ def test_one_document_of_each_group(clashing, rows):
     assert sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("direct", [4, 0])
+def test_stage_takes_five_words_and_four_fifths(spark, rows, monkeypatch, direct):
+    monkeypatch.setattr(ngram_join, "DIRECT", direct)
+    texts = [t for _, t, *_ in rows]
+    texts += near_copies(5, 3, 8, 90, 4) + near_copies(6, 2, 6, 400, 12) + near_copies(7, 3, 5, 262, 9) + near_copies(8, 4, 4, 12, 1)
+    for seed, n in enumerate((60, 130, 245, 262, 330, 500)):
+        body = sentence(random.Random(20 + seed), n).split()
+        # one block of new words, on both sides of the threshold
+        texts.append(" ".join(body))
+        for block in (n // 12, n // 10, n // 8):
+            texts.append(" ".join([*body[:20], *sentence(random.Random(30 + seed + block), block).split(), *body[20 + block :]]))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    want, coarse = (set(brute.components([brute.shingle_set(t, k) for t in texts], *share)) for k, share in ((5, (4, 5)), (4, (85, 100))))
+    assert len(want) < len(coarse)
+    assert {r["doc_id"] for r in ngram_join.without_copies(docs).collect()} == want
+
+
 @pytest.mark.parametrize("group", [2048, 1])
 def test_repeated_bytes(spark, rows, monkeypatch, group):
     """With group = 1 all hashes with several texts are counted instead of merged."""
