@@ -8,9 +8,9 @@ that is broadcast to score every text.
 
 Fitting reads a bounded sample: labelled rows outside the held-out fold whose
 digest falls under FIT_ROWS / (number of such rows), so about ``FIT_ROWS``
-documents whatever the table holds. They are dealt to ``WORKERS`` tasks; each
-round a task runs its share through FTRL ``PASSES`` times from the common state,
-and the states are averaged.
+documents whatever the table holds. They are written once, dealt to ``WORKERS``
+shares; each round a task reads its share, without a shuffle, and runs it
+through FTRL from the common state, and the states are averaged.
 
 Defined cases: a null or empty text is scored by the bias alone; null labels
 and labels of unknown documents are not used; repeated labels count as often as
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm import words as W
-from alertmill.session import settle
+from alertmill.session import scratch_path
 
 BITS = 18
 BUCKETS = 1 << BITS
-FIT_ROWS = 12_000
+FIT_ROWS = 16_000
 WORKERS = 4
-ROUNDS = 2
-#: Passes over its share that a task makes in a round.
-PASSES = 3
+ROUNDS = 8
 FOLDS = 5
 ALPHA, BETA, L1, L2 = 1.5, 1.0, 4.0, 0.02
 
@@ -135,7 +134,7 @@ def held_out() -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """(share, order, label, x) of about ``fit_rows`` labelled rows outside the held-out fold."""
+    """(place, label, x, share) of about ``fit_rows`` labelled rows outside the held-out fold, written in folders by share."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     total = usable.count()
     digest = F.xxhash64("doc_id", F.lit(7))
@@ -146,29 +145,41 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     # bounded by fit_rows, so the labels can be sent to the documents
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_of"))
     share = F.pmod(F.shiftright("place", 33), F.lit(WORKERS)).cast("int")
-    return settle(rows.select(share.alias("share"), "place", "label", features(F.col("text")).alias("x")), "sample")
+    rows = rows.select("place", "label", features(F.col("text")).alias("x"), share.alias("share")).repartition(WORKERS, "share")
+    path = scratch_path(docs.sparkSession, "sample")
+    rows.write.partitionBy("share").option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _round(common: State) -> Callable[[pa.Table], pa.Table]:
-    """A task's part of a round: its share of the sample, from the common state."""
+def _round(common: State) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's part of a round: each share of the sample that it holds, from the common state."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        state = State(common.z.copy(), common.n.copy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if not sum(b.num_rows for b in found):
+            return
+        rows = pa.Table.from_batches(found)
         labels, order = rows["label"].to_numpy(), np.argsort(rows["place"].to_numpy(), kind="stable")
+        shares = rows["share"].to_numpy()[order]
         x = rows["x"].combine_chunks()
         body, bounds = x.values.to_numpy(), x.offsets.to_numpy()
-        for i in np.tile(order, PASSES).tolist():
-            state.learn(np.append(body[bounds[i] : bounds[i + 1]].astype(np.int64), BUCKETS), int(labels[i] > 0))
-        return pa.table({"z": [state.z.tobytes()], "n": [state.n.tobytes()]})
+        for share in np.unique(shares):
+            state = State(common.z.copy(), common.n.copy())
+            for i in order[shares == share].tolist():
+                state.learn(np.append(body[bounds[i] : bounds[i + 1]].astype(np.int64), BUCKETS), int(labels[i] > 0))
+            yield pa.RecordBatch.from_pydict({"z": [state.z.tobytes()], "n": [state.n.tobytes()]})
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     sample = _sample(docs, labels, fit_rows)
+    # one partition for each share; the last part has no rows, but without it Spark may merge parts that are all single partitions
+    parts = [sample.filter(F.col("share") == i).coalesce(1) for i in range(WORKERS)]
+    dealt = reduce(DataFrame.unionAll, [*parts, sample.filter(F.col("share") == WORKERS)])
     state = State.fresh()
     for _ in range(ROUNDS):
-        shares = sample.groupBy("share").applyInArrow(_round(state), "z binary, n binary").collect()
+        shares = dealt.mapInArrow(_round(state), "z binary, n binary").collect()
         if not shares:
             break
         state = State(*(np.mean([np.frombuffer(r[c], np.float64) for r in shares], axis=0) for c in ("z", "n")))

@@ -137,6 +137,32 @@ def test_toxicity_weights_are_sparse_and_labels_of_held_out_rows_unused(spark):
     assert 0 < len(a.buckets) < 5000
 
 
+def test_toxicity_fit_reads_16000_rows_eight_times(spark):
+    short = "doc_id bigint, text string"
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["aa", "bb", "cc", "dd", "vile"], k=4))) for i in range(19_000)]
+    flags = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame(rows, short)
+    sample = toxicity._sample(docs, flags, toxicity.FIT_ROWS)
+    used = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)
+    assert 12_500 < used < 16_000 and sample.count() == used
+    shares: dict[int, list] = {}
+    for r in sample.collect():
+        shares.setdefault(r["share"], []).append(r)
+    common = toxicity.State.fresh()
+    for _ in range(8):
+        states = []
+        for own in shares.values():
+            states.append(toxicity.State(common.z.copy(), common.n.copy()))
+            for r in sorted(own, key=lambda r: r["place"]):
+                states[-1].learn(np.array([*r["x"], toxicity.BUCKETS]), r["label"])
+        common = toxicity.State(*(np.mean([getattr(x, c) for x in states], axis=0) for c in ("z", "n")))
+    want = common.weights(slice(None))
+    got = toxicity.fit(docs, flags)
+    assert got.buckets.tolist() == np.flatnonzero(want[:-1]).tolist()
+    assert np.allclose(got.values, want[got.buckets]) and got.bias == pytest.approx(want[-1])
+
+
 def test_without_labels_or_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {r["score"] for r in toxicity.toxicity_report(docs, none).collect()} == {0.5}
