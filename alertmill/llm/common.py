@@ -44,3 +44,12 @@ def numbered(df: DataFrame) -> DataFrame:
     rows, path = df.withColumn("_row", F.monotonically_increasing_id()), scratch_path(df.sparkSession, "numbered")
     rows.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def drop_settled(df: DataFrame) -> None:
+    """Remove the files of a table that ``settle`` has written, once nothing reads it any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

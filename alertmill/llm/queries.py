@@ -3,7 +3,22 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from alertmill.llm import contamination, line_spread, lm, mixing, ngram_join, quality, secrets, sharding, sql, suffix_dedup, toxicity
+from alertmill.llm import (
+    ball_codes,
+    contamination,
+    line_spread,
+    lm,
+    mixing,
+    ngram_join,
+    quality,
+    ranked_search,
+    secrets,
+    sharding,
+    sketch_dedup,
+    sql,
+    suffix_dedup,
+    toxicity,
+)
 from alertmill.llm.registry import register, table
 
 
@@ -57,6 +72,21 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_join.join_report(table(spark, sf_dir, "documents"))
 
 
+@register("op11_vector_codes", sql.codes_sql())
+def op11_vector_codes(spark, sf_dir):
+    return ball_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_sketch_dedup")
+def op12_sketch_dedup(spark, sf_dir):
+    return sketch_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@register("op13_ranked_search", sql.search_sql())
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -114,3 +114,55 @@ def line_sql() -> str:
     SELECT doc_id, n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN (
         SELECT rid, count(*) FILTER (WHERE regexp_matches(line, '{WORD}')) AS n_lines, count(*) FILTER (WHERE bad) AS n_removed,
         string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT bad) AS kept FROM m GROUP BY rid) USING (rid)"""
+
+
+def codes_sql() -> str:
+    from alertmill.llm.ball_codes import ENTRIES, LIMIT, PARTS, ROUNDS, SCALE
+
+    part = "p * w + 1"
+    steps = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, len(embedding) // {PARTS} AS w,
+        list_transform(embedding, lambda x: CAST(floor(greatest(least({SCALE} * CAST(x AS DOUBLE), {LIMIT}), -{LIMIT})) AS BIGINT)) AS q
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""v AS MATERIALIZED (SELECT rid, p, list_slice(q, {part}, p * w + w) AS x FROM k, range({PARTS}) AS t(p))""",
+        f"""s AS (SELECT rid, row_number() OVER (ORDER BY vec_id, q) - 1 AS e FROM k ORDER BY vec_id, q LIMIT {ENTRIES})""",
+        "c0 AS MATERIALIZED (SELECT p, e, x AS c FROM v JOIN s USING (rid))",
+    ]
+    for r in range(ROUNDS + 1):
+        # the squared distance and the entry in one number, so that the least is the nearest and the lowest
+        gap = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, p, x, min(CAST({gap} AS BIGINT) * {ENTRIES} + e) AS best FROM v JOIN c{r} USING (p) GROUP BY rid, p, x)")
+        if r < ROUNDS:
+            steps.append(
+                f"""m{r} AS (SELECT p, e, list(y ORDER BY i) AS c FROM (SELECT p, e, i, (t - ((t % n) + n) % n) // n AS y FROM (
+                SELECT p, e, i, CAST(sum(x[i]) AS BIGINT) AS t, count(*) AS n FROM (
+                SELECT p, best % {ENTRIES} AS e, x, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY p, e, i)) GROUP BY p, e)"""
+            )
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.p, o.e, coalesce(m{r}.c, o.c) AS c FROM c{r} AS o LEFT JOIN m{r} ON o.p = m{r}.p AND o.e = m{r}.e)")
+    last = f"a{ROUNDS}"
+    return f"""WITH {", ".join(steps)},
+    f AS (SELECT rid, string_agg(format('{{:02x}}', best % {ENTRIES}), '' ORDER BY p) AS code, CAST(sum(best // {ENTRIES}) AS BIGINT) AS error
+        FROM {last} GROUP BY rid),
+    b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{ROUNDS})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM k JOIN f USING (rid), b"""
+
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def search_sql() -> str:
+    from alertmill.llm.ranked_search import TOP
+
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWERED}, '{TERM}') AS ws FROM documents),
+    size AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS total FROM d WHERE len(ws) > 0),
+    t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) GROUP BY rid, term),
+    b AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWERED}, '{TERM}') AS ws FROM benchmark),
+    q AS (SELECT item, term, count(*) AS times FROM (SELECT item, unnest(ws) AS term FROM b) GROUP BY item, term),
+    df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM df, size),
+    m AS (SELECT rid, doc_id, 75 + (25 * len(ws) * docs) // total AS m FROM d, size),
+    s AS (SELECT item, doc_id, rid, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+        FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (rid) GROUP BY item, doc_id, rid),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, rid) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r JOIN b USING (item) WHERE rank <= {TOP}"""
