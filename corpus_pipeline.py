@@ -8,6 +8,14 @@ takes twice is two rows from then on.
 The two stages that SQL cannot express are the join (components) and the
 packing, so there is no SQL form; tests hold the whole run against a
 brute-force version.
+
+Defined cases: a null or empty text fails the first stage's rules, so it goes
+there; in a stage called on its own such a document is nobody's copy, holds no
+passage, is no part of a mixture and takes eight bytes of a shard. Repeated rows
+and equal texts are copies, of which the least doc_id stays (null last); after
+the mixture a document may be two rows, which share a shard. Columns beyond those
+of documents pass through all stages but the last, whatever their names. A null
+source or language is a group of its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
