@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertmill.llm import words as W
@@ -279,9 +279,9 @@ def _counted(bodies: DataFrame, weights: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(ka, kb, ranges): for each text with repeats, byte ranges (may overlap) that are covered."""
-    parts = _segment_rows(docs)
-    shared = parts.groupBy("h").agg(F.sum("weight").alias("df")).filter("df > 1").select("h")
-    found = settle(parts.join(shared, "h"), "segments")
+    # one shuffle: segments are weighed where those of a hash meet
+    weighed = _segment_rows(docs).withColumn("df", F.sum("weight").over(Window.partitionBy("h")))
+    found = settle(weighed.filter("df > 1").drop("df"), "segments")
     bodies = found.groupBy("h", "c").agg(
         F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"), F.min(F.struct("ka", "kb", "start", "starts")).alias("one")
     )
