@@ -44,7 +44,8 @@ PATTERNS = {
     "assign": _ASSIGN,
     "access": r"AKIA[A-Z0-9]{16,}",
     "hex": r"[0-9a-f]{24,}",
-    "random": r"(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}",
+    # looked at from the start of a run only, so that a long run is read once
+    "random": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}",
 }
 KINDS = list(PATTERNS)
 MIN_VALUE = 6
@@ -110,7 +111,7 @@ def battery(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_v", plain).withColumn("_alphabet", alphabet)
     codes = F.expr("transform(regexp_extract_all(_v, '(.)', 1), c -> cast(locate(c, _alphabet) - 1 as double))")
     rows = rows.withColumn("_x", codes).withColumn("_n", F.size("_x").cast("double")).withColumn("_a", F.length("_alphabet").cast("double"))
-    rows = rows.withColumn("_equal", F.expr("aggregate(transform(array_distinct(_x), d -> size(filter(_x, x -> x = d))), 0D, (s, c) -> s + c * c)"))
+    rows = rows.withColumn("_equal", F.expr("aggregate(transform(array_distinct(_x), d -> cast(size(filter(_x, x -> x = d)) as double)), 0D, (s, c) -> s + c * c)"))
     rows = rows.withColumn("_chi", (F.col("_equal") * F.col("_a") / F.col("_n") - F.col("_n") - F.col("_a") + 1) / F.sqrt(2 * (F.col("_a") - 1) * (1 - 1 / F.col("_n"))))
     rows = rows.withColumn("_up", F.expr("transform(_x, x -> x >= _a / 2)"))
     rows = rows.withColumn("_n1", F.expr("cast(size(filter(_up, u -> u)) as double)")).withColumn("_n2", F.col("_n") - F.col("_n1"))
@@ -145,19 +146,23 @@ def cuts(candidates: DataFrame, words: DataFrame) -> DataFrame:
 def secret_spans(docs: DataFrame) -> DataFrame:
     """Per row: _row, doc_id and ``spans``, an array of (start, rank of the kind, kind, end) in order."""
     found = settle(matches(docs), "matches")
-    candidates = battery(found.filter("kind = 'random'"))
+    # few bytes but much work for each: dealt evenly, not by the files they come in
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = battery(found.filter("kind = 'random'").repartition(parts, "_row", "start"))
     long_words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"({_LONG_WORD})"), F.lit(1))).alias("value"))
     counted = long_words.groupBy("value").agg(F.count(F.lit(1)).alias("times"))
     cut = settle(cuts(candidates, battery(counted)), "cuts")
     random = candidates.join(F.broadcast(cut), "band").filter("cell <= cut").select("_row", "doc_id", "kind", "start", "end")
     base = found.filter("kind IS NULL OR kind != 'random'").select("_row", "doc_id", "kind", "start", "end")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    span = F.when(F.col("kind").isNotNull(), F.struct("start", rank.alias("rank"), "kind", "end"))
-    rows = base.unionByName(random).groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("all"))
-    touching = F.expr(
-        "filter(all, s -> s.kind != 'random' OR NOT exists(all, t -> t.kind != 'random' AND t.start < s.end AND s.start < t.end))"
-    )
-    return rows.select("_row", "doc_id", touching.alias("spans"))
+    # the furthest end of the base spans that begin before this one ends
+    is_random = F.coalesce(F.col("kind") == "random", F.lit(False))
+    before = Window.partitionBy("_row").orderBy(F.when(is_random, F.col("end") - 1).otherwise(F.col("start")))
+    reach = F.max(F.when(~is_random, F.col("end"))).over(before.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = base.unionByName(random).withColumn("reach", reach)
+    touching = is_random & F.coalesce(F.col("reach") > F.col("start"), F.lit(False))
+    span = F.when(F.col("kind").isNotNull() & ~touching, F.struct("start", rank.alias("rank"), "kind", "end"))
+    return rows.groupBy("_row", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def _digest(spans: Column) -> Column:

@@ -179,6 +179,17 @@ def test_redaction_keeps_lengths(clashing, spark):
     assert out.columns == clashing.columns and out.first()["text"] == "my ************** ends"
 
 
+def test_secrets_in_very_long_texts(spark):
+    """A megabyte of letters, one of letters and digits, and a text of very many spans."""
+    many = " ".join(f"token=abcdef{i} " for i in range(30_000))
+    texts = ["a" * 1_000_000, "a" * 500_000 + "b1" * 250_000, f"1 {'x' * 700_000} 2", many]
+    docs = spark.createDataFrame([(i, t, "en", "s1", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n bigint")
+    got = {r["doc_id"]: r["n_assign"] for r in secrets.secret_report(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 30_000}
+    runs = secrets.matches(docs).filter("kind = 'random'").select("doc_id", "start", "end").collect()
+    assert [tuple(r) for r in runs] == [(1, 0, 1_000_000)]
+
+
 @pytest.mark.parametrize(
     "run",
     [
