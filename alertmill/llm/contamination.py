@@ -117,12 +117,14 @@ def _matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 def without_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns. The verdict depends on the text alone."""
     bad = contamination(docs, benchmark).filter(is_contaminated(F.size("hit"), F.col("n_words"))).select("_key").distinct()
+    bad = settle(bad, "contaminated")  # counted and joined, but scanned for once
     return _matched(docs, bad, "left_anti").select("_doc.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All documents; hit words are cut from ``text`` together with the separators behind them."""
     found = contamination(docs, benchmark).filter(F.size("hit") > 0).select("_key", "hit").dropDuplicates(["_key"])
+    found = settle(found, "hits")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
     text = F.col("_doc.text")

@@ -26,9 +26,12 @@ merged; the pivot, now compared with everybody in it, leaves the list. This
 repeats while one pair in ``PRODUCTIVE`` is a link and the pairs of different
 components that are left are more than ``DIRECT`` times the entries. The classes
 then still in a list with another component, a small rest, are ordered anew by
-the frequencies of all of their tokens, and go through the same pivots; the
-pairs left are filtered by the number of prefix tokens they share and verified.
-Pairs inside a component are never made. Verification compares whole sets.
+the frequencies of all of their tokens, and go through pivots until no list holds
+two components; there the pivots of a list grow from round to round, so a list
+of any size takes a logarithm of rounds and its pairs are never made at once.
+Every pair, of a pivot or not, is verified only if it shares as many prefix
+tokens as asked. Pairs inside a component are never made. Verification compares
+whole sets.
 
 Defined cases: a null or empty text, or one of spaces, has no shingle and is a
 component of its own; fewer than ``k`` words are one shingle; repeated
@@ -59,6 +62,9 @@ VERIFY_COST = 16
 BORDER = 256
 STRIDE = 4
 DIRECT = 4
+#: Pivots of a list in the first round of the second order.
+PIVOTS = 4
+GROWTH = 8
 #: Pivots go on while one pair in so many, or more, is a link.
 PRODUCTIVE = 20
 #: Members compared with a pivot in one verification group.
@@ -101,16 +107,25 @@ def _wrapping_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
-def signature(text: Column, k: int) -> Column:
-    """n and two sums of mixed hashes: equal for equal sets whatever their order."""
+def signature(text: Column, rule: Rule) -> Column:
+    """n and two sums of mixed hashes, equal for equal sets whatever their order, and how many tokens a set brings.
 
-    @F.arrow_udf("struct<n: bigint, a: bigint, b: bigint>")
+    ``brings`` is [band 0, band 0 late, band 1, band 1 late].
+    """
+
+    @F.arrow_udf("struct<n: bigint, a: bigint, b: bigint, brings: array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
-        found = [(np.zeros(0, np.int64),) * 3]
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros((0, 4), np.int64),)]
         for part in W.slices(texts):
-            runs, bounds = sets(part, k)
-            found.append((np.diff(bounds), _wrapping_sums(W.mix(runs ^ np.uint64(11)), bounds), _wrapping_sums(W.mix(runs ^ np.uint64(23)), bounds)))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], names=["n", "a", "b"])
+            runs, bounds = sets(part, rule.k)
+            brings = np.zeros((part.rows, 4), np.int64)
+            for row, band, _, late in _submitted(runs, bounds, rule):
+                brings[row, band * 2 : band * 2 + 2] = (~late).sum(), late.sum()
+            sums = [_wrapping_sums(W.mix(runs ^ np.uint64(salt)), bounds) for salt in (11, 23)]
+            found.append((np.diff(bounds), *sums, brings))
+        n, a, b, brings = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 4, pa.int32()), pa.array(brings.ravel()))
+        return pa.StructArray.from_arrays([*map(pa.array, (n, a, b)), lists], names=["n", "a", "b", "brings"])
 
     return sign(text)
 
@@ -161,9 +176,9 @@ def postings(own: DataFrame, classes: DataFrame, rule: Rule, whole: bool = False
     ``most`` is the largest set that can still reach the threshold with this one
     if they share no rarer token; ``first`` tells whether the list has any such.
     """
-    tokens = submissions(own, rule, whole)
-    counts = tokens.groupBy("h", "place").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = tokens.join(counts, ["h", "place"])
+    # one shuffle: a token is counted where its rows meet, and most occur once and end there
+    times = F.count(F.lit(1)).over(Window.partitionBy("h", "place"))
+    shared = submissions(own, rule, whole).withColumn("df", times).filter("df > 1")
     reps = classes.select("cid", "n", "brings")
     shared = shared.join(reps, "cid").select(
         "cid", "n", "h", "df", "brings", F.expr("place div 2").cast("int").alias("band"), F.expr("place % 2").cast("int").alias("late")
@@ -258,86 +273,72 @@ def _open(entries: DataFrame, found: DataFrame) -> DataFrame:
     return settle(rows.join(lists.select("band", "h", "main", cross), ["band", "h"]), "open")
 
 
-def _by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Compare pivots while that finds links; returns the links and the entries still open."""
+def _asked(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Those of the distinct ``pairs`` that share, in some band, as many prefix tokens as the smaller m of the two."""
+    mine = entries.select("band", "h", F.col("cid").alias("pivot"), F.col("m").alias("o_m"))
+    both = pairs.join(mine, "pivot").join(entries.select("band", "h", "cid", "m"), ["band", "h", "cid"])
+    shared = both.groupBy("pivot", "cid", "band").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("m", "o_m")).alias("asked"))
+    return settle(shared.filter("shared >= asked").select("pivot", "cid").distinct(), "matches")
+
+
+def by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, rule: Rule, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Links found by comparing pivots, and the entries still open.
+
+    The ``last`` order goes on until none is open, the other while that finds links.
+    """
+    prefixes, entries = entries, entries.filter("first")
+    pivots = PIVOTS if last else 1
     while True:
         rows = _open(entries, found)
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("cross").alias("cross")).first()
-        if not size["n"] or size["cross"] <= DIRECT * size["n"]:
+        if not size["n"] or (not last and size["cross"] <= DIRECT * size["n"]):
             return found, rows
-        pivot = rows.groupBy("band", "h").agg(F.min(F.struct("rare", "cid", "n", "root", "most")).alias("p"))
-        stars = rows.join(pivot, ["band", "h"])
-        pairs = stars.filter((F.col("root") != F.col("p.root")) & fits("", "p.", rule))
-        pairs = settle(pairs.select(F.col("p.cid").alias("pivot"), "cid").distinct(), "pairs")
+        line = Window.partitionBy("band", "h").orderBy("rare", "cid")
+        heads = rows.withColumn("turn", F.row_number().over(line)).filter(F.col("turn") <= pivots)
+        heads = settle(heads.select("band", "h", *[F.col(c).alias(f"p_{c}") for c in ("cid", "n", "root", "most")]), "pivots")
+        stars = rows.join(heads, ["band", "h"]).filter((F.col("root") != F.col("p_root")) & fits("", "p_", rule))
+        pairs = stars.select(F.least("p_cid", "cid").alias("pivot"), F.greatest("p_cid", "cid").alias("cid")).distinct()
+        pairs = _asked(settle(pairs, "pairs"), prefixes)
         new = settle(verified(pairs, own, rule), "links")
         found = settle(found.unionByName(new), "links")
-        entries = settle(stars.filter(F.col("cid") != F.col("p.cid")).select(*entries.columns), "entries")
-        if new.count() * PRODUCTIVE < pairs.count():
+        gone = heads.select("band", "h", F.col("p_cid").alias("cid"))
+        entries = settle(rows.select(*entries.columns).join(gone, ["band", "h", "cid"], "left_anti"), "entries")
+        if last:
+            pivots *= GROWTH
+        elif new.count() * PRODUCTIVE < pairs.count():
             return found, _open(entries, found)
 
 
 def links(entries: DataFrame, own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """All links needed to connect the classes as full comparison would: (u, v)."""
     found = own.sparkSession.createDataFrame([], "u bigint, v bigint")
-    found, rows = _by_pivots(entries.filter("first"), own, found, rule)
+    found, rows = by_pivots(entries, own, found, rule, last=False)
     left = settle(rows.select("cid").distinct(), "left")
-    if not left.limit(1).count():
+    if left.isEmpty():
         return found
     # what is left once more, in one order by the frequencies of all of its tokens
     own = settle(own.join(left.withColumnRenamed("cid", "_row"), "_row", "left_semi"), "texts")
     whole = F.array(F.col("n"), *[F.lit(0).cast("bigint")] * 3)
     classes = classes.join(left, "cid", "left_semi").withColumn("brings", whole)
     entries = settle(postings(own, classes, rule, whole=True), "postings")
-    found, rows = _by_pivots(entries.filter("first"), own, found, rule)
-    side = rows.filter(F.col("root") != F.col("main")).select(
-        "band", "h", *[F.col(c).alias(f"o_{c}") for c in ("cid", "n", "most", "root")]
-    )
-    pairs = side.join(rows, ["band", "h"]).filter(
-        (F.col("root") != F.col("o_root"))
-        & ((F.col("root") == F.col("main")) | (F.col("o_cid") < F.col("cid")))
-        & fits("", "o_", rule)
-    )
-    pairs = settle(pairs.select(F.least("cid", "o_cid").alias("pivot"), F.greatest("cid", "o_cid").alias("cid")).distinct(), "pairs")
-    mine = entries.select("h", F.col("cid").alias("pivot"), F.col("m").alias("o_m"))
-    shared = pairs.join(mine, "pivot").join(entries.select("h", "cid", "m"), ["h", "cid"])
-    shared = shared.groupBy("pivot", "cid").agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("m", "o_m")).alias("asked"))
-    pairs = settle(shared.filter("shared >= asked").select("pivot", "cid"), "matches")
-    return settle(found.unionByName(verified(pairs, own, rule)), "links")
-
-
-def _brings(text: Column, rule: Rule) -> Column:
-    """How many tokens a row brings: [band 0, band 0 late, band 1, band 1 late]."""
-
-    @F.arrow_udf("array<bigint>")
-    def count(texts: pa.Array) -> pa.Array:
-        out = []
-        for part in W.slices(texts):
-            rows = np.zeros((part.rows, 4), np.int64)
-            for row, band, _, late in _submitted(*sets(part, rule.k), rule):
-                rows[row, band * 2 : band * 2 + 2] = (~late).sum(), late.sum()
-            out += rows.tolist()
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return count(text)
+    return by_pivots(entries, own, found, rule, last=True)[0]
 
 
 def joined(own: DataFrame, rule: Rule = REPORT) -> DataFrame:
     """Per row of a ``numbered`` table: _row, doc_id, n_shingles, class (least _row of its set) and component (least _row)."""
-    rows = settle(
-        own.select("_row", "doc_id", signature(F.col("text"), rule.k).alias("s"), _brings(F.col("text"), rule).alias("brings")), "signatures"
-    )
+    rows = settle(own.select("_row", "doc_id", signature(F.col("text"), rule).alias("s")), "signatures")
     key = [F.col("s.n").alias("n"), F.col("s.a").alias("a"), F.col("s.b").alias("b")]
-    classes = rows.filter("s.n > 0").groupBy(*key).agg(F.min(F.struct("_row", "brings")).alias("least"))
+    classes = rows.filter("s.n > 0").groupBy(*key).agg(F.min(F.struct("_row", "s.brings")).alias("least"))
     classes = settle(classes.select("n", "a", "b", F.col("least._row").alias("cid"), F.col("least.brings").alias("brings")), "classes")
     entries = settle(postings(own, classes, rule), "postings")
     labels = components(links(entries, own, classes, rule))
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
-        F.struct("n", "a", "b").alias("s"), "cid", F.coalesce("root", "cid").alias("root")
+        "n", "a", "b", "cid", F.coalesce("root", "cid").alias("root")
     )
-    return rows.join(of_class, "s", "left").select(
+    return rows.select("_row", "doc_id", *key).join(of_class, ["n", "a", "b"], "left").select(
         "_row",
         "doc_id",
-        F.col("s.n").alias("n_shingles"),
+        F.col("n").alias("n_shingles"),
         F.coalesce("cid", "_row").alias("class"),
         F.coalesce("root", "_row").alias("component"),
     )

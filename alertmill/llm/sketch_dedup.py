@@ -14,13 +14,15 @@ Banding. ``BANDS`` bands of ``ROWS`` bins: classes (documents of equal sets are
 one) that agree in a whole band are in one bucket. A pair at 0.85 has no common
 bucket with a probability of 7e-9, at 0.8 of 3e-6.
 
-Buckets without all pairs. In each round every bucket that holds more than one
-component names pivots, those of its classes that meet most others (in a group
-of edited copies that is the common original). A pivot is compared with the
-bucket's members of other components and leaves the bucket; links merge
-components. The pivots per bucket double from round to round, so a bucket of any
-size is worked off in a logarithm of rounds, and one that has become a single
-component costs nothing more. A pair is verified once, on whole sets.
+Buckets without all pairs. Every bucket that holds more than one component names
+a pivot, that of its classes that meets most others (in a group of edited copies
+this is the common original). The pivot is compared with the bucket's members of
+other components and leaves the bucket; links merge components, and a bucket
+that has become one component costs nothing more. This is repeated while one
+pair in ``PRODUCTIVE`` is a link. What then still meets another component, groups
+of copies just below the threshold among it, is not compared pair by pair: these
+classes go through the exact lists of rare shingles of ``ngram_join``. Links are
+confirmed on whole sets in both.
 
 Defined cases: a null or empty text, or one of spaces, has no shingle and stands
 alone; fewer than ``k`` words are one shingle; repeated rows are in one class;
@@ -34,17 +36,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm import words as W
 from alertmill.llm.common import drop_settled, packed
 from alertmill.llm.components import components
-from alertmill.llm.ngram_join import Rule, sets, verified
+from alertmill.llm.ngram_join import Rule, by_pivots, postings, sets, verified
 from alertmill.session import scratch_path, settle
 
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
+#: Pivots go on while one pair in so many, or more, is a link.
+PRODUCTIVE = 20
 #: Sets sketched at a time.
 CHUNK_SETS = 4096
 REPORT = Rule(3, 17, 20)
@@ -119,47 +123,36 @@ def buckets(classes: DataFrame) -> DataFrame:
     return settle(several.join(met, "cid").select("key", "cid", "n", "met"), "buckets")
 
 
-def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (cid, root) after links (u, v) between classes; a class without a link has no label."""
-    of = lambda name: labels.select(F.col("cid").alias(name), F.col("root").alias(f"{name}_root"))
-    known = links.join(of("u"), "u", "left").join(of("v"), "v", "left")
-    ends = settle(known.select("u", "v", F.coalesce("u_root", "u").alias("ru"), F.coalesce("v_root", "v").alias("rv")), "ends")
-    merged = components(ends.select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-    new = ends.select(F.explode(F.array(F.struct(F.col("u").alias("cid"), F.col("ru").alias("root")), F.struct(F.col("v").alias("cid"), F.col("rv").alias("root")))).alias("x"))
-    rows = labels.unionByName(new.select("x.*")).distinct()
-    out = rows.join(merged.withColumnRenamed("root", "new"), F.col("root") == F.col("node"), "left")
-    return settle(out.select("cid", F.coalesce("new", "root").alias("root")), "labels")
-
-
 def linked(own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """(cid, root) of all classes that have a link; ``own`` has (_row, text) of the classes."""
-    spark = own.sparkSession
-    labels = spark.createDataFrame([], "cid bigint, root bigint")
-    tried = spark.createDataFrame([], "pivot bigint, cid bigint")
+    """(node, root) of all classes that have a link; ``own`` has (_row, text) of the classes."""
+    found = own.sparkSession.createDataFrame([], "u bigint, v bigint")
     entries = buckets(classes)
     texts = settle(own.join(entries.select(F.col("cid").alias("_row")).distinct(), "_row", "left_semi"), "texts")
-    pivots = 1
+    productive = True
     while True:
-        rooted = entries.join(labels, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        labels = components(found)
+        rooted = entries.join(labels, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        rows = settle(rooted.join(mixed, "key"), "open")
+        rows = settle(rooted.join(mixed, "key").select("key", "cid", "n", "met", "root"), "open")
         drop_settled(entries)
-        if rows.isEmpty():
-            return labels
-        line = Window.partitionBy("key").orderBy(F.col("met").desc(), "cid")
-        heads = rows.withColumn("turn", F.row_number().over(line)).filter(F.col("turn") <= pivots)
-        heads = settle(heads.select("key", "turn", *[F.col(c).alias(f"p_{c}") for c in ("cid", "n", "root")]), "pivots")
-        near = F.least("n", "p_n") * rule.den >= F.greatest("n", "p_n") * rule.num
-        pairs = rows.join(heads, "key").filter((F.col("root") != F.col("p_root")) & near)
-        pairs = pairs.select(F.least("p_cid", "cid").alias("pivot"), F.greatest("p_cid", "cid").alias("cid")).distinct()
-        pairs = settle(pairs.join(tried, ["pivot", "cid"], "left_anti"), "pairs")
+        if not productive or rows.isEmpty():
+            break
+        heads = rows.groupBy("key").agg(F.max(F.struct("met", "cid", "n", "root")).alias("p"))
+        near = F.least("n", "p.n") * rule.den >= F.greatest("n", "p.n") * rule.num
+        stars = rows.join(heads, "key")
+        pairs = stars.filter((F.col("root") != F.col("p.root")) & near).select(F.col("p.cid").alias("pivot"), "cid").distinct()
+        pairs = settle(pairs, "pairs")
         links = settle(verified(pairs, texts, rule), "links")
-        if not links.isEmpty():
-            labels = relabelled(labels, links)
-        tried = tried.unionByName(pairs)
-        gone = heads.select("key", F.col("p_cid").alias("cid"))
-        entries = settle(rows.select("key", "cid", "n", "met").join(gone, ["key", "cid"], "left_anti"), "buckets")
-        pivots *= 2
+        found = settle(found.unionByName(links), "found")
+        entries = settle(stars.filter(F.col("cid") != F.col("p.cid")).select("key", "cid", "n", "met"), "buckets")
+        productive = links.count() * PRODUCTIVE >= pairs.count()
+    left = settle(rows.select("cid").distinct(), "left")
+    if left.isEmpty():
+        return labels
+    texts = settle(texts.join(left.withColumnRenamed("cid", "_row"), "_row", "left_semi"), "texts")
+    whole = F.array(F.col("n"), *[F.lit(0).cast("bigint")] * 3)
+    lists = postings(texts, classes.join(left, "cid", "left_semi").withColumn("brings", whole), rule, whole=True)
+    return components(by_pivots(settle(lists, "postings"), texts, found, rule, last=True)[0])
 
 
 def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -173,7 +166,7 @@ def grouped(docs: DataFrame, rule: Rule) -> DataFrame:
     classes = settle(classes, "classes")
     keys = own.select(F.col("_row").alias("cid"), F.col("s.keys").alias("keys"))
     labels = linked(own.select("_row", "_doc.text"), classes.join(keys, "cid"), rule)
-    of_class = classes.join(labels, "cid", "left").select("n", "a", "b", F.coalesce("root", "cid").alias("root"))
+    of_class = classes.join(labels, F.col("cid") == F.col("node"), "left").select("n", "a", "b", F.coalesce("root", "cid").alias("root"))
     slim = own.select("_row", "_doc.doc_id", *key)
     joined = slim.join(of_class, ["n", "a", "b"], "left")
     found = joined.select("_row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "_row").alias("component"))

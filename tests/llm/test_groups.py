@@ -45,10 +45,11 @@ def near_copies(seed, groups, size, words, edits):
     return out
 
 
-@pytest.mark.parametrize("direct", [4, 0])
-def test_join_equals_all_pairs(spark, rows, monkeypatch, direct):
-    """With direct = 0 every link has to come from pivots."""
+@pytest.mark.parametrize("direct, pivots", [(4, 4), (0, 1)])
+def test_join_equals_all_pairs(spark, rows, monkeypatch, direct, pivots):
+    """With direct = 0 the first order takes pivots as long as they find links; with one pivot the last order takes several rounds."""
     monkeypatch.setattr(ngram_join, "DIRECT", direct)
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
     texts = [t for _, t, *_ in rows]
     texts += near_copies(5, 3, 8, 90, 4) + near_copies(6, 2, 6, 400, 12) + near_copies(7, 2, 5, 262, 9) + near_copies(8, 4, 4, 12, 1)
     texts += [f"{texts[0]} {sentence(random.Random(9), 3)}", "solo", "SOLO", " solo\n"]
