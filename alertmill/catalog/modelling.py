@@ -459,7 +459,7 @@ def feature_table(spark, sf_dir):
     )
 
 
-def _detection(spark, sf_dir):
+def fitted_detection(spark, sf_dir):
     return _once(
         spark,
         sf_dir,
@@ -470,7 +470,7 @@ def _detection(spark, sf_dir):
 
 @register("calibrated_detection")
 def calibrated_detection(spark, sf_dir):
-    r = pipeline.detection_report(_detection(spark, sf_dir))
+    r = pipeline.detection_report(fitted_detection(spark, sf_dir))
     cols = ["auc", "average_precision", "tpr", "fpr", "f1", "ece", "bhattacharyya", "ci_lo", "ci_hi"]
     return rounded(r.select("model", "n_attack", "n_normal", *cols), cols)
 
@@ -478,7 +478,7 @@ def calibrated_detection(spark, sf_dir):
 @register("foreign_log_transfer")
 def foreign_log_transfer(spark, sf_dir):
     home = features(spark, sf_dir)
-    r = pipeline.transfer(views.readings(spark, sf_dir), home, _detection(spark, sf_dir), min_rows=3)
+    r = pipeline.transfer(views.readings(spark, sf_dir), home, fitted_detection(spark, sf_dir), min_rows=3)
     num = [c for c, t in r.dtypes if t == "double"]
     return rounded(r, num)
 
@@ -487,6 +487,6 @@ def foreign_log_transfer(spark, sf_dir):
 def foreign_log_transfer_parity(spark, sf_dir):
     """The variant that reads target labels for orientation and weights."""
     home = features(spark, sf_dir)
-    r = pipeline.transfer(views.readings(spark, sf_dir), home, _detection(spark, sf_dir), min_rows=3, label_free=False)
+    r = pipeline.transfer(views.readings(spark, sf_dir), home, fitted_detection(spark, sf_dir), min_rows=3, label_free=False)
     num = [c for c, t in r.dtypes if t == "double"]
     return rounded(r, num)

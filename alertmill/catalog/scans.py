@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertmill.catalog import register
+from alertmill.catalog.modelling import fitted_detection
 from alertmill.catalog.scoring import CONFUSION, LONG, MODEL_KEYS, RATES, long_scores
 from alertmill.catalog.views_sql import ALERTS, SCORES, WINDOWS
 from alertmill.catalog.windowing import STAMP, rounded
 from alertmill.functions.scalars import as_utc, finite, finite_or_zero
 from alertmill.operators import metrics, prep, splits
 from alertmill.operators.windows import CAPTURES, into_windows, origins
+from alertmill.schemas import SELECTED_FEATURES
 from alertmill.session import scratch_path
 from alertmill.sources import alerts as scans
 from alertmill.sources import sinks, views
-from alertmill.streaming import live
+from alertmill.streaming import live, serving
 
 
 def _fresh(spark, label):
@@ -361,7 +363,7 @@ def projected_features(spark, sf_dir):
 # Streaming.
 
 
-def _alert_stream(spark, sf_dir):
+def _alert_stream(spark, sf_dir, message=False):
     # A pattern, since a stream may not name a single file.
     raw = live.read_stream(spark, f"{sf_dir}/events.parque[t]", views.table(spark, sf_dir, "events").schema)
     k = F.regexp_extract("props", '"k": (\\d+)', 1).cast("int")
@@ -370,6 +372,7 @@ def _alert_stream(spark, sf_dir):
         F.when(F.col("event_type") == "error", "emergency").otherwise("normal").alias("type"),
         F.concat(F.lit("home/"), (k % 3).cast("string")).alias("topic"),
         F.when(F.col("user_id") % 3 == 0, "normal").when(F.col("user_id") % 3 == 1, "flooding").otherwise("slow_poisoning").alias("stream"),
+        *([F.col("props").alias("message")] if message else []),
     )
 
 
@@ -459,3 +462,102 @@ def live_scoring(spark, sf_dir):
     rule = lambda df: df.withColumn("p", 1.0 / (1.0 + F.col("n_emergency")))
     live.score_stream(stream, rule, out, _fresh(spark, "routed-state")).start().awaitTermination()
     return spark.read.parquet(out).groupBy("stream", "route").agg(F.count(F.lit(1)).alias("n"))
+
+
+LIVE_ALL = [
+    "normal_emergency_ratio", "inter_alert_interval_mean", "inter_interval_variance", "burst_score", "topic_diversity",
+    "payload_entropy", "alert_rate_acceleration", "regularity_coefficient", "temporal_clustering_score",
+    "freq_persistence_5w", "freq_rolling_mean_5w", "freq_rolling_std_5w",
+]
+
+
+def _served(spark, sf_dir, models=None):
+    """Folder of all live windows with their sequences, and of the scores if models are given."""
+    out = _fresh(spark, "served")
+    features = serving.live_features(_alert_stream(spark, sf_dir, message=True))
+    serving.serve(features, out, _fresh(spark, "served-state"), models).start().awaitTermination()
+    return out
+
+
+LIVE_BASE = f"""{ALERTS},
+g AS (SELECT a.*, unnest(range(us // 600000000 - 5, us // 600000000 + 1)) AS w FROM alerts a),
+cl AS (SELECT * FROM g WHERE w * 600000000 + 3600000000 <= (SELECT max(us) - 600000000 FROM alerts)),
+b AS (SELECT stream, w, count(*) AS n, CAST(sum(emg) AS BIGINT) AS e, min(us) AS first_us,
+    count(DISTINCT CASE WHEN emg = 1 THEN topic END) AS topics FROM cl GROUP BY stream, w),
+i AS (SELECT *, sum(CASE WHEN w - prev <= 12 THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY w) AS island
+  FROM (SELECT *, lag(w) OVER (PARTITION BY stream ORDER BY w) AS prev FROM b) AS b),
+r AS (SELECT *, row_number() OVER (PARTITION BY stream, island ORDER BY w) AS place,
+    CASE WHEN count(*) OVER x >= 3 THEN stddev_samp(e) OVER x END AS s,
+    CASE WHEN count(*) OVER x >= 3 THEN avg(e) OVER x END AS a,
+    CASE WHEN count(*) OVER x >= 3 THEN avg(CASE WHEN e > 0 THEN 1e0 ELSE 0e0 END) OVER x END AS h FROM i
+  WINDOW x AS (PARTITION BY stream, island ORDER BY w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+
+LIVE_ALL_SQL = f"""WITH {LIVE_BASE},
+b5 AS (SELECT stream, w, max(c) AS max5 FROM (SELECT stream, w, us // 300000000 AS bin, sum(emg) AS c FROM cl GROUP BY ALL)
+  GROUP BY stream, w),
+b10 AS (SELECT stream, w, max(c) AS m10, avg(c) AS a10 FROM (SELECT stream, w, us // 600000000 AS bin, sum(emg) AS c FROM cl
+  WHERE emg = 1 GROUP BY ALL) GROUP BY stream, w),
+d AS (SELECT stream, w, (us - lag(us) OVER (PARTITION BY stream, w ORDER BY us)) / 6e7 AS d FROM cl WHERE emg = 1),
+ds AS (SELECT stream, w, avg(d) AS mean_d, coalesce(var_samp(d), 0) AS var_d FROM d GROUP BY stream, w),
+ea AS (SELECT cl.stream, cl.w, count(*) AS early FROM cl JOIN b ON cl.stream = b.stream AND cl.w = b.w
+  WHERE emg = 1 AND us < first_us + 1800000000 GROUP BY cl.stream, cl.w),
+bl AS (SELECT stream, w, string_agg(hex(message), '00') AS blob FROM cl WHERE emg = 1 AND message IS NOT NULL GROUP BY stream, w),
+bc AS (SELECT stream, w, x, count(*) AS c FROM (SELECT stream, w, unnest(regexp_extract_all(blob, '..')) AS x FROM bl) GROUP BY ALL),
+bt AS (SELECT stream, w, sum(c) AS total FROM bc GROUP BY stream, w),
+en AS (SELECT bc.stream, bc.w, -sum(c / total * log2(c / total + 1e-12)) AS entropy FROM bc JOIN bt
+  ON bc.stream = bt.stream AND bc.w = bt.w GROUP BY bc.stream, bc.w),
+f AS (SELECT r.stream, r.w, n, e, place, s, a, h, topics, max5, m10, a10, entropy, early, CASE WHEN e >= 2 THEN mean_d END AS mean_d,
+    CASE WHEN e >= 3 THEN var_d ELSE 0 END AS var_d
+  FROM r JOIN b5 ON b5.stream = r.stream AND b5.w = r.w LEFT JOIN b10 ON b10.stream = r.stream AND b10.w = r.w
+  LEFT JOIN ds ON ds.stream = r.stream AND ds.w = r.w LEFT JOIN ea ON ea.stream = r.stream AND ea.w = r.w
+  LEFT JOIN en ON en.stream = r.stream AND en.w = r.w)
+SELECT stream, strftime(make_timestamp(w * 600000000), '%Y-%m-%d %H:%M:%S.%f') AS window_start, n AS n_messages, e AS n_emergency,
+  round((n - e) / greatest(1, e) + 1e-9, 6) AS normal_emergency_ratio, round(mean_d + 1e-9, 6) AS inter_alert_interval_mean,
+  round(var_d + 1e-9, 6) AS inter_interval_variance, round(max5::DOUBLE + 1e-9, 6) AS burst_score,
+  round(topics::DOUBLE + 1e-9, 6) AS topic_diversity, round(coalesce(entropy, 0) + 1e-9, 6) AS payload_entropy,
+  round(CASE WHEN e >= 4 THEN e - 2 * coalesce(early, 0) ELSE 0 END + 1e-9, 6) AS alert_rate_acceleration,
+  round(CASE WHEN e >= 3 AND var_d > 1e-18 AND mean_d > 0 THEN 1 / greatest(sqrt(var_d) / mean_d, 0.01) WHEN e >= 2 THEN 100 END + 1e-9, 6)
+    AS regularity_coefficient,
+  round(CASE WHEN e >= 3 THEN m10 / a10 ELSE 1e0 END + 1e-9, 6) AS temporal_clustering_score,
+  round(h + 1e-9, 6) AS freq_persistence_5w, round(a + 1e-9, 6) AS freq_rolling_mean_5w, round(s + 1e-9, 6) AS freq_rolling_std_5w,
+  round(CASE WHEN place >= 10 THEN sum(coalesce(mean_d, 0)) OVER v + 1e-9 END, 5) AS sequence_means
+FROM f WINDOW v AS (PARTITION BY stream ORDER BY w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""
+
+
+@register("live_features", LIVE_ALL_SQL)
+def live_features(spark, sf_dir):
+    """Every live feature, and of each sequence the sum of one of its eight features over the ten windows."""
+    w = spark.read.parquet(f"{_served(spark, sf_dir)}/windows").withColumn("window_start", F.date_format("window_start_time", STAMP))
+    at, width = SELECTED_FEATURES.index("inter_alert_interval_mean"), len(SELECTED_FEATURES)
+    ten = F.aggregate(
+        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.get("vectors", i * width + at)),
+        F.lit(0.0),
+        lambda s, x: s + F.coalesce(F.nanvl(x, F.lit(None)), F.lit(0.0)),
+    )
+    means = F.when(F.col("vectors").isNotNull(), F.round(ten + 1e-9, 5)).alias("sequence_means")
+    return rounded(w.select("stream", "window_start", "n_messages", "n_emergency", *LIVE_ALL, means), LIVE_ALL)
+
+
+@register(
+    "live_model_scoring",
+    f"""WITH {LIVE_BASE} SELECT stream, count(*) AS n_live, count(*) AS n_batch, count(*) AS n_equal, 1 AS version
+        FROM r WHERE place >= 10 GROUP BY stream""",
+)
+def live_model_scoring(spark, sf_dir):
+    """The stream scored by the published detection, held against the batch scores of the same windows."""
+    model, models = fitted_detection(spark, sf_dir), _fresh(spark, "models")
+    serving.publish(spark, model, models)
+    out = _served(spark, sf_dir, models)
+    windows = spark.read.parquet(f"{out}/windows").drop("batch")
+    parts = ["p_forest", "p_sequence", "p"]
+    mine = spark.read.parquet(f"{out}/scores").select("stream", "window_start_time", "version", *[F.col(c).alias(f"live_{c}") for c in parts])
+    named = windows.drop("vectors").withColumn("window_id", F.concat_ws(":", "stream", F.col("window_start_time").cast("string")))
+    batch = model.calibrate(model.raw_scores(named, ["stream"])).select("stream", "window_start_time", *parts)
+    both = mine.join(batch, ["stream", "window_start_time"], "full")
+    apart = F.greatest(*[F.abs(F.col(f"live_{c}") - F.col(c)) for c in parts])
+    return both.groupBy("stream").agg(
+        F.count("live_p").alias("n_live"),
+        F.count("p").alias("n_batch"),
+        F.count_if(apart < 1e-9).alias("n_equal"),
+        F.max("version").alias("version"),
+    )

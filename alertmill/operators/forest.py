@@ -5,9 +5,9 @@ task, so no tree is ever given its rows. Each level is one pass: tasks walk
 their rows down the trees grown so far and report count and range per open
 leaf and feature; the few open leaves are split on the driver. Rows take part
 in a tree by a hash of their key. A tree's height is the logarithm of its
-sample, so its nodes are bounded by the sample: give ``sample_size``, the rows
-per tree, to bound a forest over a large table. Leaves cut off at that height
-enter the path length with the usual correction for their size.
+sample, so its nodes are bounded by the sample, and the sample by ``MOST_ROWS``
+unless ``sample_size`` says otherwise. Leaves cut off at that height enter the
+path length with the usual correction for their size.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from alertmill.operators.ordered import feature_quantiles, quantiles
 from alertmill.operators.resample import hashed_uniform
 from alertmill.session import settle
 
+#: Rows of a tree at most, so that nodes do not grow with the table.
+MOST_ROWS = 1 << 14
+
+
 def height(psi: int) -> int:
     """The height at which a tree over ``psi`` rows stops."""
     return max(1, math.ceil(math.log2(psi)))
@@ -177,7 +181,7 @@ class IsolationForest:
     ) -> IsolationForest:
         rows = settle(numbered(df, features, id_col), "forest")
         n = rows.count()
-        psi = max(2, min(sample_size, n) if sample_size else int(sample_fraction * n))
+        psi = max(2, min(sample_size, n) if sample_size else min(int(sample_fraction * n), MOST_ROWS))
         trees = plan_trees(len(features), n_trees, psi / max(n, 1), feature_fraction, seed)
         limit = max_depth or height(psi)
         return cls(list(features), grow(rows, trees, len(features), limit), psi)

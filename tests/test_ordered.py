@@ -69,3 +69,31 @@ def test_hashed_rank_is_a_permutation(skewed):
     got = O.hashed_rank(df, ["k"], O.shuffle_token(1, "id"), "id").toPandas()
     for _, part in got.groupby("k"):
         assert sorted(part["_rank"]) == list(range(1, len(part) + 1))
+
+
+def test_quantiles_of_odd_values(spark):
+    """Ties, huge ranges, infinities, NaN last, signed zeros, one row and none."""
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "ties": [1.0] * 50 + [2.0] * 3,
+        "wide": [-1.7e308, -1.0, 5e-324, 1e-300, 0.0, 3.0, 1.7e308],
+        "tail": [*(i / 1e6 for i in range(2000)), 1e300],
+        "inf": [-inf, -inf, 1.0, 2.0, 3.0, inf],
+        "nan": [1.0, 2.0, 3.0, nan, nan],
+        "one": [7.0],
+        "none": [None],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(3)
+    got = {r["k"]: r for r in O.quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.75}).collect()}
+    assert set(got) == set(groups) - {"none"}
+    for k in ("ties", "wide", "tail", "one"):
+        assert np.allclose([got[k][c] for c in "abc"], np.quantile(groups[k], [0.25, 0.5, 0.75]), rtol=1e-15, atol=0), k
+    assert (got["inf"]["b"], got["nan"]["b"]) == (1.5, 3.0) and np.isnan(got["nan"]["c"])
+    assert O.quantiles(df.filter("k = 'none'"), [], "v", {"a": 0.5}).collect() == [(None,)]
+
+
+def test_quantiles_exchange_counts_only(spark):
+    """No row is ranged or sorted: the plans hold no range exchange, whatever the values."""
+    q = O.quantiles(spark.range(50_000).select((F.col("id") * 37 % 1009).alias("v")), [], "v", {"a": 0.1, "b": 0.9})
+    assert "rangepartitioning" not in q._jdf.queryExecution().toString()
+    assert np.allclose(list(q.first()), np.quantile(np.arange(50_000) * 37 % 1009, [0.1, 0.9]))
