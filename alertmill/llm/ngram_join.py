@@ -64,7 +64,7 @@ STRIDE = 4
 DIRECT = 4
 #: Pivots of a list in the first round of the second order.
 PIVOTS = 4
-GROWTH = 8
+GROWTH = 16
 #: Pivots go on while one pair in so many, or more, is a link.
 PRODUCTIVE = 20
 #: Members compared with a pivot in one verification group.
@@ -260,10 +260,9 @@ def _by_chunk(table: pa.Table) -> list[pa.RecordBatch]:
     return table.drop_columns(["bucket"]).to_batches()
 
 
-def _open(entries: DataFrame, found: DataFrame) -> DataFrame:
+def _open(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of lists that hold several components, with ``root``, the list's largest component ``main`` and its ``cross`` pairs."""
-    labels = components(found).select(F.col("node").alias("cid"), "root")
-    rows = entries.join(labels, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rows = entries.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     per_root = rows.groupBy("band", "h", "root").agg(F.count(F.lit(1)).alias("c"))
     lists = per_root.groupBy("band", "h").agg(
         F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "root"))["root"].alias("main")
@@ -287,9 +286,9 @@ def by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, rule: Rule,
     The ``last`` order goes on until none is open, the other while that finds links.
     """
     prefixes, entries = entries, entries.filter("first")
-    pivots = PIVOTS if last else 1
+    pivots, labels = PIVOTS if last else 1, components(found)
     while True:
-        rows = _open(entries, found)
+        rows = _open(entries, labels)
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("cross").alias("cross")).first()
         if not size["n"] or (not last and size["cross"] <= DIRECT * size["n"]):
             return found, rows
@@ -300,13 +299,15 @@ def by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, rule: Rule,
         pairs = stars.select(F.least("p_cid", "cid").alias("pivot"), F.greatest("p_cid", "cid").alias("cid")).distinct()
         pairs = _asked(settle(pairs, "pairs"), prefixes)
         new = settle(verified(pairs, own, rule), "links")
-        found = settle(found.unionByName(new), "links")
+        if not new.isEmpty():
+            found = settle(found.unionByName(new), "links")
+            labels = components(found)
         gone = heads.select("band", "h", F.col("p_cid").alias("cid"))
         entries = settle(rows.select(*entries.columns).join(gone, ["band", "h", "cid"], "left_anti"), "entries")
         if last:
             pivots *= GROWTH
         elif new.count() * PRODUCTIVE < pairs.count():
-            return found, _open(entries, found)
+            return found, _open(entries, labels)
 
 
 def links(entries: DataFrame, own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
