@@ -50,7 +50,7 @@ def _scaled(spark, sf_dir):
 def _forest(spark, sf_dir):
     def build():
         train = _scaled(spark, sf_dir).filter("split = 'train' AND y = 1")
-        return forest.IsolationForest.fit(train, SELECTED_FEATURES, "window_id", n_trees=50)
+        return forest.IsolationForest.fit(train, SELECTED_FEATURES, "window_id")
 
     return _once(spark, sf_dir, "forest", build)
 
@@ -93,9 +93,7 @@ def isolation_forest_tuning(spark, sf_dir):
     def build():
         normal = _scaled(spark, sf_dir).filter("split = 'train' AND y = 1")
         folds = splits.ordered_folds(normal, ORDER)
-        return forest.tune(
-            folds, SELECTED_FEATURES, "window_id", trees_grid=(5, 10), feature_grid=(0.6,), sample_grid=(0.7,)
-        )
+        return forest.tune(folds, SELECTED_FEATURES, "window_id")
 
     return _once(spark, sf_dir, "tuning", build)
 

@@ -390,16 +390,20 @@ def auc_normal_interval(spark, sf_dir):
     return rounded(a.select(*MODEL_KEYS, "auc", "ci_lo", "ci_hi"), ["auc", "ci_lo", "ci_hi"])
 
 
+# Fixed value: replicates of an interval.
+REPLICATES = 10_000
+
+
 @register("bootstrap_auc_interval")
 def bootstrap_auc_interval(spark, sf_dir):
     s = views.scores(spark, sf_dir)
-    return resample.bootstrap_interval(resample.replicate_metrics(s, "id", "p_lstm", replicates=500))
+    return resample.bootstrap_interval(resample.replicate_metrics(s, "id", "p_lstm", replicates=REPLICATES))
 
 
 @register("block_bootstrap_interval")
 def block_bootstrap_interval(spark, sf_dir):
     s = splits.in_order(views.scores(spark, sf_dir), [], ["id"]).withColumn("block", whole(F.col("_rank") - 1, 6))
-    return resample.bootstrap_interval(resample.replicate_metrics(s, "block", "p_lstm", replicates=500))
+    return resample.bootstrap_interval(resample.replicate_metrics(s, "block", "p_lstm", replicates=REPLICATES))
 
 
 def weighted_flag_rate(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:

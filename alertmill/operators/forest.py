@@ -12,13 +12,15 @@ path length with the usual correction for their size.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from alertmill.operators.ordered import feature_quantiles, quantiles
@@ -235,6 +237,14 @@ FEATURE_GRID = (0.6, 0.8, 1.0)
 SAMPLE_GRID = (0.70, 0.85, 1.00)
 
 
+#: Rows that the trees of a tuning run draw from; the scores of a setting are taken over all rows.
+TUNING_ROWS = 1 << 12
+#: Bytes of node tables that one scoring pass broadcasts at most, unless a single forest is larger.
+PASS_BYTES = 1 << 26
+_NODE_BYTES = 28
+_UNIT = ["feature_fraction", "sample_fraction", "fold"]
+
+
 def tune(
     df: DataFrame,
     features: Sequence[str],
@@ -245,54 +255,173 @@ def tune(
     sample_grid: Sequence[float] = SAMPLE_GRID,
     k_sigma: float = 2.0,
     seed: int = 42,
+    most_rows: int = TUNING_ROWS,
 ) -> DataFrame:
     """Choose the structure on normal rows alone.
 
     For each setting the held-out score of every fold gives mean - 2 sd; the
     objective is the mean over folds less their deviation. Smaller forests are
-    prefixes of larger ones, and all folds of a setting grow in the same
-    passes, so the grid costs one growth per (feature, sample) pair.
+    prefixes of larger ones, so trees are grown once per (feature, sample, fold).
+
+    Trees draw from the ``most_rows`` rows of smallest digest, which every task
+    gets; each task grows its share of the trees of all settings at once and
+    returns them as rows. All rows are then scored by the forests that have not
+    seen their fold, in passes whose node tables fit ``PASS_BYTES``; a task
+    returns sums per setting only.
     """
+    spark = df.sparkSession
+    names = [f"x{i}" for i in range(len(features))]
     rows = settle(numbered(df, features, id_col, fold), "tuning")
-    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
-    d, most, total = len(features), max(trees_grid), sum(sizes.values())
-    out: DataFrame | None = None
-    for ff in feature_grid:
-        for sf in sample_grid:
-            trees: list[Tree] = []
-            for f in sorted(sizes):
-                trees += plan_trees(d, most, sf, ff, seed, skip_fold=f)
-            psi = {f: max(2, int(sf * (total - n))) for f, n in sizes.items()}
-            grow(rows, trees, d, height(max(psi.values())))
-            forests = {
-                f: IsolationForest(list(features), trees[i * most : (i + 1) * most], psi[f])
-                for i, f in enumerate(sorted(sizes))
-            }
-            scored = rows.mapInPandas(_held_out(forests, list(trees_grid), d), "fold int, n_trees int, score double")
-            lcb = scored.groupBy("fold", "n_trees").agg(
-                (F.avg("score") - k_sigma * F.stddev_pop("score")).alias("lcb")
-            )
-            part = lcb.groupBy("n_trees").agg(
-                F.avg("lcb").alias("mean_lcb"), F.stddev_pop("lcb").alias("std_lcb")
-            ).select(
-                "n_trees",
-                F.lit(ff).alias("feature_fraction"),
-                F.lit(sf).alias("sample_fraction"),
-                F.round("mean_lcb", 5).alias("mean_lcb"),
-                F.round("std_lcb", 5).alias("std_lcb"),
-                F.round(F.col("mean_lcb") - F.col("std_lcb"), 5).alias("objective"),
-            )
-            out = part if out is None else out.unionByName(part)
-    return settle(out, "tuned")
+    folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+    pool = rows.orderBy(F.xxhash64("key", F.lit(seed)), *names).limit(most_rows).toArrow().to_pandas()
+    plan = [
+        (ff, sf, f, i, t.seed, list(t.allowed))
+        for ff in feature_grid
+        for sf in sample_grid
+        for f in folds
+        for i, t in enumerate(plan_trees(len(features), max(trees_grid), sf, ff, seed, skip_fold=f))
+    ]
+    unit = "feature_fraction double, sample_fraction double, fold int"
+    asked = spark.createDataFrame(plan, f"{unit}, tree int, seed long, allowed array<int>")
+    tasks = max(spark.sparkContext.defaultParallelism, len(plan) // 512)
+    grown = settle(
+        asked.repartition(tasks, *_UNIT, "tree").mapInPandas(
+            _grow_in_task(spark.sparkContext.broadcast(pool), names),
+            f"{unit}, tree int, psi long, feature array<int>, cut array<double>, left array<int>, path array<double>",
+        ),
+        "trees",
+    )
+    sizes = grown.groupBy(*_UNIT).agg(F.sum(F.size("feature")).alias("nodes")).orderBy(*_UNIT).collect()
+    parts = [
+        rows.join(F.broadcast(units.select("fold").distinct()), "fold", "left_semi").mapInPandas(
+            _held_out(forests, list(trees_grid), names),
+            f"{unit}, n_trees int, n long, s double, q double",
+        )
+        for units, forests in _passes(spark, grown, sizes)
+    ]
+    if not parts:
+        return spark.createDataFrame([], _TUNED)
+    sums = settle(functools.reduce(DataFrame.unionByName, parts), "held_out")
+    mean, square = F.sum("s") / F.sum("n"), F.sum("q") / F.sum("n")
+    deviation = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+    lcb = sums.groupBy(*_UNIT, "n_trees").agg((mean - k_sigma * deviation).alias("lcb"))
+    grid = lcb.groupBy("n_trees", "feature_fraction", "sample_fraction").agg(
+        F.avg("lcb").alias("mean"), F.stddev_pop("lcb").alias("std")
+    )
+    return settle(
+        grid.select(
+            "n_trees",
+            "feature_fraction",
+            "sample_fraction",
+            F.round("mean", 5).alias("mean_lcb"),
+            F.round("std", 5).alias("std_lcb"),
+            F.round(F.col("mean") - F.col("std"), 5).alias("objective"),
+        ),
+        "tuned",
+    )
+
+
+_TUNED = "n_trees int, feature_fraction double, sample_fraction double, mean_lcb double, std_lcb double, objective double"
 
 
-def _held_out(forests: dict, sizes: list[int], d: int) -> Callable:
+def grow_whole(x: np.ndarray, allowed: Sequence[int], limit: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """One tree over rows held in memory, all nodes of a level at once.
+
+    Node lists: feature (-1 in leaves), cut, left child (the right one follows)
+    and path, the expected path length of a row that ends there.
+    """
+    allowed = np.asarray(allowed)
+    feature, cut, left, path = [np.empty(0, t) for t in (np.int32, float, np.int32, float)]
+    parts, at, width = x[:, allowed], np.zeros(len(x), dtype=np.int64), 1
+    for depth in range(limit + 1):
+        order = np.argsort(at, kind="stable")
+        parts, at = parts[order], at[order]
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        n = np.diff(np.r_[starts, len(at)])
+        lo, hi = np.minimum.reduceat(parts, starts), np.maximum.reduceat(parts, starts)
+        usable = hi > lo
+        parted = usable.any(axis=1) & (n > 1) & (depth < limit)
+        j = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
+        node = np.arange(width)
+        u = rng.random(width)
+        low, high = lo[node, j], hi[node, j]
+        where = np.minimum(low + u * (high - low), np.nextafter(high, -np.inf))
+        first = len(feature) + width + 2 * (np.cumsum(parted) - parted)
+        feature = np.r_[feature, np.where(parted, allowed[j], -1)].astype(np.int32)
+        cut = np.r_[cut, np.where(parted, where, 0.0)]
+        left = np.r_[left, np.where(parted, first, -1)].astype(np.int32)
+        path = np.r_[path, depth + expected_path(n)]
+        if not parted.any():
+            break
+        live = parted[at]
+        parts, at = parts[live], at[live]
+        right = parts[np.arange(len(at)), j[at]] > where[at]
+        width = 2 * int(parted.sum())
+        at = 2 * (np.cumsum(parted) - parted)[at] + right
+    return {"feature": feature, "cut": cut, "left": left, "path": path}
+
+
+def _grow_in_task(pool: Broadcast, names: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, fold, key = pool.value[names].to_numpy(dtype=float), pool.value["fold"].to_numpy(), pool.value["key"].to_numpy()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                seen = np.flatnonzero(fold != r.fold)
+                seen = seen if len(seen) else np.arange(len(x))
+                psi = max(1, int(r.sample_fraction * len(seen)))
+                taken = seen[np.argsort(hashed_uniform(key[seen], r.seed), kind="stable")[:psi]]
+                tree = grow_whole(x[taken], r.allowed, height(max(psi, 2)), np.random.default_rng([r.seed, 7]))
+                out.append((r.feature_fraction, r.sample_fraction, r.fold, r.tree, max(psi, 2), *tree.values()))
+            if out:
+                yield pd.DataFrame(out, columns=[*_UNIT, "tree", "psi", "feature", "cut", "left", "path"])
+
+    return run
+
+
+def _passes(spark: SparkSession, grown: DataFrame, sizes: list[Row]) -> Iterator[tuple[DataFrame, Broadcast]]:
+    """Forests by fold, as many to a pass as fit ``PASS_BYTES``: their units and the broadcast forests."""
+    share = np.cumsum([r["nodes"] * _NODE_BYTES for r in sizes]) // PASS_BYTES
+    for p in np.unique(share):
+        picked = [tuple(r[c] for c in _UNIT) for r, s in zip(sizes, share, strict=True) if s == p]
+        units = spark.createDataFrame(picked, "feature_fraction double, sample_fraction double, fold int")
+        trees = grown.join(F.broadcast(units), _UNIT).orderBy(*_UNIT, "tree").toArrow().to_pandas()
+        forests: dict[int, list] = {}
+        for (ff, sf, f), rows in trees.groupby(_UNIT):
+            nodes = [tuple(np.asarray(v) for v in t) for t in zip(*[rows[c] for c in ("feature", "cut", "left", "path")], strict=True)]
+            forests.setdefault(int(f), []).append((ff, sf, int(rows["psi"].iloc[0]), nodes))
+        yield units, spark.sparkContext.broadcast(forests)
+
+
+def path_lengths(x: np.ndarray, nodes: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Expected path length of every row in one tree of ``grow_whole``."""
+    feature, cut, left, path = nodes
+    at = np.zeros(len(x), dtype=np.int64)
+    moving = np.arange(len(x))
+    while len(moving := moving[feature[at[moving]] >= 0]):
+        node = at[moving]
+        at[moving] = left[node] + (x[moving, feature[node]] > cut[node])
+    return path[at]
+
+
+def _held_out(forests: Broadcast, sizes: list[int], names: list[str]) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for fold, part in pdf.groupby("fold"):
-                x = part[[f"x{i}" for i in range(d)]].to_numpy(dtype=float)
-                for n in sizes:
-                    yield pd.DataFrame({"fold": fold, "n_trees": n, "score": forests[fold].score_array(x, n)})
+                x = part[names].to_numpy(dtype=float)
+                for ff, sf, psi, trees in forests.value.get(int(fold), []):
+                    total, norm = np.zeros(len(x)), float(expected_path(np.array([psi]))[0])
+                    for i, nodes in enumerate(trees, 1):
+                        total += path_lengths(x, nodes)
+                        if i in sizes:
+                            score = -np.power(2.0, -total / i / norm)
+                            now = np.array([len(x), score.sum(), (score * score).sum()])
+                            acc[ff, sf, fold, i] = acc.get((ff, sf, fold, i), 0.0) + now
+        if acc:
+            yield pd.DataFrame(
+                [(*unit, int(v[0]), v[1], v[2]) for unit, v in acc.items()], columns=[*_UNIT, "n_trees", "n", "s", "q"]
+            )
 
     return run
 

@@ -189,3 +189,58 @@ def test_user_metric_sees_exact_scores_outside_the_unit_range(spark):
 
 def test_forest_height_follows_the_sample():
     assert forest.height(4096) == 12 and forest.height(100_000) == 17 and forest.height(2) == 1
+
+
+def test_whole_tree_splits_every_leaf_by_its_rows():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3)).round(1)
+    t = forest.grow_whole(x, [0, 2], 6, np.random.default_rng(1))
+    todo, leaves = [(0, x, 0)], 0
+    while todo:
+        node, rows, depth = todo.pop()
+        assert len(rows)
+        f = t["feature"][node]
+        if f < 0:
+            leaves += 1
+            constant = len(np.unique(rows[:, [0, 2]], axis=0)) == 1
+            assert depth == 6 or constant
+            assert t["path"][node] == pytest.approx(depth + forest.expected_path(np.array([len(rows)]))[0])
+            continue
+        assert f in (0, 2)
+        right = rows[:, f] > t["cut"][node]
+        todo += [(t["left"][node], rows[~right], depth + 1), (t["left"][node] + 1, rows[right], depth + 1)]
+    assert 2 * leaves - 1 == len(t["feature"])
+    walked = forest.path_lengths(x, tuple(t.values()))
+    assert walked.mean() > 4 and set(walked) <= set(t["path"])
+
+
+def test_tuning_scores_every_held_out_row_whatever_the_passes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3, *map(float, rng.normal(size=2))) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, fold int, a double, b double")
+    grid = {"trees_grid": (3, 7), "feature_grid": (0.5, 1.0), "sample_grid": (0.7, 1.0)}
+    got = forest.tune(df, ["a", "b"], "id", **grid).toPandas()
+    assert len(got) == 8 and got["mean_lcb"].between(-1, 0).all()
+    monkeypatch.setattr(forest, "PASS_BYTES", 1)
+    again = forest.tune(df.repartition(5), ["a", "b"], "id", **grid).toPandas()
+    on = ["n_trees", "feature_fraction", "sample_fraction"]
+    pd.testing.assert_frame_equal(*[g.sort_values(on).reset_index(drop=True) for g in (got, again)])
+    pdf = forest.numbered(df, ["a", "b"], "id", "fold").toPandas()
+    lcb = []
+    for fold in range(3):
+        seen, out = pdf[pdf["fold"] != fold], pdf[pdf["fold"] == fold]
+        total = np.zeros(len(out))
+        for t in forest.plan_trees(2, 7, 1.0, 1.0, 42, skip_fold=fold):
+            order = np.argsort(resample.hashed_uniform(seen["key"].to_numpy(), t.seed), kind="stable")
+            x = seen[["x0", "x1"]].to_numpy()[order]
+            nodes = forest.grow_whole(x, t.allowed, forest.height(len(x)), np.random.default_rng([t.seed, 7]))
+            total += forest.path_lengths(out[["x0", "x1"]].to_numpy(), tuple(nodes.values()))
+        score = -np.power(2.0, -total / 7 / forest.expected_path(np.array([len(seen)]))[0])
+        lcb.append(score.mean() - 2 * score.std())
+    whole = got[(got["n_trees"] == 7) & (got["feature_fraction"] == 1.0) & (got["sample_fraction"] == 1.0)]
+    assert whole["mean_lcb"].item() == pytest.approx(np.mean(lcb), abs=2e-5)
+
+
+def test_tuning_of_no_rows_is_empty(spark):
+    df = spark.createDataFrame([], "id long, fold int, a double")
+    assert forest.tune(df, ["a"], "id", trees_grid=(2,)).count() == 0
