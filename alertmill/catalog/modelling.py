@@ -9,7 +9,7 @@ from alertmill.catalog import register
 from alertmill.catalog.views_sql import WINDOWS
 from alertmill.catalog.windowing import rounded
 from alertmill.operators import attribution, detectors, forest, metrics, neighbours, prep, robust, splits
-from alertmill.operators.sequences import sliding_sequences
+from alertmill.operators.sequences import padded_sequences, sliding_sequences, vector
 from alertmill.plans import pipeline
 from alertmill.schemas import SELECTED_FEATURES
 from alertmill.session import settle
@@ -103,7 +103,7 @@ def tuned_setting(spark, sf_dir):
     return forest.best_setting(isolation_forest_tuning(spark, sf_dir))
 
 
-FIRST = 8
+FIRST = views.VECTOR_DIM
 VEC = [f"v{i}" for i in range(FIRST)]
 VEC_SQL = "vecs AS (SELECT vec_id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(VEC))
 VEC_SQL += ", CASE WHEN label < 3 THEN 1 ELSE 0 END AS y FROM embeddings)"
@@ -181,7 +181,7 @@ def _sequences(spark, sf_dir):
 def _classifier(spark, sf_dir):
     def build():
         train = _sequences(spark, sf_dir).filter("split = 'train'")
-        return detectors.SequenceClassifier.fit(train, "window_id", hidden=(16,), max_iter=25)
+        return detectors.SequenceClassifier.fit(train, "window_id")
 
     return _once(spark, sf_dir, "classifier", build)
 
@@ -220,7 +220,7 @@ def reconstruction_detector(spark, sf_dir):
 def _one_class(name: str, nu: float, kernel: str) -> None:
     @register(name)
     def query(spark, sf_dir):
-        model = detectors.OneClassBoundary.fit(_normal_vectors(spark, sf_dir), VEC, nu=nu, kernel=kernel, steps=4)
+        model = detectors.OneClassBoundary.fit(_normal_vectors(spark, sf_dir), VEC, nu=nu, kernel=kernel)
         return rounded(model.transform(_vectors(spark, sf_dir)).select("vec_id", "score"), ["score"])
 
 
@@ -257,22 +257,29 @@ def local_outlier_factor(spark, sf_dir):
 
 @register("baseline_matrix")
 def baseline_matrix(spark, sf_dir):
+    """Five detectors, fitted on the even half, over the odd half as it is and aligned to the even one."""
     v = _vectors(spark, sf_dir)
-    z = settle(prep.Standardiser.fit(v, VEC).transform(v), "baseline_z")
-    source = z.filter("y = 1 AND vec_id % 2 = 0")
-    target = z.filter("y = 0 OR vec_id % 2 = 1")
-    aligned = prep.CoralAligner.fit(source, target, VEC).transform(target, VEC)
+    z = settle(prep.Standardiser.fit(v, VEC).transform(v).withColumn("dataset", F.lit(0)), "baseline_z")
+    source, target = z.filter("vec_id % 2 = 0"), z.filter("vec_id % 2 = 1")
+    home = source.filter("y = 1")
+    aligned = settle(prep.CoralAligner.fit(source, target, VEC).transform(target, VEC), "baseline_aligned")
+    steps = padded_sequences(source, "dataset", ["vec_id"], VEC)
     fitted = {
-        "forest": forest.IsolationForest.fit(source, VEC, "vec_id", 30),
-        "reconstruction": detectors.ReconstructionDetector.fit(source, VEC),
-        "one_class": detectors.OneClassBoundary.fit(source, VEC, kernel="linear", steps=3),
+        "forest": forest.IsolationForest.fit(home, VEC, "vec_id"),
+        "reconstruction": detectors.ReconstructionDetector.fit(home, VEC),
+        "one_class": detectors.OneClassBoundary.fit(home, VEC),
     }
+    sequence = detectors.SequenceClassifier.fit(steps, "vec_id")
+    refs = home.select(F.col("vec_id").alias("ref_id"), vector(VEC).alias("v"))
     every = None
     for variant, rows in (("plain", target), ("coral", aligned)):
-        for name, model in fitted.items():
-            s = model.transform(rows, "s").select(
-                F.lit(name).alias("detector"), F.lit(variant).alias("variant"), F.lit(0).alias("dataset"), "y", "s"
-            )
+        scored = {name: model.transform(rows, "s") for name, model in fitted.items()}
+        scored["sequence"] = sequence.transform(padded_sequences(rows, "dataset", ["vec_id"], VEC), "s")
+        asked = rows.select(F.col("vec_id").alias("query_id"), vector(VEC).alias("v"))
+        factor = neighbours.local_outlier_factor(asked, refs, pivots=16).select(F.col("query_id").alias("vec_id"), F.col("score").alias("s"))
+        scored["neighbours"] = rows.join(factor, "vec_id")
+        for name, found in scored.items():
+            s = found.select(F.lit(name).alias("detector"), F.lit(variant).alias("variant"), "dataset", "y", "s")
             every = s if every is None else every.unionByName(s)
     normal = prep.percentile_normalise(settle(every, "baselines"), ["detector", "variant"], "s")
     return rounded(detectors.baseline_matrix(normal), ["auc", "tpr", "fpr", "f1", "threshold"])
@@ -310,7 +317,7 @@ def sequence_noise_sweep(spark, sf_dir):
 @register("repeated_noise")
 def repeated_noise(spark, sf_dir):
     test = features(spark, sf_dir).filter("split = 'test'")
-    s = robust.repeated_noise(test, SELECTED_FEATURES, "window_id", _score_rows(spark, sf_dir), levels=[0.05, 0.2], repeats=3)
+    s = robust.repeated_noise(test, SELECTED_FEATURES, "window_id", _score_rows(spark, sf_dir))
     return rounded(s, ["auc_mean", "auc_std", "delta"])
 
 
@@ -322,7 +329,6 @@ def jitter_sweep(spark, sf_dir):
         t.filter("split = 'train' AND y = 1"),
         "window_id",
         _score_rows(spark, sf_dir),
-        repeats=3,
     )
     return rounded(s, ["tpr_mean", "tpr_std", "gap_shift", "variance_shift"])
 
@@ -348,17 +354,20 @@ def jitter_base_shift(spark, sf_dir):
     return rounded(s.select("gap_shift", "variance_shift"), ["gap_shift", "variance_shift"])
 
 
+# Fixed value: seeds of the sweep.
+SEEDS = 10
+
+
 @register("seed_sweep")
 def seed_sweep(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
+    """The sequence model, fitted again with every seed."""
+    q = _sequences(spark, sf_dir)
+    train, test = q.filter("split = 'train'"), q.filter("split = 'test'")
 
     def run(seed: int):
-        f = forest.IsolationForest.fit(v.filter("y = 1"), VEC, "vec_id", 10, seed=seed)
-        s = f.transform(v)
-        lo, hi = prep.score_bounds(s.filter("y = 1"), "score")
-        return s.withColumn("p", prep.unit_range(F.col("score"), lo, hi))
+        return detectors.SequenceClassifier.fit(train, "window_id", seed=seed).transform(test)
 
-    return rounded(robust.seed_sweep(run, [1, 2, 3]), ["mean", "std", "ci95_lo", "ci95_hi"])
+    return rounded(robust.seed_sweep(run, range(1, SEEDS + 1)), ["mean", "std", "ci95_lo", "ci95_hi"])
 
 
 def _explained(spark, sf_dir, normals: bool, n: int):

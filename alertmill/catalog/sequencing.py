@@ -65,13 +65,14 @@ def sequential_features(spark, sf_dir):
 
 @register(
     "rolling_fill_medians",
-    f"""WITH {ROLL} SELECT attack_type, round(mp, 6) AS persistence, round(mm, 6) AS mean, round(ms, 6) AS std
-        FROM med""",
+    f"""WITH {ROLL} SELECT attack_type, 'train' AS scope, round(mp, 6) AS persistence, round(mm, 6) AS mean,
+          round(ms, 6) AS std FROM med
+        UNION ALL SELECT attack_type, 'all', round(ap, 6), round(am, 6), round(as_, 6) FROM med""",
 )
 def rolling_fill_medians(spark, sf_dir):
-    long = R.fill_medians(R.rolling_raw(views.windows(spark, sf_dir))).filter("scope = 'train'")
+    long = R.fill_medians(R.rolling_raw(views.windows(spark, sf_dir)))
     names = dict(zip(SEQUENTIAL_FEATURES, ["persistence", "mean", "std"], strict=True))
-    return long.groupBy("attack_type").agg(
+    return long.groupBy("attack_type", "scope").agg(
         *[F.round(F.max(F.when(F.col("feature") == f, F.col("median"))), 6).alias(a) for f, a in names.items()]
     )
 

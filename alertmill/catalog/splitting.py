@@ -131,13 +131,12 @@ def random_pick(spark, sf_dir):
 @register(
     "thin_normals",
     f"""WITH {SCORES}, s AS (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || CAST(id AS VARCHAR)),
-          id) AS pick FROM scores WHERE attack_type IN ('normal', 'ddos')),
+          id) AS pick FROM scores),
         a AS (SELECT count(*) AS n FROM s WHERE y = 0)
         SELECT id, y FROM s, a WHERE y = 0 OR pick <= greatest(4 * a.n, 50)""",
 )
 def thin_normals(spark, sf_dir):
-    s = views.scores(spark, sf_dir).filter(F.col("attack_type").isin("normal", "ddos"))
-    return splits.thin_normals(s, "id").select("id", "y")
+    return splits.thin_normals(views.scores(spark, sf_dir), "id").select("id", "y")
 
 
 @register(

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.operators import metrics, splits
@@ -121,6 +121,10 @@ def temporal_validation(
     return r.withColumn("robust", F.lit(worst is not None and worst > least_auc))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
 @dataclass
 class ReconstructionDetector:
     """Bottleneck of the leading components; score is minus the standardised squared error."""
@@ -143,17 +147,18 @@ class ReconstructionDetector:
         return model
 
     def _errors(self, df: DataFrame) -> DataFrame:
-        """Mean squared error, as plain column arithmetic.
+        """Mean squared error, by array functions, so that the expression does not grow with the columns.
 
         With orthonormal components the lost part is |x|^2 less the squared
         projections.
         """
-        x = [F.col(f) - float(self.mean[i]) for i, f in enumerate(self.features)]
-        total = sum((c * c for c in x), F.lit(0.0))
-        for j in range(self.components.shape[1]):
-            z = sum((x[i] * float(self.components[i, j]) for i in range(len(x))), F.lit(0.0))
-            total = total - z * z
-        return df.withColumn("error", F.greatest(total, F.lit(0.0)) / len(x))
+        x = F.array(*[F.col(f) - float(self.mean[i]) for i, f in enumerate(self.features)])
+        rows = df.withColumn("_x", x)
+        lost = _dot(F.col("_x"), F.col("_x"))
+        for part in self.components.T:
+            z = _dot(F.col("_x"), F.array(*[F.lit(float(c)) for c in part]))
+            lost = lost - z * z
+        return rows.withColumn("error", F.greatest(lost, F.lit(0.0)) / len(self.features)).drop("_x")
 
     def transform(self, df: DataFrame, out: str = "ae_z") -> DataFrame:
         return self._errors(df).withColumn(out, -(F.col("error") - self.mu) / (self.sd + 1e-9)).drop("error")

@@ -166,12 +166,27 @@ def _root(c: np.ndarray, power: float) -> np.ndarray:
     return (v * np.power(np.maximum(w, 1e-300), power)) @ v.T
 
 
+#: Columns up to which a linear map is written out term by term.
+PLAIN_COLUMNS = 16
+
+
 def linear_map(df: DataFrame, features: Sequence[str], a: np.ndarray, before: np.ndarray, after: np.ndarray) -> DataFrame:
-    """Row vectors (x - before) A + after as plain column arithmetic."""
+    """Row vectors (x - before) A + after as plain column arithmetic, of many columns by array functions.
+
+    Both add in the same order; arrays keep a wide map within the size of one compiled method.
+    """
     old = [F.col(f) - float(before[i]) for i, f in enumerate(features)]
     new: dict[str, Column] = {}
     for j, f in enumerate(features):
-        new[f] = sum((old[i] * float(a[i, j]) for i in range(len(features))), F.lit(float(after[j])))
+        terms = [float(a[i, j]) for i in range(len(features))]
+        if len(features) <= PLAIN_COLUMNS:
+            new[f] = sum((x * t for x, t in zip(old, terms, strict=True)), F.lit(float(after[j])))
+        else:
+            parts = F.zip_with("_x", F.array(*[F.lit(t) for t in terms]), lambda x, t: x * t)
+            new[f] = F.aggregate(parts, F.lit(float(after[j])), lambda total, x: total + x)
+    if len(features) > PLAIN_COLUMNS:
+        df = df.withColumn("_x", F.array(*old))
+        return df.select(*[c for c in df.columns if c not in new and c != "_x"], *[e.alias(f) for f, e in new.items()])
     return df.select(*[c for c in df.columns if c not in new], *[e.alias(f) for f, e in new.items()])
 
 

@@ -244,3 +244,26 @@ def test_tuning_scores_every_held_out_row_whatever_the_passes(spark, monkeypatch
 def test_tuning_of_no_rows_is_empty(spark):
     df = spark.createDataFrame([], "id long, fold int, a double")
     assert forest.tune(df, ["a"], "id", trees_grid=(2,)).count() == 0
+
+
+def test_wide_linear_map_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    x, a = rng.normal(size=(6, 40)), rng.normal(size=(40, 40))
+    before, after = rng.normal(size=40), rng.normal(size=40)
+    cols = [f"c{i}" for i in range(40)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(id=range(6)))
+    got = prep.linear_map(df, cols, a, before, after).toPandas().sort_values("id")
+    assert list(got.columns) == ["id", *cols]
+    assert np.allclose(got[cols].to_numpy(), (x - before) @ a + after)
+
+
+def test_reconstruction_error_is_what_the_components_lose(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 30)) @ rng.normal(size=(30, 30))
+    cols = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=cols).assign(id=range(80)))
+    model = detectors.ReconstructionDetector.fit(df, cols)
+    got = model.transform(df).toPandas().sort_values("id")["ae_z"].to_numpy()
+    c = x - x.mean(axis=0)
+    lost = ((c - c @ model.components @ model.components.T) ** 2).mean(axis=1)
+    assert np.allclose(got, -(lost - lost.mean()) / (lost.std() + 1e-9), atol=1e-6)
