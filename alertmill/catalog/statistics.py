@@ -11,6 +11,7 @@ from alertmill.catalog.views_sql import MATRIX, MELTED, SCORES, WINDOWS
 from alertmill.catalog.windowing import rounded
 from alertmill.functions.scalars import whole
 from alertmill.operators import metrics, resample, splits, stats
+from alertmill.plans import selection
 from alertmill.sources import views
 
 FEATS = views.MATRIX_FEATURES
@@ -428,3 +429,71 @@ def repeat_summary(spark, sf_dir):
     per = long_scores(spark, sf_dir).groupBy(*MODEL_KEYS).agg(F.avg("p").alias("value"))
     s = stats.summarise_repeats(per, ["model"])
     return rounded(s.select("model", "n", "mean", "std"), ["mean", "std"])
+
+
+# The line items once more, with columns that each step of the choice has to turn down.
+WIDE_FEATS = [*FEATS, "net", "gross", "unit", "returned"]
+WIDE = (
+    MATRIX
+    + """,
+wide AS (SELECT *, price * (1 - discount) AS net, price * (1 + tax) AS gross, tax / 100 AS unit,
+    CASE WHEN class = 'N' THEN 0e0 ELSE 1e0 END AS returned FROM matrix),
+melted AS (SELECT id, class, unnest([{names}]) AS feature, unnest([{columns}]) AS value FROM wide),
+vr AS (SELECT feature, var_pop(value) > 1e-4 AS varies FROM melted GROUP BY feature),
+mom AS (SELECT feature, class, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM melted GROUP BY ALL),
+wi AS (SELECT feature, min(v) >= 1e-6 AS within FROM mom GROUP BY feature),
+sv AS (SELECT feature FROM vr JOIN wi USING (feature) WHERE varies AND within),
+eff AS (SELECT feature, least(max(g) FILTER (class = 'A'), max(g) FILTER (class = 'R')) AS g FROM (
+    SELECT a.feature, b.class, abs(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2))
+      * (1 - 3 / (4e0 * (a.n + b.n - 2) - 1)) AS g
+    FROM mom a JOIN mom b ON b.feature = a.feature JOIN sv ON sv.feature = a.feature
+    WHERE a.class = 'N' AND b.class <> 'N') GROUP BY feature),
+rk AS (SELECT id, feature, value, rank() OVER (PARTITION BY feature ORDER BY value)
+    + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r FROM melted JOIN sv USING (feature) WHERE class = 'N'),
+pc AS (SELECT a.feature AS a, b.feature AS b, abs(corr(a.value, b.value)) AS pearson, abs(corr(a.r, b.r)) AS spearman
+    FROM rk a JOIN rk b ON b.id = a.id AND a.feature <> b.feature GROUP BY ALL),
+links AS (SELECT a, b FROM pc WHERE pearson > 0.92 AND spearman > 0.92),
+reach(f, t) AS (SELECT feature, feature FROM eff UNION SELECT r.f, l.b FROM reach r JOIN links l ON l.a = r.t),
+comp AS (SELECT f AS feature, min(t) AS component FROM reach GROUP BY f),
+free AS (SELECT feature, g FROM (SELECT c.feature, g, row_number() OVER (PARTITION BY component
+    ORDER BY g DESC, c.feature DESC) AS place FROM comp c JOIN eff ON eff.feature = c.feature) WHERE place = 1),
+sm AS (SELECT id, CASE WHEN class = 'N' THEN 1 ELSE 0 END AS label FROM (
+  SELECT *, row_number() OVER (PARTITION BY class = 'N' ORDER BY md5('42:' || id), id) AS rn,
+    count(*) OVER (PARTITION BY class = 'N') AS n FROM matrix) WHERE rn <= round(n * 0.6)),
+sl AS (SELECT label, feature, value FROM melted JOIN sm USING (id) JOIN free USING (feature))""".format(
+        names=", ".join(f"'{f}'" for f in WIDE_FEATS), columns=", ".join(WIDE_FEATS)
+    )
+)
+
+
+def wide_table(spark, sf_dir):
+    t = feature_table(spark, sf_dir)
+    price, tax = F.col("price"), F.col("tax")
+    return t.withColumns(
+        {
+            "net": price * (1 - F.col("discount")),
+            "gross": price * (1 + tax),
+            "unit": tax / 100,
+            "returned": F.when(F.col("class") == "N", 0.0).otherwise(1.0),
+        }
+    )
+
+
+@register(
+    "feature_candidates",
+    f"""WITH RECURSIVE {WIDE}, {_ANOVA}, {_MI},
+        j AS (SELECT feature, g, f_score, mi, (g / max(g) OVER () + f_score / max(f_score) OVER ()
+            + mi / max(mi) OVER ()) / 3 AS score FROM free JOIN an USING (feature) JOIN mt USING (feature))
+        SELECT vr.feature, CASE WHEN NOT varies THEN 'variance' WHEN NOT within THEN 'within_class'
+          WHEN j.feature IS NULL THEN 'collinear' ELSE 'ranked' END AS stage,
+          round(j.g, 6) AS g_min, round(j.f_score, 5) AS f_score, round(j.mi, 8) AS mi, round(j.score, 5) AS score
+        FROM vr JOIN wi USING (feature) LEFT JOIN j ON j.feature = vr.feature""",
+)
+def feature_candidates(spark, sf_dir):
+    found = selection.candidates(wide_table(spark, sf_dir), WIDE_FEATS, "id", "class")
+    return found.withColumns({c: F.round(c, d) for c, d in (("g_min", 6), ("f_score", 5), ("mi", 8), ("score", 5))})
+
+
+@register("feature_selection")
+def feature_selection(spark, sf_dir):
+    return selection.select_features(wide_table(spark, sf_dir), WIDE_FEATS, "id", k=3, cls="class")

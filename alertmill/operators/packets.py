@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertmill.functions.scalars import hex_bytes, utf8_hex, whole
+from alertmill.functions.scalars import whole
+from alertmill.operators.octets import byte_counts
 from alertmill.operators.ordered import core, part_window, ranked
 
 # Message type codes of the protocol.
@@ -32,12 +33,10 @@ def packet_windows(
     )
 
 
-def payload_bytes(msg):
-    """Bytes of a payload as hex pairs: decoded if it is hex text, else its UTF-8 bytes."""
+def payload_bytes(msg: Column) -> Column:
+    """Bytes of a payload: decoded if it is text of hex pairs, else its UTF-8 bytes."""
     text = F.trim(msg)
-    return hex_bytes(
-        F.when(text.rlike(HEX_TEXT), F.upper(F.regexp_replace(text, r"\s", ""))).otherwise(utf8_hex(text))
-    )
+    return F.when(text.rlike(HEX_TEXT), F.unhex(F.regexp_replace(text, r"\s", ""))).otherwise(F.encode(text, "UTF-8"))
 
 
 def packet_features(windowed: DataFrame) -> DataFrame:
@@ -68,12 +67,8 @@ def packet_features(windowed: DataFrame) -> DataFrame:
         F.count_if(F.col("t") > F.col("mid")).alias("late"),
         F.count_if(F.col("t") <= F.col("mid")).alias("early"),
     )
-    counts = (
-        rows.filter(F.trim("msg") != "")
-        .select("window_no", F.explode(payload_bytes(F.col("msg"))).alias("byte"))
-        .groupBy("window_no", "byte")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+    bodies = rows.filter(F.trim("msg") != "").select("window_no", payload_bytes(F.col("msg")).alias("body"))
+    counts = byte_counts(bodies, ["window_no"], "body").withColumnRenamed("n", "c")
     entropy = counts.groupBy("window_no").agg(
         (F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("entropy")
     )

@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertmill.functions.scalars import EMERGENCY, day_angle, emergency, hex_bytes, micros, utf8_hex, whole
+from alertmill.functions.scalars import EMERGENCY, day_angle, emergency, micros, whole
+from alertmill.operators.octets import byte_counts
 from alertmill.schemas import WINDOW_FEATURES
 from alertmill.session import settle
 
@@ -178,18 +179,12 @@ class _Capture:
         Every payload brings a leading zero byte; the window then takes one off.
         """
         rows = self.emergencies("timestamp", "message").filter(F.col("message").isNotNull())
-        panes = (
-            self.events(rows, "message")
-            .select(
-                "stream", "pane", F.explode(hex_bytes(F.concat(F.lit("00"), utf8_hex(F.col("message"))))).alias("byte")
-            )
-            .groupBy("stream", "pane", "byte")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
+        bodies = self.events(rows, "message").select("stream", "pane", F.encode("message", "UTF-8").alias("body"))
+        panes = byte_counts(bodies, ["stream", "pane"], "body", lead=True)
         counts = (
             self.placed(panes)
             .groupBy("stream", "k", "byte")
-            .agg((F.sum("n") - F.when(F.col("byte") == "00", 1).otherwise(0)).alias("n"))
+            .agg((F.sum("n") - F.when(F.col("byte") == 0, 1).otherwise(0)).alias("n"))
             .filter("n > 0")
         )
         total = F.sum("n").over(Window.partitionBy("stream", "k"))
