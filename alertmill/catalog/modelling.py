@@ -10,7 +10,7 @@ from alertmill.catalog.views_sql import WINDOWS
 from alertmill.catalog.windowing import rounded
 from alertmill.operators import attribution, detectors, forest, metrics, neighbours, prep, robust, splits
 from alertmill.operators.sequences import padded_sequences, sliding_sequences, vector
-from alertmill.plans import pipeline
+from alertmill.plans import packet_transfer, pipeline, reporting
 from alertmill.schemas import SELECTED_FEATURES
 from alertmill.session import settle
 from alertmill.sources import views
@@ -497,3 +497,17 @@ def foreign_log_transfer_parity(spark, sf_dir):
     r = pipeline.transfer(views.readings(spark, sf_dir), home, fitted_detection(spark, sf_dir), min_rows=3, label_free=False)
     num = [c for c, t in r.dtypes if t == "double"]
     return rounded(r, num)
+
+
+@register("detection_evaluation")
+def detection_evaluation(spark, sf_dir):
+    r = reporting.detection_evaluation(fitted_detection(spark, sf_dir))
+    return rounded(r.select("section", "model", "measure", "value"), ["value"])
+
+
+@register("packet_log_transfer")
+def packet_log_transfer(spark, sf_dir):
+    """The variant that reads target labels for orientation and weights."""
+    logs = views.packet_captures(spark, sf_dir)
+    r = packet_transfer.transfer_packets(logs, features(spark, sf_dir), fitted_detection(spark, sf_dir), label_free=False)
+    return rounded(r, [c for c, t in r.dtypes if t == "double"])

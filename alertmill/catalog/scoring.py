@@ -13,6 +13,7 @@ from alertmill.functions import scalars
 from alertmill.operators import fusion, metrics, prep, rolling, runs, sensor
 from alertmill.operators.ordered import quantiles
 from alertmill.schemas import WINDOW_FEATURES
+from alertmill.plans import reporting
 from alertmill.sources import views
 
 KEYS = ["dataset"]
@@ -848,3 +849,59 @@ def sensor_zscore(spark, sf_dir):
     z = prep.zscore_by(w, "dataset", ["payload_entropy"])
     z = z.select("dataset", F.date_format("window_start_time", "yyyy-MM-dd HH:mm:ss").alias("start"), "payload_entropy")
     return rounded(z, ["payload_entropy"], 5)
+
+
+EVALUATED = f"""WITH {SCORES},
+lg AS (SELECT dataset, id, y, attack_type, unnest(['forest', 'sequence']) AS model, unnest([p_if, p_lstm]) AS p FROM scores),
+pt AS (SELECT dataset, model, point, thr, (count(*) FILTER (y = 0 AND p < thr))::DOUBLE AS ad, (count(*) FILTER (y = 0 AND p >= thr))::DOUBLE AS am,
+    (count(*) FILTER (y = 1 AND p < thr))::DOUBLE AS nf, (count(*) FILTER (y = 1 AND p >= thr))::DOUBLE AS na
+  FROM lg, (VALUES ('fixed', 0.5), ('low', 0.25)) AS t(point, thr) GROUP BY ALL),
+mc AS (SELECT dataset, (count(*) FILTER (f AND NOT s))::DOUBLE AS b, (count(*) FILTER (s AND NOT f))::DOUBLE AS c
+  FROM (SELECT dataset, (p_if < 0.5) = (y = 0) AS f, (p_lstm < 0.5) = (y = 0) AS s FROM scores) GROUP BY dataset),
+g AS (SELECT *, row_number() OVER (PARTITION BY dataset, model ORDER BY id) AS rn, row_number() OVER (PARTITION BY dataset, model ORDER BY id)
+    - row_number() OVER (PARTITION BY dataset, model, y ORDER BY id) AS grp FROM lg),
+rr AS (SELECT dataset, model, 10.0 * coalesce(min(CASE WHEN p < 0.5 THEN rn END) - min(rn), count(*)) AS delay,
+    count(*) FILTER (p < 0.5) > 0 AS detected FROM g WHERE y = 0 GROUP BY dataset, model, grp),
+dl AS (SELECT dataset, model, count(*)::DOUBLE AS n, (count(*) FILTER (detected))::DOUBLE AS d, quantile_cont(delay::DOUBLE, 0.5) AS med,
+    quantile_cont(delay::DOUBLE, 0.9) AS p90, (count(*) FILTER (delay <= 10))::DOUBLE AS early FROM rr GROUP BY ALL),
+sl AS (SELECT *, y = 0 AND attack_type = 'injection' AS slow FROM lg),
+sg AS (SELECT *, lag(id) OVER d AS prev, count(y) OVER w AS c5, min(y) OVER w AS m5,
+    row_number() OVER d - row_number() OVER (PARTITION BY dataset, model, slow ORDER BY id) AS sgrp FROM sl
+  WINDOW d AS (PARTITION BY dataset, model ORDER BY id),
+    w AS (PARTITION BY dataset, model ORDER BY id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+sp AS (SELECT *, row_number() OVER (PARTITION BY dataset, model, slow, sgrp ORDER BY id) AS pos FROM sg),
+rg AS (SELECT 'scores' AS section, dataset, model, y, p FROM sp
+  UNION ALL SELECT 'regime:flooding', dataset, model, y, p FROM sp WHERE y = 1 OR attack_type = 'ddos'
+  UNION ALL SELECT 'regime:isolated', dataset, model, y, p FROM sp WHERE y = 1 OR (c5 >= 3 AND m5 = 1)
+  UNION ALL SELECT 'regime:early', dataset, model, y, p FROM sp WHERE y = 1 OR (slow AND pos <= 5)
+  UNION ALL SELECT 'regime:cold_start', dataset, model, y, p FROM sp WHERE prev IS NULL OR id - prev > 1),
+rk AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY section, dataset, model, p) - 1) / 2.0 AS r
+  FROM rg WINDOW w AS (PARTITION BY section, dataset, model ORDER BY p)),
+every AS (
+  SELECT dataset, section, model, 'auc' AS measure, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS value
+    FROM rk GROUP BY dataset, section, model
+  UNION ALL SELECT dataset, 'point:' || point, model, unnest(['threshold', 'n_attack_detected', 'n_attack_missed', 'n_normal_flagged',
+      'n_normal_accepted', 'tpr', 'fpr', 'f1']), unnest([thr::DOUBLE, ad, am, nf, na, ad / (ad + am), nf / (nf + na), 2 * ad / (2 * ad + nf + am)]) FROM pt
+  UNION ALL SELECT dataset, 'mcnemar', 'forest/sequence', unnest(['b', 'c', 'chi2']),
+      unnest([b, c, CASE WHEN b + c > 0 THEN (abs(b - c) - 1) * (abs(b - c) - 1) / (b + c) ELSE 0 END]) FROM mc
+  UNION ALL SELECT dataset, 'delay', model, unnest(['n_runs', 'n_detected', 'detection_rate', 'median_delay_min', 'p90_delay_min', 'early_detect_1w']),
+      unnest([n, d, d / n, med, p90, early]) FROM dl)
+SELECT dataset, section, model, measure, round(value, 6) AS value FROM every"""
+#: Held by queries of their own.
+ELSEWHERE = ["average_precision", "ece", "bhattacharyya", "tpr_lo", "tpr_hi", "fpr_lo", "fpr_hi", "p_value", "power"]
+
+
+@register("evaluation_report", EVALUATED)
+def evaluation_report(spark, sf_dir):
+    kind = F.col("attack_type")
+    r = reporting.evaluation(
+        views.scores(spark, sf_dir),
+        {"forest": "p_if", "sequence": "p_lstm"},
+        KEYS,
+        ["id"],
+        "id",
+        {"fixed": 0.5, "low": 0.25},
+        kind == "ddos",
+        kind == "injection",
+    )
+    return rounded(r.filter(~F.col("measure").isin(ELSEWHERE)), ["value"])

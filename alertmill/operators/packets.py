@@ -19,13 +19,13 @@ HEX_TEXT = r"^(\s*[0-9A-Fa-f]{2})+\s*$"
 
 
 def packet_windows(
-    packets: DataFrame, order: Sequence[str] = ("seq",), size: int = 50
+    packets: DataFrame, order: Sequence[str] = ("seq",), size: int = 50, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Number packets in capture order and cut them into whole windows.
+    """Number packets in capture order and cut them into whole windows, each capture (``keys``) for itself.
 
     A partial tail is dropped.
     """
-    rows = core(ranked(packets, [], list(order)), keep=["_rank", "_n"])
+    rows = core(ranked(packets, list(keys), list(order)), keep=["_rank", "_n"])
     return (
         rows.filter(F.col("_rank") <= F.col("_n") - F.col("_n") % size)
         .withColumn("window_no", whole(F.col("_rank") - 1, size))
@@ -39,24 +39,25 @@ def payload_bytes(msg: Column) -> Column:
     return F.when(text.rlike(HEX_TEXT), F.unhex(F.regexp_replace(text, r"\s", ""))).otherwise(F.encode(text, "UTF-8"))
 
 
-def packet_features(windowed: DataFrame) -> DataFrame:
-    """One row per packet window; expects ``window_no`` from ``packet_windows``."""
+def packet_features(windowed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per packet window; expects ``window_no`` (and ``keys``) from ``packet_windows``."""
+    by = [*keys, "window_no"]
     kind = F.col("`mqtt.msgtype`")
     pub = kind == PUBLISH
     rows = windowed.select(
-        "window_no",
+        *by,
         F.coalesce(pub, F.lit(False)).alias("pub"),
         F.coalesce(kind.isin(MANAGEMENT), F.lit(False)).alias("mgmt"),
         F.when(pub & (F.col("`mqtt.topic`") != ""), F.col("`mqtt.topic`")).alias("topic"),
         F.when(pub, F.expr("try_cast(`frame.time_epoch` AS DOUBLE)")).alias("t"),
         F.when(pub, F.col("`mqtt.msg`")).alias("msg"),
     )
-    w = Window.partitionBy("window_no")
+    w = Window.partitionBy(*by)
     mid = F.min("t").over(w) + (F.max("t").over(w) - F.min("t").over(w)) / 2.0
     rows = rows.withColumn("d", F.col("t") - F.lag("t").over(w.orderBy(F.col("t").asc_nulls_first()))).withColumn(
         "mid", mid
     )
-    base = rows.groupBy("window_no").agg(
+    base = rows.groupBy(*by).agg(
         F.count_if("pub").alias("n_publish"),
         F.count_if("mgmt").alias("n_mgmt"),
         F.count("topic").alias("n_topics"),
@@ -67,14 +68,14 @@ def packet_features(windowed: DataFrame) -> DataFrame:
         F.count_if(F.col("t") > F.col("mid")).alias("late"),
         F.count_if(F.col("t") <= F.col("mid")).alias("early"),
     )
-    bodies = rows.filter(F.trim("msg") != "").select("window_no", payload_bytes(F.col("msg")).alias("body"))
-    counts = byte_counts(bodies, ["window_no"], "body").withColumnRenamed("n", "c")
-    entropy = counts.groupBy("window_no").agg(
+    bodies = rows.filter(F.trim("msg") != "").select(*by, payload_bytes(F.col("msg")).alias("body"))
+    counts = byte_counts(bodies, by, "body").withColumnRenamed("n", "c")
+    entropy = counts.groupBy(*by).agg(
         (F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c")).alias("entropy")
     )
     two = F.col("n_t") >= 2
-    return base.join(entropy, "window_no", "left").select(
-        "window_no",
+    return base.join(entropy, by, "left").select(
+        *by,
         F.coalesce("entropy", F.lit(0.0)).alias("payload_entropy"),
         F.when(F.col("n_topics") > 0, F.col("distinct_topics") / F.col("n_topics"))
         .otherwise(0.0)
@@ -92,8 +93,8 @@ def packet_features(windowed: DataFrame) -> DataFrame:
     )
 
 
-def packet_rolling(features: DataFrame) -> DataFrame:
+def packet_rolling(features: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Population deviation of the publish count over the last five windows, 0 when alone."""
-    rows = ranked(features, [], ["window_no"], before=4)
-    w = part_window([]).rowsBetween(-4, 0)
+    rows = ranked(features, list(keys), ["window_no"], before=4)
+    w = part_window(list(keys)).rowsBetween(-4, 0)
     return core(rows.withColumn("freq_rolling_std_5w", F.stddev_pop("n_publish").over(w)))

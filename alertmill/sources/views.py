@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertmill.functions.scalars import as_utc
@@ -58,7 +58,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packets(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
     """Packet log; ``seq`` is the capture order."""
     k = F.regexp_extract("props", '"k": (\\d+)', 1).cast("int")
     kind = F.col("event_type")
@@ -73,9 +73,16 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("props"))
         .alias("mqtt.msg"),
         (F.unix_micros(as_utc("ts")) / 1e6).cast("string").alias("frame.time_epoch"),
+        *extra,
     )
 
 
+def packet_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet log as three captures, named like those of the alerts."""
+    user = F.col("user_id") % 3
+    return packets(spark, sf_dir, F.when(user == 0, "normal").when(user == 1, "flooding").otherwise("slow_poisoning").alias("capture"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = (
         F.when(F.col("event_id") % 4 == 0, "ddos")
