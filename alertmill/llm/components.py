@@ -42,3 +42,24 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def no_labels(df: DataFrame) -> DataFrame:
+    """Labels before any link is known."""
+    return df.sparkSession.createDataFrame([], "node bigint, root bigint")
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root), as ``components`` gives them, once the links (u, v) are added.
+
+    Only the roots that a new link joins are searched, so a round costs what it
+    adds and not what was found before it.
+    """
+    ends = [labels.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("u", "v")]
+    lifted = links.join(ends[0], "u", "left").join(ends[1], "v", "left")
+    step = components(lifted.select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")))
+    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    fresh = nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("root"))
+    moved = step.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    every = labels.unionByName(fresh).join(moved, "root", "left")
+    return settle(every.select("node", F.coalesce("_to", "root").alias("root")), "labels")

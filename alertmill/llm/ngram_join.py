@@ -53,7 +53,7 @@ from pyspark.sql.window import Window
 
 from alertmill.llm import words as W
 from alertmill.llm.common import BROADCAST_ROWS, numbered, packed
-from alertmill.llm.components import components
+from alertmill.llm.components import extended, no_labels
 from alertmill.session import settle
 
 MOST_MATCHES = 4
@@ -280,18 +280,18 @@ def _asked(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     return settle(shared.filter("shared >= asked").select("pivot", "cid").distinct(), "matches")
 
 
-def by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, rule: Rule, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Links found by comparing pivots, and the entries still open.
+def by_pivots(entries: DataFrame, own: DataFrame, labels: DataFrame, rule: Rule, last: bool) -> tuple[DataFrame, DataFrame]:
+    """``labels`` with the links found by comparing pivots, and the entries still open.
 
     The ``last`` order goes on until none is open, the other while that finds links.
     """
     prefixes, entries = entries, entries.filter("first")
-    pivots, labels = PIVOTS if last else 1, components(found)
+    pivots = PIVOTS if last else 1
     while True:
         rows = _open(entries, labels)
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("cross").alias("cross")).first()
         if not size["n"] or (not last and size["cross"] <= DIRECT * size["n"]):
-            return found, rows
+            return labels, rows
         line = Window.partitionBy("band", "h").orderBy("rare", "cid")
         heads = rows.withColumn("turn", F.row_number().over(line)).filter(F.col("turn") <= pivots)
         heads = settle(heads.select("band", "h", *[F.col(c).alias(f"p_{c}") for c in ("cid", "n", "root", "most")]), "pivots")
@@ -300,29 +300,27 @@ def by_pivots(entries: DataFrame, own: DataFrame, found: DataFrame, rule: Rule,
         pairs = _asked(settle(pairs, "pairs"), prefixes)
         new = settle(verified(pairs, own, rule), "links")
         if not new.isEmpty():
-            found = settle(found.unionByName(new), "links")
-            labels = components(found)
+            labels = extended(labels, new)
         gone = heads.select("band", "h", F.col("p_cid").alias("cid"))
         entries = settle(rows.select(*entries.columns).join(gone, ["band", "h", "cid"], "left_anti"), "entries")
         if last:
             pivots *= GROWTH
         elif new.count() * PRODUCTIVE < pairs.count():
-            return found, _open(entries, labels)
+            return labels, _open(entries, labels)
 
 
-def links(entries: DataFrame, own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """All links needed to connect the classes as full comparison would: (u, v)."""
-    found = own.sparkSession.createDataFrame([], "u bigint, v bigint")
-    found, rows = by_pivots(entries, own, found, rule, last=False)
+def linked(entries: DataFrame, own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(node, root) of the classes with a link, as full comparison would connect them."""
+    labels, rows = by_pivots(entries, own, no_labels(own), rule, last=False)
     left = settle(rows.select("cid").distinct(), "left")
     if left.isEmpty():
-        return found
+        return labels
     # what is left once more, in one order by the frequencies of all of its tokens
     own = settle(own.join(left.withColumnRenamed("cid", "_row"), "_row", "left_semi"), "texts")
     whole = F.array(F.col("n"), *[F.lit(0).cast("bigint")] * 3)
     classes = classes.join(left, "cid", "left_semi").withColumn("brings", whole)
     entries = settle(postings(own, classes, rule, whole=True), "postings")
-    return by_pivots(entries, own, found, rule, last=True)[0]
+    return by_pivots(entries, own, labels, rule, last=True)[0]
 
 
 def joined(own: DataFrame, rule: Rule = REPORT) -> DataFrame:
@@ -332,7 +330,7 @@ def joined(own: DataFrame, rule: Rule = REPORT) -> DataFrame:
     classes = rows.filter("s.n > 0").groupBy(*key).agg(F.min(F.struct("_row", "s.brings")).alias("least"))
     classes = settle(classes.select("n", "a", "b", F.col("least._row").alias("cid"), F.col("least.brings").alias("brings")), "classes")
     entries = settle(postings(own, classes, rule), "postings")
-    labels = components(links(entries, own, classes, rule))
+    labels = linked(entries, own, classes, rule)
     of_class = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(
         "n", "a", "b", "cid", F.coalesce("root", "cid").alias("root")
     )

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from alertmill.llm import words as W
 from alertmill.llm.common import drop_settled, packed
-from alertmill.llm.components import components
+from alertmill.llm.components import extended, no_labels
 from alertmill.llm.ngram_join import Rule, by_pivots, postings, sets, verified
 from alertmill.session import scratch_path, settle
 
@@ -125,12 +125,11 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 def linked(own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of all classes that have a link; ``own`` has (_row, text) of the classes."""
-    found = own.sparkSession.createDataFrame([], "u bigint, v bigint")
+    labels = no_labels(own)
     entries = buckets(classes)
     texts = settle(own.join(entries.select(F.col("cid").alias("_row")).distinct(), "_row", "left_semi"), "texts")
     productive = True
     while True:
-        labels = components(found)
         rooted = entries.join(labels, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
         rows = settle(rooted.join(mixed, "key").select("key", "cid", "n", "met", "root"), "open")
@@ -143,16 +142,17 @@ def linked(own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
         pairs = stars.filter((F.col("root") != F.col("p.root")) & near).select(F.col("p.cid").alias("pivot"), "cid").distinct()
         pairs = settle(pairs, "pairs")
         links = settle(verified(pairs, texts, rule), "links")
-        found = settle(found.unionByName(links), "found")
+        new = links.count()
+        labels = extended(labels, links) if new else labels
         entries = settle(stars.filter(F.col("cid") != F.col("p.cid")).select("key", "cid", "n", "met"), "buckets")
-        productive = links.count() * PRODUCTIVE >= pairs.count()
+        productive = new * PRODUCTIVE >= pairs.count()
     left = settle(rows.select("cid").distinct(), "left")
     if left.isEmpty():
         return labels
     texts = settle(texts.join(left.withColumnRenamed("cid", "_row"), "_row", "left_semi"), "texts")
     whole = F.array(F.col("n"), *[F.lit(0).cast("bigint")] * 3)
     lists = postings(texts, classes.join(left, "cid", "left_semi").withColumn("brings", whole), rule, whole=True)
-    return components(by_pivots(settle(lists, "postings"), texts, found, rule, last=True)[0])
+    return by_pivots(settle(lists, "postings"), texts, labels, rule, last=True)[0]
 
 
 def grouped(docs: DataFrame, rule: Rule) -> DataFrame:

@@ -203,3 +203,13 @@ def test_shards(clashing, rows):
 )
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+def test_labels_extended_link_by_link_equal_one_search(spark):
+    rng = random.Random(4)
+    edges = [(u, v) for u, v in ((rng.randrange(60), rng.randrange(60)) for _ in range(45)) if u != v]
+    labels = components.no_labels(spark.range(1))
+    for low in range(0, len(edges), 16):
+        labels = components.extended(labels, spark.createDataFrame(edges[low : low + 16], "u bigint, v bigint"))
+    whole = components.components(spark.createDataFrame(edges, "u bigint, v bigint"))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, whole.collect()))
