@@ -14,9 +14,9 @@ counts). Ids with similar neighbours share one of ``CLASSES`` classes, and g is
 a vector over classes, so the probabilities of all ids sum to one at the cost of
 a sum over classes. Embeddings are the leading singular vectors of the bigram
 counts; the query-key product, values, skip and distance weights are trained in
-numpy by Adam on windows that tile all training documents, in ``ROUNDS`` rounds
-over disjoint parts of them: tasks train on their rows from the common
-parameters, and the parameters are averaged by rows seen.
+numpy by Adam on every position of the windows that tile all training documents,
+in ``ROUNDS`` rounds over disjoint parts of them: tasks train on their rows from
+the common parameters, and the parameters are averaged by positions seen.
 
 Scoring tiles each document with windows of ``STEP`` positions which also see
 the ``BACK`` positions before them, so windows overlap and every position is
@@ -41,6 +41,7 @@ import base64
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertmill.llm import words as W
-from alertmill.session import settle
+from alertmill.session import scratch_path, settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FOLDS, HELD_OUT = 7, 2
@@ -60,27 +61,27 @@ CLASSES = 32
 WIDTH = 16
 STEP, BACK = 16, 8
 SPAN = STEP + BACK
-#: Trained positions per window.
-TARGETS = 2
 ROUNDS = 3
-BATCH = 512
+SLICE_IDS = 1 << 19
+#: Windows of a training step.
+BATCH = 256
 RATE = 0.02
 SMOOTH = 20.0
 FREQUENT = 1 << 17
-#: Words a Python worker remembers the ids of.
-REMEMBERED = 300_000
 
 _pieces: dict[int, Pieces] = {}
 
 
 class Pieces:
-    """Ids of words, remembered by word hash up to a bound."""
+    """Ids of words."""
 
     def __init__(self, vocabulary: bytes) -> None:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        # long words are cut so that merging stays linear in the text
-        self._encode = tiktoken.Encoding("words", pat_str=r"[\s\S]{1,64}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._known: dict[int, list[int]] = {}
+        # a word begins at its space; long words are cut so that merging stays linear in the text
+        cut = r"\x20[^\x20]{0,63}|[^\x20]{1,64}"
+        self._encode = tiktoken.Encoding("words", pat_str=cut, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._begins = np.zeros(max(ranks.values()) + 1, bool)
+        self._begins[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
 
     @classmethod
     def of(cls, vocabulary: bytes) -> Pieces:
@@ -89,41 +90,34 @@ class Pieces:
             _pieces[key] = cls(vocabulary)
         return _pieces[key]
 
-    def ids(self, lowered: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and how many each word has."""
+    def ids(self, lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each word has. Words hold no space."""
         if not len(hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        kinds, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known, lists = self._known, []
-        for h, a, b in zip(kinds.tolist(), starts[first].tolist(), ends[first].tolist()):
-            found = known.get(h)
-            if found is None:
-                found = known[h] = self._encode(" " + lowered[a:b].decode("utf-8", "replace"))
-            lists.append(found)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        # the different words in one line, each behind a space
+        sizes = ends[first] - starts[first] + 1
+        to = np.cumsum(sizes) - sizes
+        line = lowered[np.maximum(np.repeat(starts[first] - 1 - to, sizes) + np.arange(int(sizes.sum())), 0)]
+        line[to] = ord(" ")
+        flat = np.array(self._encode(line.tobytes().decode("utf-8", "replace")), np.int64)
+        begin = np.flatnonzero(self._begins[flat])
+        sizes = np.diff(np.append(begin, len(flat)))
         own = sizes[inverse]
         at = np.repeat(begin[inverse] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
         return flat[at], own
 
 
-@dataclass
-class Texts:
-    """A slice as words and ids; each text's ids are followed by END."""
-
-    hashes: np.ndarray
-    word_bounds: np.ndarray
-    ids: np.ndarray
-    id_bounds: np.ndarray
+def read_words(part: W.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words, and the rows' bounds among them."""
+    starts, ends, bounds = W.word_spans(part)
+    return starts, ends, W.spans_hash(W.byte_prefix(part.data, lower=True), starts, ends), bounds
 
 
-def read(part: W.Slice, pieces: Pieces) -> Texts:
-    starts, ends, bounds = W.word_spans(part)
-    hashes = W.spans_hash(W.byte_prefix(part.data, lower=True), starts, ends)
-    flat, sizes = pieces.ids(W.LOWER[part.data].tobytes(), starts, ends, hashes)
+def read_ids(part: W.Slice, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows, each row's followed by END, and the rows' bounds among them."""
+    starts, ends, hashes, bounds = read_words(part)
+    flat, sizes = pieces.ids(W.LOWER[part.data], starts, ends, hashes)
     total = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=total[1:])
     per_row = total[bounds[1:]] - total[bounds[:-1]]
@@ -133,7 +127,60 @@ def read(part: W.Slice, pieces: Pieces) -> Texts:
     free = np.ones(len(ids), bool)
     free[id_bounds[1:] - 1] = False
     ids[free] = flat
-    return Texts(hashes, bounds, ids, id_bounds)
+    return ids, id_bounds
+
+
+def tokenised(docs: DataFrame, vocabulary: bytes) -> DataFrame:
+    """Every row with a number, held_out, the round that trains on it, and its ids (two bytes each), written once."""
+
+    @F.arrow_udf("binary")
+    def encode(texts: pa.Array) -> pa.Array:
+        pieces, found = Pieces.of(vocabulary), []
+        for part in W.slices(texts):
+            ids, bounds = read_ids(part, pieces)
+            body = pa.py_buffer(ids.astype("<u2").tobytes())
+            found.append(pa.Array.from_buffers(pa.large_binary(), part.rows, [None, pa.py_buffer((bounds * 2).tobytes()), body]))
+        return pa.concat_arrays([x.cast(pa.binary()) for x in found]) if found else pa.array([], pa.binary())
+
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"),
+        "doc_id",
+        (remainder() == HELD_OUT).alias("held_out"),
+        F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)).alias("_round"),
+        "text",
+        encode(F.col("text")).alias("ids"),
+    )
+    path = scratch_path(docs.sparkSession, "tokenised")
+    rows.write.option("compression", "zstd").parquet(path)  # holds whole texts, so the denser codec
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@dataclass
+class Stored:
+    """The ids of a batch of ``tokenised`` rows."""
+
+    ids: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Stored:
+        column = column.cast(pa.large_binary())
+        _, where, body = column.buffers()
+        bounds = np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1] // 2
+        return cls(np.frombuffer(body, np.uint8)[: 2 * int(bounds[-1])].view("<u2"), bounds)
+
+    def rows(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        low, high = self.bounds[first], self.bounds[last]
+        return self.ids[low:high].astype(np.int64), self.bounds[first : last + 1] - low
+
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All rows, in slices of about ``SLICE_IDS``; a longer row is a slice of its own."""
+        first, n = 0, len(self.bounds) - 1
+        while first < n:
+            last = int(np.searchsorted(self.bounds, self.bounds[first] + SLICE_IDS, side="right")) - 1
+            last = min(max(last, first + 1), n)
+            yield self.rows(first, last)
+            first = last
 
 
 # --- counts
@@ -168,11 +215,10 @@ class Tally:
         self._parts, self._size = [], 0
 
 
-def count_events(docs: DataFrame, vocabulary: bytes, hold: int = 1 << 20) -> DataFrame:
-    """(kind, key, n): kind 0 counts words by hash, kind 1 pairs of neighbouring ids, over training rows."""
+def count_events(rows: DataFrame, hold: int = 1 << 20) -> DataFrame:
+    """(kind, key, n): kind 0 counts words by hash, kind 1 pairs of neighbouring ids, over ``tokenised`` training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.of(vocabulary)
         sums = [Tally(hold), Tally(hold)]
 
         def flush(kind: int) -> pa.RecordBatch:
@@ -182,17 +228,17 @@ def count_events(docs: DataFrame, vocabulary: bytes, hold: int = 1 << 20) -> Dat
             return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
 
         for batch in batches:
+            stored = Stored.of(batch.column(1))
             for part in W.slices(batch.column(0)):
-                texts = read(part, pieces)
-                before = np.concatenate([[END], texts.ids[:-1]])
-                pairs = before << 17 | texts.ids
-                for kind, keys in enumerate((texts.hashes.view(np.int64), pairs)):
+                ids, _ = stored.rows(part.first, part.last)
+                pairs = np.concatenate([[END], ids[:-1]]) << 17 | ids
+                for kind, keys in enumerate((read_words(part)[2].view(np.int64), pairs)):
                     sums[kind].add(keys)
                     if sums[kind].full():
                         yield flush(kind)
         yield from (flush(kind) for kind in (0, 1))
 
-    parts = docs.select("text").mapInArrow(run, "kind tinyint, key bigint, n bigint")
+    parts = rows.select("text", "ids").mapInArrow(run, "kind tinyint, key bigint, n bigint")
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -209,6 +255,10 @@ class Model:
     embed: np.ndarray
     weights: dict[str, np.ndarray]
 
+    @cached_property
+    def log_class(self) -> np.ndarray:
+        return np.log(self.by_class)
+
     def tables(self) -> dict[str, np.ndarray]:
         """Scores and values of a pair of positions depend on their symbols and distance only."""
         e, w = self.embed, self.weights
@@ -216,7 +266,8 @@ class Model:
         return {
             "reach": np.exp(np.clip(e @ w["product"] @ e.T, -20, 20)).astype(np.float32),
             "near": distance_mask(np.exp(np.clip(w["distance"], -20, 20))).astype(np.float32),
-            "value": (e @ w["value"]).astype(np.float32),
+            # a column of ones gives the sums of weights along with those of values
+            "value": np.append(e @ w["value"], np.ones((len(e), 1)), axis=1).astype(np.float32),
             "skip": skip.astype(np.float32),
             "open": (self.by_class * np.exp(skip)).astype(np.float32),
         }
@@ -312,53 +363,72 @@ def score_ids(model: Model, tables: dict[str, np.ndarray], ids: np.ndarray, boun
         weight = reach.take((query * np.int32(SYMBOLS))[:, :, None] + x[:, None, :])
         weight *= tables["near"]
         weight[opens[a : a + chunk], :, :BACK] = 0.0
-        g = weight @ tables["value"][x]
-        g /= weight.sum(2, keepdims=True)
-        real = y >= 0
-        g, q, t = g[real], query[real], y[real]
+        g = (weight @ tables["value"].take(x, axis=0)).reshape(-1, CLASSES + 1)
+        real = np.flatnonzero(y >= 0)
+        g, q, t = g.take(real, axis=0), query.ravel()[real], y.ravel()[real]
+        g = g[:, :CLASSES] / g[:, CLASSES:]
         s = model.symbol[t]
         c = model.of_class[s]
-        norm = np.einsum("ic,ic->i", tables["open"][q], np.exp(g))
+        norm = np.einsum("ic,ic->i", tables["open"].take(q, axis=0), np.exp(g))
         log_p = model.log_pair[q, s] + model.within[t] + g[np.arange(len(c)), c] + tables["skip"][q, c] - np.log(norm)
-        out += np.bincount(np.repeat(rows[a : a + chunk], STEP).reshape(-1, STEP)[real], log_p, minlength=len(out))
+        out += np.bincount(rows[a : a + chunk][real // STEP], log_p, minlength=len(out))
     return out
 
 
-def gradient(model: Model, weights: dict[str, np.ndarray], x: np.ndarray, opens: np.ndarray, place: np.ndarray, target: np.ndarray):
-    """Mean loss and gradients for one trained position (0 to STEP - 1) of each window."""
-    n = np.arange(len(x))
-    q = x[n, place + BACK]
-    keys, eq = model.embed[x], model.embed[q]
-    gap = place[:, None] + BACK - np.arange(SPAN)[None, :]
-    seen = (gap >= 0) & ~(opens[:, None] & (np.arange(SPAN) < BACK))
-    far = np.clip(gap, 0, SPAN - 1)
-    s = (keys @ (eq @ weights["product"])[:, :, None])[:, :, 0] + weights["distance"][far]
-    s = np.where(seen, s, -np.inf)
-    w = np.exp(s - s.max(1, keepdims=True))
-    w /= w.sum(1, keepdims=True)
-    mean = (w[:, None, :] @ keys)[:, 0]
-    g = mean @ weights["value"]
-    logits = np.log(model.by_class[q]) + g + eq @ weights["skip"]
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    c = model.of_class[target]
-    loss = -np.log(p[n, c]).mean()
-    d = p
-    d[n, c] -= 1
-    d /= len(n)
-    pull = d @ weights["value"].T
-    ds = w * ((keys @ pull[:, :, None])[:, :, 0] - (pull * mean).sum(1, keepdims=True))
+def window_gradient(model: Model, weights: dict[str, np.ndarray], x: np.ndarray, opens: np.ndarray, goals: np.ndarray):
+    """Mean loss and gradients over all positions of the windows that have a goal, a symbol (-1: none)."""
+    kind = weights["product"].dtype
+    embed = model.embed.astype(kind)
+    n, real, q = len(x), goals.ravel() >= 0, x[:, BACK:]
+    # a column of ones gives the sums of weights along with the sums of keys
+    keys = np.append(embed, np.ones((SYMBOLS, 1), kind), axis=1).take(x, axis=0)
+    far = np.arange(STEP)[:, None] + BACK - np.arange(SPAN)[None, :]
+    near = np.where(far >= 0, weights["distance"][np.clip(far, 0, SPAN - 1)], -np.inf).astype(kind)
+    w = (embed @ weights["product"]).take(q, axis=0) @ keys[:, :, :WIDTH].transpose(0, 2, 1)
+    w += near
+    w[opens, :, :BACK] = -np.inf
+    w -= w.max(2, keepdims=True)
+    np.exp(w, out=w)
+    sums = (w @ keys).reshape(-1, WIDTH + 1)
+    part = 1 / sums[:, WIDTH:]
+    mean = sums[:, :WIDTH] * part
+    eq = embed.take(q.ravel(), axis=0)
+    p = (model.log_class + embed @ weights["skip"]).astype(kind).take(q.ravel(), axis=0)
+    p += mean @ weights["value"]
+    np.clip(p, -60, 60, out=p)
+    np.exp(p, out=p)
+    p /= p @ np.ones((CLASSES, 1), kind)
+    at = np.flatnonzero(real)
+    c = at * CLASSES + model.of_class[goals.ravel()[at]]
+    d = p.ravel()
+    loss = -np.log(np.maximum(d[c], 1e-30)).mean(dtype=np.float64)
+    d[c] -= 1
+    if len(at) < len(real):
+        p[~real] = 0
+    p /= len(at)
+    pull = np.empty((len(real), WIDTH + 1), kind)
+    np.matmul(p, weights["value"].T, out=pull[:, :WIDTH])
+    pull[:, WIDTH] = -np.einsum("ij,ij->i", pull[:, :WIDTH], mean)
+    pull *= part
+    w *= pull.reshape(n, STEP, WIDTH + 1) @ keys.transpose(0, 2, 1)
     return loss, {
-        "value": mean.T @ d,
-        "skip": eq.T @ d,
-        "product": eq.T @ (ds[:, None, :] @ keys)[:, 0],
-        "distance": np.bincount(far.ravel(), ds.ravel(), minlength=SPAN),
+        "value": mean.T @ p,
+        "skip": eq.T @ p,
+        "product": eq.T @ (w @ keys[:, :, :WIDTH]).reshape(-1, WIDTH),
+        "distance": np.bincount(np.clip(far, 0, SPAN - 1).ravel(), w.sum(0).ravel(), minlength=SPAN),
     }
 
 
+def gradient(model: Model, weights: dict[str, np.ndarray], x: np.ndarray, opens: np.ndarray, place: np.ndarray, target: np.ndarray):
+    """The same for one position (0 to STEP - 1) of each window."""
+    goals = np.full((len(x), STEP), -1)
+    goals[np.arange(len(x)), place] = target
+    return window_gradient(model, weights, x, opens, goals)
+
+
 class Adam:
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
-        self.weights = {k: v.copy() for k, v in weights.items()}
+        self.weights = {k: v.astype(np.float32) for k, v in weights.items()}
         self._m = {k: np.zeros_like(v) for k, v in weights.items()}
         self._v = {k: np.zeros_like(v) for k, v in weights.items()}
         self._t = 0
@@ -372,45 +442,42 @@ class Adam:
             self.weights[k] -= RATE * up / (np.sqrt(self._v[k] / (1 - 0.99**self._t)) + 1e-8)
 
 
-def train_slice(model: Model, adam: Adam, texts: Texts, rng: np.random.Generator) -> tuple[float, int]:
-    """All windows of a slice, ``TARGETS`` positions each. Returns summed loss and the number of windows."""
-    inputs, targets, _, opens = windows(texts.ids, texts.id_bounds, model.symbol)
-    room = (targets >= 0).sum(1)
+def train_slice(model: Model, adam: Adam, ids: np.ndarray, bounds: np.ndarray, rng: np.random.Generator) -> tuple[float, int]:
+    """Every position of every window of some rows. Returns summed loss and the number of positions."""
+    inputs, targets, _, opens = windows(ids, bounds, model.symbol)
+    goals = np.where(targets >= 0, model.symbol[targets], -1)
     order, lost = rng.permutation(len(inputs)), 0.0
     for a in range(0, len(order), BATCH):
         own = order[a : a + BATCH]
-        for _ in range(TARGETS):
-            place = (rng.random(len(own)) * room[own]).astype(np.int64)
-            goal = model.symbol[targets[own, place]]
-            loss, grads = gradient(model, adam.weights, inputs[own], opens[own], place, goal)
-            adam.step(grads)
-            lost += loss * len(own)
-    return lost / TARGETS, len(order)
+        loss, grads = window_gradient(model, adam.weights, inputs[own], opens[own], goals[own])
+        adam.step(grads)
+        lost += loss * int((goals[own] >= 0).sum())
+    return lost, len(ids)
 
 
 _NAMES = ["product", "value", "skip", "distance"]
 
 
-def train_round(docs: DataFrame, model: Model, vocabulary: bytes, seed: int) -> tuple[dict[str, np.ndarray], float]:
-    """One pass over ``docs``; parameters averaged by windows seen, first within groups of tasks."""
+def train_round(rows: DataFrame, model: Model, seed: int) -> tuple[dict[str, np.ndarray], float]:
+    """One pass over ``tokenised`` rows; parameters averaged by positions seen, first within groups of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, adam, rng = Pieces.of(vocabulary), Adam(model.weights), np.random.default_rng(seed)
+        adam, rng = Adam(model.weights), np.random.default_rng(seed)
         loss, seen = 0.0, 0
         for batch in batches:
-            for part in W.slices(batch.column(0)):
-                lost, n = train_slice(model, adam, read(part, pieces), rng)
+            for ids, bounds in Stored.of(batch.column(0)).slices():
+                lost, n = train_slice(model, adam, ids, bounds, rng)
                 loss, seen = loss + lost, seen + n
         if seen:
             flat = np.concatenate([adam.weights[k].ravel() for k in _NAMES] + [np.array([loss / seen])])
             columns = [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))]
             yield pa.RecordBatch.from_arrays(columns, names=["place", "x", "n"])
 
-    parts = docs.select("text").mapInArrow(run, "place int, x double, n double")
-    rows = parts.groupBy("place").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("place").collect()
-    if not rows:
+    parts = rows.select("ids").mapInArrow(run, "place int, x double, n double")
+    means = parts.groupBy("place").agg((F.sum("x") / F.sum("n")).alias("x")).orderBy("place").collect()
+    if not means:
         return model.weights, 0.0
-    flat, out, at = np.array([r["x"] for r in rows]), {}, 0
+    flat, out, at = np.array([r["x"] for r in means]), {}, 0
     for k in _NAMES:
         size = model.weights[k].size
         out[k] = flat[at : at + size].reshape(model.weights[k].shape)
@@ -435,8 +502,8 @@ class Counts:
     id_counts: np.ndarray
 
 
-def gather(train: DataFrame, vocabulary: bytes) -> Counts:
-    events = settle(count_events(train, vocabulary), "counts")
+def gather(train: DataFrame) -> Counts:
+    events = settle(count_events(train), "counts")
     words = events.filter("kind = 0").select("key", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     pairs = events.filter("kind = 1").select(F.shiftright("key", 17).alias("a"), F.col("key").bitwiseAND(F.lit((1 << 17) - 1)).alias("b"), "n")
@@ -454,11 +521,11 @@ def gather(train: DataFrame, vocabulary: bytes) -> Counts:
     return Counts(words, sums["n"] + ends, sums["v"] + (ends > 0), ends, table, id_counts)
 
 
-def fit(docs: DataFrame, counts: Counts, vocabulary: bytes) -> Model:
-    """``docs`` are the training rows with ``_round``, the round that reads them."""
+def fit(train: DataFrame, counts: Counts) -> Model:
+    """``train`` are the ``tokenised`` training rows; every round reads its own."""
     model = build(counts.pairs, counts.id_counts)
     for r in range(ROUNDS):
-        model.weights, _ = train_round(docs.filter(F.col("_round") == r), model, vocabulary, r)
+        model.weights, _ = train_round(train.filter(F.col("_round") == r), model, r)
     return model
 
 
@@ -468,17 +535,18 @@ _SCORED = (
 )
 
 
-def _scored(docs: DataFrame, model: Model, vocabulary: bytes, keys: np.ndarray, logs: np.ndarray, end_log: float) -> DataFrame:
+def _scored(rows: DataFrame, model: Model, keys: np.ndarray, logs: np.ndarray, end_log: float) -> DataFrame:
     """Per row what can be told without a join: score, and the base of frequent words; rare words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, tables = Pieces.of(vocabulary), model.tables()
+        tables = model.tables()
         for batch in batches:
+            stored = Stored.of(batch.column(4))
             for part in W.slices(batch.column(3)):
-                texts = read(part, pieces)
-                score = score_ids(model, tables, texts.ids, texts.id_bounds) / math.log(10)
-                rows = W.row_of(texts.word_bounds)
-                h = texts.hashes.view(np.int64)
+                score = score_ids(model, tables, *stored.rows(part.first, part.last)) / math.log(10)
+                _, _, hashes, bounds = read_words(part)
+                rows = W.row_of(bounds)
+                h = hashes.view(np.int64)
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 common = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 n = part.rows
@@ -494,7 +562,7 @@ def _scored(docs: DataFrame, model: Model, vocabulary: bytes, keys: np.ndarray,
                 own = [batch.column(i).slice(part.first, n) for i in range(3)]
                 columns = [
                     *own,
-                    pa.array(np.diff(texts.word_bounds) + 1),
+                    pa.array(np.diff(bounds) + 1),
                     pa.array(known.astype(np.int64) + (end_log > 0)),
                     pa.array(base.astype(np.float64)),
                     pa.array(score),
@@ -504,23 +572,23 @@ def _scored(docs: DataFrame, model: Model, vocabulary: bytes, keys: np.ndarray,
                 names = ["_row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", (remainder() == HELD_OUT).alias("held_out"), "text")
-    return rows.mapInArrow(run, _SCORED.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    read = rows.select("_row", "doc_id", "held_out", "text", "ids")
+    return read.mapInArrow(run, _SCORED.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def lm_report(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     with open(path, "rb") as file:
         vocabulary = file.read()
-    train = docs.select("doc_id", "text").filter(remainder() != HELD_OUT)
-    counts = gather(train, vocabulary)
-    dealt = train.withColumn("_round", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)))
-    model = fit(dealt, counts, vocabulary)
+    read = tokenised(docs, vocabulary)
+    train = read.filter(~F.col("held_out"))
+    counts = gather(train)
+    model = fit(train, counts)
     frequent = F.col("n") * FREQUENT > counts.tokens
     top = counts.words.filter(frequent).toPandas().sort_values("key")  # fewer than FREQUENT
     logs = np.log10(top["n"].to_numpy(float) + 1)
     end_log = math.log10(counts.ends + 1)
-    rows = settle(_scored(docs, model, vocabulary, top["key"].to_numpy(np.int64), logs, end_log), "scored")
+    rows = settle(_scored(read, model, top["key"].to_numpy(np.int64), logs, end_log), "scored")
     rare = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("_row", F.col("w.rare").alias("key"), "w.times")
     found = rare.join(counts.words.filter(~frequent), "key").groupBy("_row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known")

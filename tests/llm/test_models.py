@@ -69,6 +69,36 @@ def test_gradients(small_model):
         assert (moved[0] - moved[1]) / 2e-5 == pytest.approx(g[at], rel=1e-3, abs=1e-8)
 
 
+def test_gradient_of_whole_windows(small_model):
+    rng = np.random.default_rng(9)
+    x, opens = rng.integers(0, lm.SYMBOLS, (4, lm.SPAN)), np.array([True, False] * 2)
+    goals = rng.integers(0, lm.SYMBOLS, (4, lm.STEP))
+    goals[1, 5:] = -1
+    loss, grads = lm.window_gradient(small_model, small_model.weights, x, opens, goals)
+    row, place = np.nonzero(goals >= 0)
+    alone = [lm.gradient(small_model, small_model.weights, x[[i]], opens[[i]], np.array([j]), goals[i, j]) for i, j in zip(row, place)]
+    assert loss == pytest.approx(np.mean([x for x, _ in alone]), rel=1e-9)
+    for k, g in grads.items():
+        assert g == pytest.approx(np.mean([y[k] for _, y in alone], axis=0), rel=1e-6, abs=1e-12)
+
+
+def test_training_looks_at_every_position_once(small_model, monkeypatch):
+    rng, plain, seen = np.random.default_rng(3), lm.window_gradient, []
+
+    def spy(model, weights, x, opens, goals):
+        at = np.nonzero(goals >= 0)
+        seen.extend(zip(x[:, lm.BACK :][at].tolist(), goals[at].tolist()))
+        return plain(model, weights, x, opens, goals)
+
+    monkeypatch.setattr(lm, "window_gradient", spy)
+    ids, bounds = rng.integers(0, 5000, 9000), np.array([0, 1, 1, 40, 8000, 9000])
+    ids[bounds[1:] - 1] = lm.END
+    _, n = lm.train_slice(small_model, lm.Adam(small_model.weights), ids, bounds, rng)
+    symbols = small_model.symbol[ids].tolist()
+    before = [small_model.symbol[lm.END]] + symbols[:-1]
+    assert n == 9000 and sorted(seen) == sorted(zip(before, symbols))
+
+
 def test_base_score(docs, rows):
     got = sorted((tuple(r) for r in lm.lm_report(docs).collect()), key=repr)
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
