@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.session import scratch_path
+from alertmill.session import scratch_path, settle
 
 #: A side is broadcast only if it has been counted to hold no more rows than this.
 BROADCAST_ROWS = 200_000
+#: The same for a side of one column of row numbers.
+BROADCAST_IDS = 2_000_000
 
 
 def join_small(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -21,6 +23,22 @@ def join_small(left: DataFrame, right: DataFrame, on: Column, how: str = "inner"
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
+def rows_of(own: DataFrame, ids: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """The rows of ``own``, whose ``_row`` is never null, that ``ids``, distinct row numbers, name.
+
+    Texts are shuffled only if there are more than ``BROADCAST_IDS`` of them. With ``every``,
+    all row numbers of ``own``, those that are not named may be broadcast instead.
+    """
+    column = ids.columns[0]
+    names = ids.select(F.col(column).alias("_named"))
+    on = F.col("_row") == F.col("_named")
+    if every is not None:
+        others = settle(every.join(names, on, "left_anti").select(F.col("_row").alias("_named")), "others")
+        if others.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+            return own.join(F.broadcast(others), on, "left_anti")
+    return join_small(own, names, on, "left_semi", BROADCAST_IDS)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """Each row as one struct ``_doc``, so that no column of the caller can clash with one of an operator."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"))

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from alertmill.llm import words as W
-from alertmill.llm.common import BROADCAST_ROWS, numbered, packed
+from alertmill.llm.common import BROADCAST_ROWS, numbered, packed, rows_of
 from alertmill.llm.components import extended, no_labels
 from alertmill.session import settle
 
@@ -316,7 +316,7 @@ def linked(entries: DataFrame, own: DataFrame, classes: DataFrame, rule: Rule) -
     if left.isEmpty():
         return labels
     # what is left once more, in one order by the frequencies of all of its tokens
-    own = settle(own.join(left.withColumnRenamed("cid", "_row"), "_row", "left_semi"), "texts")
+    own = settle(rows_of(own, left), "texts")
     whole = F.array(F.col("n"), *[F.lit(0).cast("bigint")] * 3)
     classes = classes.join(left, "cid", "left_semi").withColumn("brings", whole)
     entries = settle(postings(own, classes, rule, whole=True), "postings")
@@ -354,6 +354,5 @@ def without_copies(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     own = numbered(packed(docs))
     rows = joined(own.select("_row", "_doc.doc_id", "_doc.text"), rule)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
-    kept = first.select(F.col("first._row").alias("_kept"))
-    small = settle(kept, "kept")
-    return own.join(small, F.col("_row") == F.col("_kept"), "left_semi").select("_doc.*")
+    kept = settle(first.select("first._row"), "kept")
+    return rows_of(own, kept, own.select("_row")).select("_doc.*")

@@ -38,9 +38,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from alertmill.llm import words as W
-from alertmill.llm.common import drop_settled, packed
+from alertmill.llm.common import drop_settled, packed, rows_of
 from alertmill.llm.components import extended, no_labels
 from alertmill.llm.ngram_join import Rule, by_pivots, postings, sets, verified
 from alertmill.session import scratch_path, settle
@@ -116,18 +117,20 @@ def sketch(text: Column, k: int) -> Column:
 
 def buckets(classes: DataFrame) -> DataFrame:
     """(key, cid, n, met): the classes of every bucket with several, ``met`` the members of all buckets of a class."""
-    rows = classes.select("cid", "n", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    several = settle(rows.join(sizes, "key"), "buckets")
+    # one shuffle: a bucket is counted where its rows meet, and most hold one class and end there
+    rows = classes.select("cid", F.explode("keys").alias("key"))
+    several = rows.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1")
+    several = settle(several, "buckets")
     met = several.groupBy("cid").agg(F.sum("c").alias("met"))
-    return settle(several.join(met, "cid").select("key", "cid", "n", "met"), "buckets")
+    sizes = met.join(classes.select("cid", "n"), "cid")
+    return settle(several.join(sizes, "cid").select("key", "cid", "n", "met"), "buckets")
 
 
 def linked(own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of all classes that have a link; ``own`` has (_row, text) of the classes."""
     labels = no_labels(own)
     entries = buckets(classes)
-    texts = settle(own.join(entries.select(F.col("cid").alias("_row")).distinct(), "_row", "left_semi"), "texts")
+    texts = settle(rows_of(own, entries.select("cid").distinct()), "texts")
     productive = True
     while True:
         rooted = entries.join(labels, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
@@ -149,7 +152,7 @@ def linked(own: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     left = settle(rows.select("cid").distinct(), "left")
     if left.isEmpty():
         return labels
-    texts = settle(texts.join(left.withColumnRenamed("cid", "_row"), "_row", "left_semi"), "texts")
+    texts = settle(rows_of(texts, left), "texts")
     whole = F.array(F.col("n"), *[F.lit(0).cast("bigint")] * 3)
     lists = postings(texts, classes.join(left, "cid", "left_semi").withColumn("brings", whole), rule, whole=True)
     return by_pivots(settle(lists, "postings"), texts, labels, rule, last=True)[0]
@@ -185,4 +188,4 @@ def without_copies(docs: DataFrame, rule: Rule = STAGE) -> DataFrame:
     """One document of each group, that with the least doc_id (null last), with all its columns."""
     own, rows = grouped(docs, rule)
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    return own.join(first.select("first._row"), "_row", "left_semi").select("_doc.*")
+    return rows_of(own, first.select("first._row"), rows.select("_row")).select("_doc.*")
