@@ -7,8 +7,9 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from alertmill.llm import components, mixing, ngram_join, sharding, suffix_dedup
+from alertmill.llm import common, components, mixing, ngram_join, sharding, sketch_dedup, suffix_dedup
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA, sentence
 
@@ -213,3 +214,37 @@ def test_labels_extended_link_by_link_equal_one_search(spark):
         labels = components.extended(labels, spark.createDataFrame(edges[low : low + 16], "u bigint, v bigint"))
     whole = components.components(spark.createDataFrame(edges, "u bigint, v bigint"))
     assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_rows_of_shuffles_no_text_while_few_are_named(spark, monkeypatch):
+    own = spark.range(100).select((F.col("id") * 3).alias("_row"), F.col("id").cast("string").alias("text"))
+    few = spark.createDataFrame([(3,), (9,), (298,)], "cid bigint")
+    many = own.filter("_row % 2 = 0").select("_row")
+    got = lambda df: sorted(r["_row"] for r in df.collect())
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(common, "BROADCAST_IDS", 60)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide, rest = common.rows_of(own, few), common.rows_of(own, many, own.select("_row"))
+        assert "BroadcastHashJoin" in plan(wide) and "BroadcastHashJoin" in plan(rest)
+        assert got(wide) == [3, 9] and got(rest) == list(range(0, 300, 6))
+        monkeypatch.setattr(common, "BROADCAST_IDS", 1)
+        wide, rest = common.rows_of(own, few), common.rows_of(own, many, own.select("_row"))
+        assert "SortMergeJoin" in plan(wide) and "SortMergeJoin" in plan(rest)
+        assert got(wide) == [3, 9] and got(rest) == list(range(0, 300, 6))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_buckets_go_through_one_shuffle_of_all_keys(spark, monkeypatch):
+    plans, plain = [], sketch_dedup.settle
+
+    def spy(df, label="settled"):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(sketch_dedup, "settle", spy)
+    classes = spark.createDataFrame([(1, 5, [7, 8]), (2, 6, [7, 9]), (3, 5, [10, 9]), (4, 4, [11, 12])], "cid bigint, n bigint, keys array<bigint>")
+    rows = sorted(tuple(r) for r in sketch_dedup.buckets(classes).select("key", "cid", "n", "met").collect())
+    assert rows == [(7, 1, 5, 2), (7, 2, 6, 4), (9, 2, 6, 4), (9, 3, 5, 2)]
+    assert plans[0].count("explode(") == 1
