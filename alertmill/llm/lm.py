@@ -22,6 +22,9 @@ Scoring tiles each document with windows of ``STEP`` positions which also see
 the ``BACK`` positions before them, so windows overlap and every position is
 scored once; attention of a batch of windows is computed under one mask.
 
+Texts are read once, to write their ids. A word is told apart by its run of ids,
+so words are counted and looked up from the ids.
+
 Word counts for the base score are gathered by grouped sums. Words that make up
 more than one token in ``FREQUENT`` are at most that many and are broadcast; the
 rest are joined.
@@ -68,20 +71,34 @@ BATCH = 256
 RATE = 0.02
 SMOOTH = 20.0
 FREQUENT = 1 << 17
+#: Words of which a task keeps the ids.
+HELD_WORDS = 1 << 19
 
 _pieces: dict[int, Pieces] = {}
+_ID_CODE = np.random.default_rng(20_250_117).integers(1, 1 << 63, IDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def ranks_of(vocabulary: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+
+
+def begins_of(ranks: dict[bytes, int]) -> np.ndarray:
+    """Whether an id begins a word, for all ids; END does not."""
+    begins = np.zeros(IDS, bool)
+    begins[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
+    return begins
 
 
 class Pieces:
     """Ids of words."""
 
     def __init__(self, vocabulary: bytes) -> None:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        self._ranks = ranks_of(vocabulary)
         # a word begins at its space; long words are cut so that merging stays linear in the text
         cut = r"\x20[^\x20]{0,63}|[^\x20]{1,64}"
-        self._encode = tiktoken.Encoding("words", pat_str=cut, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._begins = np.zeros(max(ranks.values()) + 1, bool)
-        self._begins[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
+        self._encode = tiktoken.Encoding("words", pat_str=cut, mergeable_ranks=self._ranks, special_tokens={}).encode_ordinary
+        self._begins = begins_of(self._ranks)
+        self._forget()
 
     @classmethod
     def of(cls, vocabulary: bytes) -> Pieces:
@@ -90,22 +107,60 @@ class Pieces:
             _pieces[key] = cls(vocabulary)
         return _pieces[key]
 
-    def ids(self, lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, and how many each word has. Words hold no space."""
-        if not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        # the different words in one line, each behind a space
-        sizes = ends[first] - starts[first] + 1
+    def _forget(self) -> None:
+        # hashes of words in order, and where their ids begin in one array, and how many they are
+        self._held, self._flat = np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+        self._begin, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _fresh(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self._held):
+            return np.ones(len(hashes), bool)
+        return self._held[np.minimum(np.searchsorted(self._held, hashes), len(self._held) - 1)] != hashes
+
+    def _line_ids(self, line: bytes) -> list[int]:
+        """Ids of words that each stand behind a space. A word that is no UTF-8 is its bytes, so that it stays apart."""
+        try:
+            return self._encode(line.decode())
+        except UnicodeDecodeError:
+            found = []
+            for word in (b" " + x for x in line.split(b" ")[1:]):
+                try:
+                    found += self._encode(word.decode())
+                except UnicodeDecodeError:
+                    found += [self._ranks[word[i : i + 1]] for i in range(len(word))]
+            return found
+
+    def _learn(self, lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Keep the ids of new words, whose hashes ascend."""
+        # the words in one line, each behind a space
+        sizes = ends - starts + 1
         to = np.cumsum(sizes) - sizes
-        line = lowered[np.maximum(np.repeat(starts[first] - 1 - to, sizes) + np.arange(int(sizes.sum())), 0)]
+        line = lowered[np.maximum(np.repeat(starts - 1 - to, sizes) + np.arange(int(sizes.sum())), 0)]
         line[to] = ord(" ")
-        flat = np.array(self._encode(line.tobytes().decode("utf-8", "replace")), np.int64)
+        flat = np.array(self._line_ids(line.tobytes()), np.uint16)
         begin = np.flatnonzero(self._begins[flat])
-        sizes = np.diff(np.append(begin, len(flat)))
-        own = sizes[inverse]
-        at = np.repeat(begin[inverse] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-        return flat[at], own
+        at = np.searchsorted(self._held, hashes)
+        self._held = np.insert(self._held, at, hashes)
+        self._begin = np.insert(self._begin, at, begin + len(self._flat))
+        self._size = np.insert(self._size, at, np.diff(np.append(begin, len(flat))))
+        self._flat = np.concatenate([self._flat, flat])
+
+    def ids(self, lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each word has. Words hold no space."""
+        if not len(hashes):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        words, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        fresh = self._fresh(words)
+        if len(self._held) + int(fresh.sum()) > HELD_WORDS:
+            self._forget()
+            fresh[:] = True
+        if fresh.any():
+            new = first[fresh]
+            self._learn(lowered, starts[new], ends[new], words[fresh])
+        place = np.searchsorted(self._held, words)
+        own = self._size[place][inverse]
+        at = np.repeat(self._begin[place][inverse] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        return self._flat[at], own
 
 
 def read_words(part: W.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,13 +178,22 @@ def read_ids(part: W.Slice, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     per_row = total[bounds[1:]] - total[bounds[:-1]]
     id_bounds = np.zeros(part.rows + 1, np.int64)
     np.cumsum(per_row + 1, out=id_bounds[1:])
-    ids = np.full(int(id_bounds[-1]), END, np.int64)
+    ids = np.full(int(id_bounds[-1]), END, np.uint16)
     free = np.ones(len(ids), bool)
     free[id_bounds[1:] - 1] = False
     ids[free] = flat
     return ids, id_bounds
 
 
+def word_hashes(ids: np.ndarray, bounds: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, of their ids, and the rows' bounds among them."""
+    marks = np.flatnonzero(begins[ids] | (ids == END))  # a word ends where the next one begins, or its row ends
+    word = ids[marks] != END
+    starts = marks[word]
+    hashes = W.spans_hash(W.prefix_sums(_ID_CODE[ids]), starts, marks[1:][word[:-1]])
+    return hashes.view(np.int64), np.searchsorted(starts, bounds)
+
+
 def tokenised(docs: DataFrame, vocabulary: bytes) -> DataFrame:
     """Every row with a number, held_out, the round that trains on it, and its ids (two bytes each), written once."""
 
@@ -147,11 +211,10 @@ def tokenised(docs: DataFrame, vocabulary: bytes) -> DataFrame:
         "doc_id",
         (remainder() == HELD_OUT).alias("held_out"),
         F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)).alias("_round"),
-        "text",
         encode(F.col("text")).alias("ids"),
     )
     path = scratch_path(docs.sparkSession, "tokenised")
-    rows.write.option("compression", "zstd").parquet(path)  # holds whole texts, so the denser codec
+    rows.write.option("compression", "zstd").parquet(path)  # the ids give the whole texts, so the denser codec
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -173,13 +236,13 @@ class Stored:
         low, high = self.bounds[first], self.bounds[last]
         return self.ids[low:high].astype(np.int64), self.bounds[first : last + 1] - low
 
-    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All rows, in slices of about ``SLICE_IDS``; a longer row is a slice of its own."""
+    def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """All rows, in slices of about ``SLICE_IDS``, each with its first row; a longer row is a slice of its own."""
         first, n = 0, len(self.bounds) - 1
         while first < n:
             last = int(np.searchsorted(self.bounds, self.bounds[first] + SLICE_IDS, side="right")) - 1
             last = min(max(last, first + 1), n)
-            yield self.rows(first, last)
+            yield first, *self.rows(first, last)
             first = last
 
 
@@ -215,7 +278,7 @@ class Tally:
         self._parts, self._size = [], 0
 
 
-def count_events(rows: DataFrame, hold: int = 1 << 20) -> DataFrame:
+def count_events(rows: DataFrame, begins: np.ndarray, hold: int = 1 << 20) -> DataFrame:
     """(kind, key, n): kind 0 counts words by hash, kind 1 pairs of neighbouring ids, over ``tokenised`` training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,17 +291,15 @@ def count_events(rows: DataFrame, hold: int = 1 << 20) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "n"])
 
         for batch in batches:
-            stored = Stored.of(batch.column(1))
-            for part in W.slices(batch.column(0)):
-                ids, _ = stored.rows(part.first, part.last)
+            for _, ids, bounds in Stored.of(batch.column(0)).slices():
                 pairs = np.concatenate([[END], ids[:-1]]) << 17 | ids
-                for kind, keys in enumerate((read_words(part)[2].view(np.int64), pairs)):
+                for kind, keys in enumerate((word_hashes(ids, bounds, begins)[0], pairs)):
                     sums[kind].add(keys)
                     if sums[kind].full():
                         yield flush(kind)
         yield from (flush(kind) for kind in (0, 1))
 
-    parts = rows.select("text", "ids").mapInArrow(run, "kind tinyint, key bigint, n bigint")
+    parts = rows.select("ids").mapInArrow(run, "kind tinyint, key bigint, n bigint")
     return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -260,15 +321,16 @@ class Model:
         return np.log(self.by_class)
 
     def tables(self) -> dict[str, np.ndarray]:
-        """Scores and values of a pair of positions depend on their symbols and distance only."""
+        """Scores of a pair of positions depend on their symbols and distance only."""
         e, w = self.embed, self.weights
         skip = e @ w["skip"]
         return {
             "reach": np.exp(np.clip(e @ w["product"] @ e.T, -20, 20)).astype(np.float32),
             "near": distance_mask(np.exp(np.clip(w["distance"], -20, 20))).astype(np.float32),
-            # a column of ones gives the sums of weights along with those of values
-            "value": np.append(e @ w["value"], np.ones((len(e), 1)), axis=1).astype(np.float32),
-            "skip": skip.astype(np.float32),
+            # a column of ones gives the sums of weights along with the sums of keys
+            "key": np.append(e, np.ones((len(e), 1)), axis=1).astype(np.float32),
+            "value": w["value"].astype(np.float32),
+            "pair": self.log_pair + skip[:, self.of_class],
             "open": (self.by_class * np.exp(skip)).astype(np.float32),
         }
 
@@ -363,14 +425,14 @@ def score_ids(model: Model, tables: dict[str, np.ndarray], ids: np.ndarray, boun
         weight = reach.take((query * np.int32(SYMBOLS))[:, :, None] + x[:, None, :])
         weight *= tables["near"]
         weight[opens[a : a + chunk], :, :BACK] = 0.0
-        g = (weight @ tables["value"].take(x, axis=0)).reshape(-1, CLASSES + 1)
+        sums = (weight @ tables["key"].take(x, axis=0)).reshape(-1, WIDTH + 1)
         real = np.flatnonzero(y >= 0)
-        g, q, t = g.take(real, axis=0), query.ravel()[real], y.ravel()[real]
-        g = g[:, :CLASSES] / g[:, CLASSES:]
+        sums, q, t = sums.take(real, axis=0), query.ravel()[real], y.ravel()[real]
+        g = (sums[:, :WIDTH] / sums[:, WIDTH:]) @ tables["value"]
         s = model.symbol[t]
-        c = model.of_class[s]
-        norm = np.einsum("ic,ic->i", tables["open"].take(q, axis=0), np.exp(g))
-        log_p = model.log_pair[q, s] + model.within[t] + g[np.arange(len(c)), c] + tables["skip"][q, c] - np.log(norm)
+        of_goal = g.ravel().take(np.arange(len(s)) * CLASSES + model.of_class[s])
+        norm = np.einsum("ic,ic->i", tables["open"].take(q, axis=0), np.exp(g, out=g))
+        log_p = tables["pair"].ravel().take(q * np.int64(SYMBOLS) + s) + model.within[t] + of_goal - np.log(norm)
         out += np.bincount(rows[a : a + chunk][real // STEP], log_p, minlength=len(out))
     return out
 
@@ -465,7 +527,7 @@ def train_round(rows: DataFrame, model: Model, seed: int) -> tuple[dict[str, np.
         adam, rng = Adam(model.weights), np.random.default_rng(seed)
         loss, seen = 0.0, 0
         for batch in batches:
-            for ids, bounds in Stored.of(batch.column(0)).slices():
+            for _, ids, bounds in Stored.of(batch.column(0)).slices():
                 lost, n = train_slice(model, adam, ids, bounds, rng)
                 loss, seen = loss + lost, seen + n
         if seen:
@@ -502,8 +564,8 @@ class Counts:
     id_counts: np.ndarray
 
 
-def gather(train: DataFrame) -> Counts:
-    events = settle(count_events(train), "counts")
+def gather(train: DataFrame, begins: np.ndarray) -> Counts:
+    events = settle(count_events(train, begins), "counts")
     words = events.filter("kind = 0").select("key", "n")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     pairs = events.filter("kind = 1").select(F.shiftright("key", 17).alias("a"), F.col("key").bitwiseAND(F.lit((1 << 17) - 1)).alias("b"), "n")
@@ -535,44 +597,39 @@ _SCORED = (
 )
 
 
-def _scored(rows: DataFrame, model: Model, keys: np.ndarray, logs: np.ndarray, end_log: float) -> DataFrame:
+def _scored(rows: DataFrame, model: Model, begins: np.ndarray, keys: np.ndarray, logs: np.ndarray, end_log: float) -> DataFrame:
     """Per row what can be told without a join: score, and the base of frequent words; rare words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables()
         for batch in batches:
-            stored = Stored.of(batch.column(4))
-            for part in W.slices(batch.column(3)):
-                score = score_ids(model, tables, *stored.rows(part.first, part.last)) / math.log(10)
-                _, _, hashes, bounds = read_words(part)
-                rows = W.row_of(bounds)
-                h = hashes.view(np.int64)
-                at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                common = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-                n = part.rows
+            for row, ids, bounds in Stored.of(batch.column(3)).slices():
+                score = score_ids(model, tables, ids, bounds) / math.log(10)
+                hashes, bounds = word_hashes(ids, bounds, begins)
+                n, rows = len(bounds) - 1, W.row_of(bounds)
+                kinds, which = np.unique(hashes, return_inverse=True)
+                at = np.minimum(np.searchsorted(keys, kinds), max(len(keys) - 1, 0))
+                frequent = keys[at] == kinds if len(keys) else np.zeros(len(kinds), bool)
+                common = frequent[which]
                 known = np.bincount(rows[common], minlength=n)
-                base = np.bincount(rows[common], logs[at[common]] if len(keys) else None, minlength=n) + end_log
-                order = np.lexsort((h[~common], rows[~common]))
-                r, k = rows[~common][order], h[~common][order]
-                fresh = np.ones(len(k), bool)
-                fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
-                first = np.flatnonzero(fresh)
-                times = np.diff(np.append(first, len(k)))
-                offsets = pa.array(np.searchsorted(r[first], np.arange(n + 1)).astype(np.int32))
-                own = [batch.column(i).slice(part.first, n) for i in range(3)]
+                base = np.bincount(rows[common], logs[at][which[common]] if len(keys) else None, minlength=n) + end_log
+                found, times = np.unique(rows[~common] * len(kinds) + which[~common], return_counts=True)
+                r, k = np.divmod(found, max(len(kinds), 1))
+                offsets = pa.array(np.searchsorted(r, np.arange(n + 1)).astype(np.int32))
+                own = [batch.column(i).slice(row, n) for i in range(3)]
                 columns = [
                     *own,
                     pa.array(np.diff(bounds) + 1),
                     pa.array(known.astype(np.int64) + (end_log > 0)),
                     pa.array(base.astype(np.float64)),
                     pa.array(score),
-                    pa.ListArray.from_arrays(offsets, pa.array(k[first])),
+                    pa.ListArray.from_arrays(offsets, pa.array(kinds[k])),
                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
                 ]
                 names = ["_row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    read = rows.select("_row", "doc_id", "held_out", "text", "ids")
+    read = rows.select("_row", "doc_id", "held_out", "ids")
     return read.mapInArrow(run, _SCORED.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
@@ -580,15 +637,16 @@ def lm_report(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     with open(path, "rb") as file:
         vocabulary = file.read()
+    begins = begins_of(ranks_of(vocabulary))
     read = tokenised(docs, vocabulary)
     train = read.filter(~F.col("held_out"))
-    counts = gather(train)
+    counts = gather(train, begins)
     model = fit(train, counts)
     frequent = F.col("n") * FREQUENT > counts.tokens
     top = counts.words.filter(frequent).toPandas().sort_values("key")  # fewer than FREQUENT
     logs = np.log10(top["n"].to_numpy(float) + 1)
     end_log = math.log10(counts.ends + 1)
-    rows = settle(_scored(read, model, top["key"].to_numpy(np.int64), logs, end_log), "scored")
+    rows = settle(_scored(read, model, begins, top["key"].to_numpy(np.int64), logs, end_log), "scored")
     rare = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("_row", F.col("w.rare").alias("key"), "w.times")
     found = rare.join(counts.words.filter(~frequent), "key").groupBy("_row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known")

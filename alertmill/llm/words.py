@@ -47,14 +47,19 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def byte_prefix(data: np.ndarray, lower: bool) -> np.ndarray:
-    """Prefix sums of byte code times radix^position; a substring's hash is a scaled difference."""
-    up, _ = _power_tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_CODE_LOWER if lower else _BYTE_CODE)[data] * up[: len(data)], out=out[1:])
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    """Prefix sums of code times radix^position; a substring's hash is a scaled difference."""
+    up, _ = _power_tables(len(codes) + 1)
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=out[1:])
     return out
 
 
+def byte_prefix(data: np.ndarray, lower: bool) -> np.ndarray:
+    """The same of the codes of bytes."""
+    return prefix_sums((_BYTE_CODE_LOWER if lower else _BYTE_CODE)[data])
+
+
 def spans_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
     _, down = _power_tables(len(prefix))

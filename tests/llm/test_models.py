@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from alertmill.llm import lm, toxicity
+from alertmill.llm import words as W
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA, sentence
 
@@ -99,6 +100,31 @@ def test_training_looks_at_every_position_once(small_model, monkeypatch):
     assert n == 9000 and sorted(seen) == sorted(zip(before, symbols))
 
 
+def test_words_are_told_apart_by_their_ids(monkeypatch):
+    pieces = lm.Pieces(open(lm.VOCABULARY, "rb").read())
+    rng = random.Random(4)
+    common = [sentence(rng, 1) for _ in range(40)] + ["é" * 90, "x" * 200, "<|endoftext|>", "Ärger", "$$$", "a"]
+    texts = [" ".join(rng.choices([*common, sentence(rng, 1)], k=60)).encode() for _ in range(30)]
+    texts += [b"", b"\xff\xfe \xff \xfe\xff A \xff\xfe", b" \t\n", b"\xef\xbf\xbd a\xff a\xfe a"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    part = W.Slice(0, len(texts), np.frombuffer(b"".join(texts), np.uint8), offsets)
+    plain, bounds = lm.read_words(part)[2:]
+    first = lm.read_ids(part, pieces)
+    for held in (lm.HELD_WORDS, 60):  # the second time ids are forgotten again
+        monkeypatch.setattr(lm, "HELD_WORDS", held)
+        for _ in range(2):
+            ids, id_bounds = lm.read_ids(part, pieces)
+            assert ids.tolist() == first[0].tolist() and id_bounds.tolist() == first[1].tolist()
+    hashes, own = lm.word_hashes(ids.astype(np.int64), id_bounds, lm.begins_of(lm.ranks_of(open(lm.VOCABULARY, "rb").read())))
+    assert own.tolist() == bounds.tolist()
+    assert len(set(zip(hashes, plain))) == len(set(hashes)) == len(set(plain))
+
+
+def test_texts_are_read_once(docs):
+    vocabulary = open(lm.VOCABULARY, "rb").read()
+    assert lm.tokenised(docs, vocabulary).columns == ["_row", "doc_id", "held_out", "_round", "ids"]
+
+
 def test_base_score(docs, rows):
     got = sorted((tuple(r) for r in lm.lm_report(docs).collect()), key=repr)
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
