@@ -70,7 +70,7 @@ SLICE_IDS = 1 << 19
 BATCH = 256
 RATE = 0.02
 SMOOTH = 20.0
-FREQUENT = 1 << 17
+FREQUENT = 1 << 20
 #: Words of which a task keeps the ids.
 HELD_WORDS = 1 << 19
 
@@ -643,10 +643,10 @@ def lm_report(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     counts = gather(train, begins)
     model = fit(train, counts)
     frequent = F.col("n") * FREQUENT > counts.tokens
-    top = counts.words.filter(frequent).toPandas().sort_values("key")  # fewer than FREQUENT
-    logs = np.log10(top["n"].to_numpy(float) + 1)
+    top = counts.words.filter(frequent).toArrow().sort_by("key")  # fewer than FREQUENT
+    keys, logs = top["key"].to_numpy(), np.log10(top["n"].to_numpy().astype(float) + 1)
     end_log = math.log10(counts.ends + 1)
-    rows = settle(_scored(read, model, begins, top["key"].to_numpy(np.int64), logs, end_log), "scored")
+    rows = settle(_scored(read, model, begins, keys, logs, end_log), "scored")
     rare = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("_row", F.col("w.rare").alias("key"), "w.times")
     found = rare.join(counts.words.filter(~frequent), "key").groupBy("_row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known")
