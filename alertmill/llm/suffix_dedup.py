@@ -12,7 +12,9 @@ Merging. Otherwise the distinct segment texts of the hash go to a bucket of
 bounded size. Its texts are dealt to shards, each shard gets its Burrows-Wheeler
 transform, and the transforms are merged: the interleaving of the shards' rows
 starts as one block and is refined for every two bytes, by a stable pass over the
-transforms' symbols along their LF mapping. The round in which two rows part
+transforms' symbols along their LF mapping. Each round leads two places to the left,
+so it starts from the rows with ``LENGTH`` bytes of their text before them; no other
+row ends as a window. The round in which two rows part
 tells their common prefix, so rows that are in one block after ``LENGTH`` bytes
 are a repeated interval. Rows alone in their block are left out of later rounds; no
 suffix of the union is sorted.
@@ -85,33 +87,33 @@ def segments(part: W.Slice) -> tuple[np.ndarray, ...]:
     if n < LENGTH:
         return none
     prefix = W.byte_prefix(part.data, lower=False)
-    at = np.arange(n - GRAM + 1)
-    grams = W.spans_hash(prefix, at, at + GRAM)
+    grams = W.windows_hash(prefix, GRAM)
     least = _sliding(np.minimum, grams, SPAN)
-    sizes = np.diff(part.offsets)
-    room = np.maximum(sizes - LENGTH + 1, 0)
-    rows = np.repeat(np.arange(part.rows), room)
-    starts = np.arange(len(rows)) - np.repeat(np.cumsum(room) - room, room) + part.offsets[:-1][rows]
-    if not len(starts):
+    ends = part.offsets[:-1] + np.maximum(np.diff(part.offsets) - LENGTH + 1, 0)
+    fresh = np.ones(len(least) + 1, bool)
+    fresh[1:-1] = least[1:] != least[:-1]
+    fresh[part.offsets[:-1][part.offsets[:-1] < len(least)]] = True
+    fresh[ends[ends < len(least)]] = True
+    begin = np.flatnonzero(fresh)
+    begin, count = begin[:-1], np.diff(begin)
+    rows = np.searchsorted(part.offsets, begin, side="right") - 1
+    inside = begin < ends[rows]  # what follows a text's last window start is cut off as a run of its own
+    rows, begin, count = rows[inside], begin[inside], count[inside]
+    if not len(begin):
         return none
-    value = least[starts]
-    fresh = np.ones(len(starts), bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (rows[1:] != rows[:-1])
-    run = np.cumsum(fresh) - 1
-    first = np.flatnonzero(fresh)
     # a repetitive text keeps one least hash for long; such runs are cut into segments of bounded length
-    fresh |= (np.arange(len(starts)) - first[run]) % SPAN == 0
-    first = np.flatnonzero(fresh)
-    count = np.diff(np.append(first, len(starts)))
-    begin = starts[first]
+    pieces = -(-count // SPAN)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    own, begin, count = (np.repeat(x, pieces) for x in (rows, begin, count))
+    begin, count = begin + nth * SPAN, np.minimum(count - nth * SPAN, SPAN)
+    value = least[begin]
     body = W.spans_hash(prefix, begin, begin + count + LENGTH - 1)
     twice = _recurring(grams, least, part.offsets)
-    mine = _keys(np.searchsorted(part.offsets, begin, side="right"), value[first])
-    again = np.zeros(len(first), bool)
+    mine = _keys(own + 1, value)
+    again = np.zeros(len(begin), bool)
     if len(twice):
         again = twice[np.minimum(np.searchsorted(twice, mine), len(twice) - 1)] == mine
-    own = rows[first]
-    return own, begin - part.offsets[:-1][own], count, value[first].view(np.int64), W.mix(body).view(np.int64), 1 + again
+    return own, begin - part.offsets[:-1][own], count, value.view(np.int64), W.mix(body).view(np.int64), 1 + again
 
 
 _SEGMENT = "h bigint, c bigint, ka bigint, kb bigint, start int, starts int, weight int"
@@ -135,6 +137,25 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
 # --- Burrows-Wheeler transforms of shards and their merge
 
 
+def _following(values: np.ndarray, left: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The value ``width`` after each place ``at``, 0 beyond the end of the text."""
+    return np.where(left.take(at) > width, values.take(at + width, mode="clip"), 0)
+
+
+def _refined(rank: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Rank whole blocks of suffixes, ``tied``, by ``key``, which orders by their old rank first.
+
+    A rank is the number of suffixes in lower blocks. Changes ``rank``; returns the suffixes that still tie.
+    """
+    turn = np.argsort(key)
+    tied, key = tied.take(turn), key.take(turn)
+    old, at = rank.take(tied), np.arange(len(tied))
+    new, block = np.ones((2, len(tied)), bool)
+    new[1:], block[1:] = key[1:] != key[:-1], old[1:] != old[:-1]
+    rank[tied] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(block, at, 0))
+    return tied[~(new & np.append(new[1:], True))]
+
+
 def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the shard's suffixes in order of their first ``LENGTH`` bytes.
 
@@ -149,24 +170,24 @@ def transform(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     symbols = np.zeros(len(owner), np.int64)
     symbols[place < sizes[owner] - 1] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     left = sizes[owner] - place
-    rank, width = np.zeros(len(symbols), np.int64), 7
-    for j in range(width):
-        ahead = np.zeros(len(symbols), np.int64)
-        ahead[: max(len(symbols) - j, 0)] = symbols[j:]
-        ahead[left <= j] = 0
-        rank = rank << 9 | ahead
-    rank = np.unique(rank, return_inverse=True)[1] + 1
-    while width < LENGTH:
-        ahead = np.zeros(len(rank), np.int64)
-        ahead[:-width] = rank[width:]
-        ahead[left <= width] = 0
-        _, rank = np.unique(rank * (len(rank) + 257) + ahead + 1, return_inverse=True)
-        rank, width = rank + 1, width * 2
-    order = np.argsort(rank, kind="stable")
-    row_of = np.empty(len(order), np.int64)
-    row_of[order] = np.arange(len(order))
+    every = np.arange(len(symbols))
+    # the first symbols as one number, in a base as small as the shard's alphabet
+    used = np.bincount(symbols, minlength=257) > 0
+    used[0] = False
+    key, base, width = np.cumsum(used)[symbols], int(used.sum()) + 1, 1
+    while width < LENGTH and base ** (2 * width) < 1 << 63:
+        key, width = key * base**width + _following(key, left, every, width), 2 * width
+    rank = np.zeros(len(symbols), np.int64)
+    tied = _refined(rank, every, key)
+    while width < LENGTH and len(tied):
+        # only suffixes that still tie are sorted again, by the rank of what follows
+        key = rank.take(tied) * (len(rank) + 1) + _following(rank + 1, left, tied, width)
+        tied, width = _refined(rank, tied, key), 2 * width
+    _refined(rank, tied, rank.take(tied) * len(rank) + tied)  # equal suffixes in their order in the shard
+    order = np.empty(len(rank), np.int64)
+    order[rank] = every
     before = np.where(place[order] > 0, symbols[order - 1] - 1, -1)
-    return before, np.where(place[order] > 0, row_of[order - 1], -1), owner[order], place[order]
+    return before, np.where(place[order] > 0, rank[order - 1], -1), owner[order], place[order]
 
 
 def merged_repeats(shards: list[list[bytes]]) -> list[tuple[int, np.ndarray]]:
@@ -178,57 +199,54 @@ def merged_repeats(shards: list[list[bytes]]) -> list[tuple[int, np.ndarray]]:
     lf = np.concatenate([np.where(p[1] >= 0, p[1] + rows[i], -1) for i, p in enumerate(parts)])
     owner = np.concatenate([p[2] + texts[i] for i, p in enumerate(parts)])
     place = np.concatenate([p[3] for p in parts])
-    # two symbols at a time: along LF twice, with the pair of symbols passed
-    back = np.where(lf >= 0, lf[lf], -1)
-    pair = (symbol[lf].astype(np.uint16) << np.uint16(8)) | symbol.astype(np.uint16)
-    lf, pair = back.astype(np.int32), np.where(back >= 0, pair, 0).astype(np.uint16)
-    inter, block = np.arange(len(lf), dtype=np.int32), np.zeros(len(lf), np.int32)
+    # two symbols at a time: along LF twice, with the pair of symbols passed in the low bits
+    back = np.where(lf >= 0, lf.take(lf, mode="clip"), 0)
+    step = back << 16 | (symbol.take(lf, mode="clip") & 255) << 8 | symbol & 255
+    # a round goes two places to the left, so only rows with LENGTH bytes before them become a window
+    inter = np.flatnonzero(place >= LENGTH)
+    block = np.zeros(len(inter), np.int32)
     for _ in range(LENGTH // 2):
-        target = lf[inter]
-        live = target >= 0
-        s = pair[inter[live]]
-        turn = np.argsort(s, kind="stable")
-        inter, block, s = target[live][turn], block[live][turn], s[turn]
+        passed = step.take(inter)
+        turn = np.argsort(passed.astype(np.uint16), kind="stable")
+        passed, block = passed.take(turn), block.take(turn)
+        inter, pair = passed >> 16, passed.astype(np.uint16)
         new = np.ones(len(inter), bool)
-        new[1:] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
+        new[1:] = (pair[1:] != pair[:-1]) | (block[1:] != block[:-1])
         # a row whose neighbours are in other blocks is alone: its common prefix is known
-        kept = ~(new & np.append(new[1:], True))
-        inter, block = inter[kept], np.cumsum(new, dtype=np.int32)[kept]
+        kept = np.flatnonzero(~(new & np.append(new[1:], True)))
+        inter, block = inter.take(kept), np.cumsum(new, dtype=np.int32).take(kept)
         if not len(inter):
             return []
     found = np.lexsort((place[inter], owner[inter]))
     who, where = owner[inter][found], place[inter][found]
     cuts = np.flatnonzero(np.diff(who)) + 1
-    return [(int(w[0]), p) for w, p in zip(np.split(who, cuts), np.split(where, cuts))]
-
-
-def _ranges(places: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges covered by windows at sorted places."""
-    cuts = np.flatnonzero(np.diff(places) > LENGTH) + 1
-    return [(int(p[0]), int(p[-1]) + LENGTH) for p in np.split(places, cuts)]
+    return list(zip(who[np.append(0, cuts)].tolist(), np.split(where, cuts)))
 
 
 _COVER = "h bigint, c bigint, ranges array<struct<s: int, e: int>>"
-_COVER_ARROW = pa.schema(
-    [("h", pa.int64()), ("c", pa.int64()), ("ranges", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))]
-)
 
 
 def _merge_bucket(table: pa.Table) -> pa.Table:
-    bodies = table["body"].to_pylist()
-    h, c = table["h"].to_pylist(), table["c"].to_pylist()
+    """Byte ranges of each text that are covered by its repeated windows."""
     shards: list[list[bytes]] = [[]]
     size = 0
-    for b in bodies:
+    for b in table["body"].to_pylist():
         if size > SHARD_BYTES:
             shards.append([])
             size = 0
         shards[-1].append(b)
         size += len(b)
-    rows = [
-        {"h": h[i], "c": c[i], "ranges": [{"s": s, "e": e} for s, e in _ranges(places)]} for i, places in merged_repeats(shards)
-    ]
-    return pa.Table.from_pylist(rows, schema=_COVER_ARROW)
+    found = merged_repeats(shards)
+    # the ranges of all texts at once: one begins with a text's first place and after a gap
+    first = np.cumsum([0] + [len(places) for _, places in found])
+    where = np.concatenate([np.zeros(0, np.int64), *(places for _, places in found)])
+    fresh = np.append(True, np.diff(where) > LENGTH)[: len(where)]
+    fresh[first[:-1]] = True
+    cuts = np.append(np.flatnonzero(fresh), len(where))
+    span = [where[cuts[:-1]], where[cuts[1:] - 1] + LENGTH]
+    ranges = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in span], names=["s", "e"])
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(cuts, first).astype(np.int32)), ranges)
+    return table.select(["h", "c"]).take(pa.array([i for i, _ in found], pa.int64())).append_column("ranges", lists)
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:

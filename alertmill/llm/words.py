@@ -66,6 +66,12 @@ def spans_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((prefix[ends] - prefix[starts]) * down[starts])
 
 
+def windows_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+    """The same of every span of ``width`` bytes."""
+    _, down = _power_tables(len(prefix))
+    return mix((prefix[width:] - prefix[:-width]) * down[: len(prefix) - width])
+
+
 @dataclass
 class Slice:
     """Some texts of a batch: rows first..last, their bytes and where each begins."""

@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from alertmill.llm import common, components, mixing, ngram_join, sharding, sketch_dedup, suffix_dedup
+from alertmill.llm import common, components, mixing, ngram_join, sharding, sketch_dedup, suffix_dedup, words
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA, sentence
 
@@ -110,6 +113,63 @@ def test_merge_of_shards_is_that_of_one_shard():
     assert [(i, p.tolist()) for i, p in whole] == [(i, p.tolist()) for i, p in dealt]
 
 
+def test_merge_visits_only_rows_that_can_become_windows(monkeypatch):
+    rng = random.Random(4)
+    base = bytes(rng.choices(b"abcdefgh", k=240))
+    texts = [bytes(rng.choices(b"abcdefgh", k=20)) + base + bytes(rng.choices(b"abcdefgh", k=20)) for _ in range(40)]
+    plain, visited = np.argsort, []
+
+    def counting(values, *args, kind=None, **more):
+        if kind == "stable":
+            visited.append(len(values))
+        return plain(values, *args, kind=kind, **more)
+
+    monkeypatch.setattr(np, "argsort", counting)
+    found = suffix_dedup.merged_repeats([texts[:25], texts[25:]])
+    places = Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))
+    assert [(i, p.tolist()) for i, p in found] == [(i, [p for p in range(len(t) - 199) if places[t[p : p + 200]] > 1]) for i, t in enumerate(texts)]
+    windows = sum(len(t) - 199 for t in texts)
+    assert max(visited) <= windows and sum(visited) <= 100 * windows
+
+
+@pytest.mark.parametrize("letters", [b"a", b"ab", b"the quick brown fox", bytes(range(256))])
+def test_transform_orders_suffixes(letters):
+    rng = random.Random(5)
+    texts = [bytes(rng.choices(letters, k=n)) for n in (1, 7, 0, 180, 150, 63, 64, 65)]
+    texts += [texts[3][20:150], texts[3], texts[4] + texts[3][:40]]
+    before, lf, owner, place = suffix_dedup.transform(texts)
+    want = sorted(((t[p:], i, p) for i, t in enumerate(texts) for p in range(len(t) + 1)))
+    assert list(zip(owner.tolist(), place.tolist())) == [(i, p) for _, i, p in want]
+    row = {(i, p): r for r, (_, i, p) in enumerate(want)}
+    assert before.tolist() == [texts[i][p - 1] if p else -1 for _, i, p in want]
+    assert lf.tolist() == [row[i, p - 1] if p else -1 for _, i, p in want]
+
+
+def test_segments_hold_each_window_once():
+    rng = random.Random(6)
+    texts = ["", "x" * 199, "y" * 200, "z" * 950, sentence(rng, 300), "", sentence(rng, 90), "é" * 150, sentence(rng, 200) * 2, "x" * 50]
+    (part,) = words.slices(pa.array(texts))
+    row, start, count, h, c, weight = suffix_dedup.segments(part)
+    starts = [(int(r), int(s) + k) for r, s, n in zip(row, start, count) for k in range(n)]
+    assert starts == [(r, s) for r, t in enumerate(texts) for s in range(len(t.encode()) - 199)]
+    assert count.max() <= suffix_dedup.SPAN
+    bodies = [texts[r].encode()[s : s + n + 199] for r, s, n in zip(row, start, count)]
+    assert len(set(bodies)) == len(set(c.tolist())) == len(set(zip(bodies, c.tolist())))
+    # equal windows are in segments of one hash, of weight 2 if both are in one text
+    of: dict[bytes, set] = {}
+    times: Counter = Counter()
+    heavy: set = set()
+    for r, body, own, w in zip(row.tolist(), bodies, h.tolist(), weight.tolist()):
+        for k in range(len(body) - 199):
+            window = body[k : k + 200]
+            of.setdefault(window, set()).add(own)
+            times[r, window] += 1
+            heavy |= {(r, window)} if w == 2 else set()
+    assert all(len(own) == 1 for own in of.values())
+    assert {key for key, n in times.items() if n > 1} <= heavy
+    assert (weight[row == 4] == 1).all()
+
+
 def test_kept_bytes(clashing, rows):
     out = suffix_dedup.without_repeats(clashing)
     assert out.columns == [*clashing.columns, "kept_bytes"]
