@@ -43,7 +43,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
@@ -70,9 +70,14 @@ SLICE_IDS = 1 << 19
 BATCH = 256
 RATE = 0.02
 SMOOTH = 20.0
+#: Logarithm of a weight of attention, relative to the largest, that is lost in any sum.
+FADE = -60.0
 FREQUENT = 1 << 20
 #: Words of which a task keeps the ids.
 HELD_WORDS = 1 << 19
+#: Query position against key position of a window: whether the key is seen, and how far behind it is (0 if it is not).
+_SEEN = np.arange(STEP)[:, None] + BACK >= np.arange(SPAN)[None, :]
+_GAP = np.where(_SEEN, np.arange(STEP)[:, None] + BACK - np.arange(SPAN)[None, :], 0)
 
 _pieces: dict[int, Pieces] = {}
 _ID_CODE = np.random.default_rng(20_250_117).integers(1, 1 << 63, IDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,7 +154,7 @@ class Pieces:
         """Ids of all words one after the other, and how many each word has. Words hold no space."""
         if not len(hashes):
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        words, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        words, first, inverse = W.distinct(hashes)
         fresh = self._fresh(words)
         if len(self._held) + int(fresh.sum()) > HELD_WORDS:
             self._forget()
@@ -315,20 +320,27 @@ class Model:
     by_class: np.ndarray  # p2(class | symbol)
     embed: np.ndarray
     weights: dict[str, np.ndarray]
+    _cast: dict[np.dtype, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
 
     @cached_property
     def log_class(self) -> np.ndarray:
         return np.log(self.by_class)
 
+    def embeddings(self, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+        """Also with a column of ones, which gives the sums of weights along with the sums of keys."""
+        if kind not in self._cast:
+            embed = self.embed.astype(kind)
+            self._cast[kind] = embed, np.append(embed, np.ones((SYMBOLS, 1), kind), axis=1)
+        return self._cast[kind]
+
     def tables(self) -> dict[str, np.ndarray]:
         """Scores of a pair of positions depend on their symbols and distance only."""
         e, w = self.embed, self.weights
         skip = e @ w["skip"]
         return {
-            "reach": np.exp(np.clip(e @ w["product"] @ e.T, -20, 20)).astype(np.float32),
+            "ask": (e @ w["product"]).astype(np.float32),
             "near": distance_mask(np.exp(np.clip(w["distance"], -20, 20))).astype(np.float32),
-            # a column of ones gives the sums of weights along with the sums of keys
-            "key": np.append(e, np.ones((len(e), 1)), axis=1).astype(np.float32),
+            "key": e.astype(np.float32),
             "value": w["value"].astype(np.float32),
             "pair": self.log_pair + skip[:, self.of_class],
             "open": (self.by_class * np.exp(skip)).astype(np.float32),
@@ -337,8 +349,7 @@ class Model:
 
 def distance_mask(by_distance: np.ndarray) -> np.ndarray:
     """(STEP, SPAN) factors of query position against key position; a key after its query has none."""
-    gap = np.arange(STEP)[:, None] + BACK - np.arange(SPAN)[None, :]
-    return np.where(gap >= 0, by_distance[np.clip(gap, 0, SPAN - 1)], 0.0)
+    return np.where(_SEEN, by_distance[_GAP], 0.0)
 
 
 def _initial(width: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -401,13 +412,14 @@ def windows(ids: np.ndarray, bounds: np.ndarray, symbol: np.ndarray) -> tuple[np
     per_row = -(-sizes // STEP)
     first_window = np.cumsum(per_row) - per_row
     rows = np.repeat(np.arange(len(sizes)), per_row)
-    at = np.arange(len(ids)) - np.repeat(bounds[:-1], sizes) + np.repeat(first_window * STEP, sizes)
+    at = np.arange(len(ids)) + np.repeat(first_window * STEP - bounds[:-1], sizes)
     targets = np.full(int(per_row.sum()) * STEP, -1, np.int64)
     targets[at] = ids
     end = symbol[END]
     inputs = np.full(len(targets) + BACK, end, np.int32)
-    before = np.concatenate([[END], ids[:-1]]) if len(ids) else ids
-    inputs[at + BACK] = symbol[before]
+    at += BACK
+    inputs[at[:1]] = end
+    inputs[at[1:]] = symbol.astype(np.int32).take(ids[:-1])
     view = np.lib.stride_tricks.sliding_window_view(inputs, SPAN)[::STEP]
     opens = np.zeros(len(rows), bool)
     opens[first_window[sizes > 0]] = True
@@ -417,44 +429,62 @@ def windows(ids: np.ndarray, bounds: np.ndarray, symbol: np.ndarray) -> tuple[np
 def score_ids(model: Model, tables: dict[str, np.ndarray], ids: np.ndarray, bounds: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """Natural log probability of each row's ids."""
     inputs, targets, rows, opens = windows(ids, bounds, model.symbol)
-    out = np.zeros(len(bounds) - 1)
-    reach = tables["reach"].ravel()
+    of_window = np.zeros(len(rows))
+    pair, within = tables["pair"].ravel(), model.within
+    ones = np.ones((max(SPAN, CLASSES), 1), np.float32)
     for a in range(0, len(rows), chunk):
-        x, y = inputs[a : a + chunk], targets[a : a + chunk]
-        query = x[:, BACK:]
-        weight = reach.take((query * np.int32(SYMBOLS))[:, :, None] + x[:, None, :])
+        x, y = inputs[a : a + chunk], targets[a : a + chunk].ravel()
+        keys, q = tables["key"].take(x, axis=0), x[:, BACK:]
+        weight = tables["ask"].take(q, axis=0) @ np.ascontiguousarray(keys.transpose(0, 2, 1))
+        np.clip(weight, -20, 20, out=weight)
+        np.exp(weight, out=weight)
         weight *= tables["near"]
         weight[opens[a : a + chunk], :, :BACK] = 0.0
-        sums = (weight @ tables["key"].take(x, axis=0)).reshape(-1, WIDTH + 1)
-        real = np.flatnonzero(y >= 0)
-        sums, q, t = sums.take(real, axis=0), query.ravel()[real], y.ravel()[real]
-        g = (sums[:, :WIDTH] / sums[:, WIDTH:]) @ tables["value"]
-        s = model.symbol[t]
-        of_goal = g.ravel().take(np.arange(len(s)) * CLASSES + model.of_class[s])
-        norm = np.einsum("ic,ic->i", tables["open"].take(q, axis=0), np.exp(g, out=g))
-        log_p = tables["pair"].ravel().take(q * np.int64(SYMBOLS) + s) + model.within[t] + of_goal - np.log(norm)
-        out += np.bincount(rows[a : a + chunk][real // STEP], log_p, minlength=len(out))
-    return out
+        mean = (weight @ keys).reshape(-1, WIDTH)
+        mean /= weight.reshape(-1, SPAN) @ ones[:SPAN]
+        g = mean @ tables["value"]
+        s, q = model.symbol.take(y), q.ravel()  # a padded position has any symbol, and no part in the sum
+        log_p = pair.take(q * np.int64(SYMBOLS) + s) + within.take(y)
+        log_p += g.ravel().take(np.arange(0, g.size, CLASSES) + model.of_class.take(s))
+        np.exp(g, out=g)
+        g *= tables["open"].take(q, axis=0)
+        log_p -= np.log((g @ ones[:CLASSES]).ravel())
+        log_p[y < 0] = 0.0
+        of_window[a : a + chunk] = log_p.reshape(-1, STEP).sum(1)
+    return np.bincount(rows, of_window, minlength=len(bounds) - 1)
+
+
+def row_max(x: np.ndarray) -> np.ndarray:
+    """Of many short rows, which are reduced faster as columns."""
+    return np.ascontiguousarray(x.T).max(0)
+
+
+def faded_exp(w: np.ndarray) -> None:
+    """exp in place; at FADE and below 0, which no sum with a 1 can tell apart, as subnormal numbers are slow."""
+    np.maximum(w, FADE, out=w)
+    np.exp(w, out=w)
+    w *= w > math.exp(FADE) * (1 + 1e-5)
 
 
 def window_gradient(model: Model, weights: dict[str, np.ndarray], x: np.ndarray, opens: np.ndarray, goals: np.ndarray):
     """Mean loss and gradients over all positions of the windows that have a goal, a symbol (-1: none)."""
     kind = weights["product"].dtype
-    embed = model.embed.astype(kind)
+    embed, keyed = model.embeddings(kind)
     n, real, q = len(x), goals.ravel() >= 0, x[:, BACK:]
-    # a column of ones gives the sums of weights along with the sums of keys
-    keys = np.append(embed, np.ones((SYMBOLS, 1), kind), axis=1).take(x, axis=0)
-    far = np.arange(STEP)[:, None] + BACK - np.arange(SPAN)[None, :]
-    near = np.where(far >= 0, weights["distance"][np.clip(far, 0, SPAN - 1)], -np.inf).astype(kind)
-    w = (embed @ weights["product"]).take(q, axis=0) @ keys[:, :, :WIDTH].transpose(0, 2, 1)
-    w += near
+    keys = keyed.take(x, axis=0)
+    turned = np.ascontiguousarray(keys.transpose(0, 2, 1))
+    w = (embed @ weights["product"]).take(q, axis=0) @ turned[:, :WIDTH]
+    w += np.where(_SEEN, weights["distance"][_GAP], -np.inf).astype(kind)
     w[opens, :, :BACK] = -np.inf
-    w -= w.max(2, keepdims=True)
-    np.exp(w, out=w)
+    w -= row_max(w.reshape(-1, SPAN)).reshape(n, STEP, 1)
+    faded_exp(w)
     sums = (w @ keys).reshape(-1, WIDTH + 1)
     part = 1 / sums[:, WIDTH:]
-    mean = sums[:, :WIDTH] * part
-    eq = embed.take(q.ravel(), axis=0)
+    # means and queries side by side, for one product with what comes back
+    both = np.empty((n * STEP, 2 * WIDTH), kind)
+    mean, eq = both[:, :WIDTH], both[:, WIDTH:]
+    np.multiply(sums[:, :WIDTH], part, out=mean)
+    eq[:] = embed.take(q.ravel(), axis=0)
     p = (model.log_class + embed @ weights["skip"]).astype(kind).take(q.ravel(), axis=0)
     p += mean @ weights["value"]
     np.clip(p, -60, 60, out=p)
@@ -463,8 +493,9 @@ def window_gradient(model: Model, weights: dict[str, np.ndarray], x: np.ndarray,
     at = np.flatnonzero(real)
     c = at * CLASSES + model.of_class[goals.ravel()[at]]
     d = p.ravel()
-    loss = -np.log(np.maximum(d[c], 1e-30)).mean(dtype=np.float64)
-    d[c] -= 1
+    of_goal = d[c]
+    loss = -np.log(np.maximum(of_goal, 1e-30)).mean(dtype=np.float64)
+    d[c] = of_goal - 1
     if len(at) < len(real):
         p[~real] = 0
     p /= len(at)
@@ -472,12 +503,13 @@ def window_gradient(model: Model, weights: dict[str, np.ndarray], x: np.ndarray,
     np.matmul(p, weights["value"].T, out=pull[:, :WIDTH])
     pull[:, WIDTH] = -np.einsum("ij,ij->i", pull[:, :WIDTH], mean)
     pull *= part
-    w *= pull.reshape(n, STEP, WIDTH + 1) @ keys.transpose(0, 2, 1)
+    w *= pull.reshape(n, STEP, WIDTH + 1) @ turned
+    back = both.T @ p
     return loss, {
-        "value": mean.T @ p,
-        "skip": eq.T @ p,
+        "value": back[:WIDTH],
+        "skip": back[WIDTH:],
         "product": eq.T @ (w @ keys[:, :, :WIDTH]).reshape(-1, WIDTH),
-        "distance": np.bincount(np.clip(far, 0, SPAN - 1).ravel(), w.sum(0).ravel(), minlength=SPAN),
+        "distance": np.bincount(_GAP.ravel(), w.sum(0).ravel(), minlength=SPAN),
     }
 
 
@@ -507,13 +539,14 @@ class Adam:
 def train_slice(model: Model, adam: Adam, ids: np.ndarray, bounds: np.ndarray, rng: np.random.Generator) -> tuple[float, int]:
     """Every position of every window of some rows. Returns summed loss and the number of positions."""
     inputs, targets, _, opens = windows(ids, bounds, model.symbol)
-    goals = np.where(targets >= 0, model.symbol[targets], -1)
+    goals = np.append(model.symbol, -1)[targets]
     order, lost = rng.permutation(len(inputs)), 0.0
     for a in range(0, len(order), BATCH):
         own = order[a : a + BATCH]
-        loss, grads = window_gradient(model, adam.weights, inputs[own], opens[own], goals[own])
+        y = goals[own]
+        loss, grads = window_gradient(model, adam.weights, inputs[own], opens[own], y)
         adam.step(grads)
-        lost += loss * int((goals[own] >= 0).sum())
+        lost += loss * np.count_nonzero(y >= 0)
     return lost, len(ids)
 
 

@@ -156,6 +156,21 @@ def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, where each stands first, and for every key which of them it is.
+
+    Only the different ones are sorted, so this is for keys that repeat often.
+    """
+    coded = pc.dictionary_encode(pa.array(keys))
+    kinds, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    first = np.empty(len(kinds), np.int64)
+    first[which[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    order = np.argsort(kinds)
+    place = np.empty(len(kinds), np.int64)
+    place[order] = np.arange(len(kinds))
+    return kinds[order], first[order], place[which]
+
+
 def salted(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Hashes that also depend on the row, so that rows can be told apart after one sort."""
     return mix(hashes ^ mix(row_of(bounds).astype(np.uint64) + np.uint64(1)))

@@ -83,6 +83,54 @@ def test_gradient_of_whole_windows(small_model):
         assert g == pytest.approx(np.mean([y[k] for _, y in alone], axis=0), rel=1e-6, abs=1e-12)
 
 
+def test_attention_weights_are_never_subnormal(small_model, monkeypatch):
+    rng, plain, subnormal = np.random.default_rng(4), np.exp, []
+    x, opens = rng.integers(0, lm.SYMBOLS, (40, lm.SPAN)), np.array([True, False] * 20)
+    goals = rng.integers(0, lm.SYMBOLS, (40, lm.STEP))
+    steep = {k: (v * (20 if k == "product" else 1)).astype(np.float32) for k, v in small_model.weights.items()}
+
+    def spy(*args, **named):
+        found = plain(*args, **named)
+        subnormal.append(np.count_nonzero((found > 0) & (found < np.finfo(np.float32).tiny)))
+        return found
+
+    monkeypatch.setattr(np, "exp", spy)
+    loss, grads = lm.window_gradient(small_model, steep, x, opens, goals)
+    assert subnormal and not any(subnormal)
+    monkeypatch.setattr(lm, "FADE", -1e9)  # what is left out changes no sum
+    all_loss, all_grads = lm.window_gradient(small_model, steep, x, opens, goals)
+    assert any(subnormal) and loss == all_loss
+    for k, g in grads.items():
+        assert g == pytest.approx(all_grads[k], rel=1e-5, abs=1e-20)
+
+
+def test_scores_are_those_of_the_formula(small_model):
+    rng, m, w = np.random.default_rng(6), small_model, small_model.weights
+    bounds = np.concatenate([np.arange(1201), 1200 + np.cumsum([5, 16, 17, 100])])  # more windows than a chunk
+    ids = rng.integers(0, 1500, bounds[-1])
+    ids[bounds[1:] - 1] = lm.END
+    want = []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        x, total = m.symbol[np.append(lm.END, ids[a : b - 1])], 0.0
+        for j in range(b - a):
+            seen = np.arange(max(j - j % lm.STEP - lm.BACK, 0), j + 1)
+            e = m.embed[x[seen]]
+            weight = np.exp(np.clip(e @ (m.embed[x[j]] @ w["product"]), -20, 20) + np.clip(w["distance"][j - seen], -20, 20))
+            g = weight @ e / weight.sum() @ w["value"] + m.embed[x[j]] @ w["skip"]
+            s = m.symbol[ids[a + j]]
+            norm = np.log(m.by_class[x[j]] @ np.exp(g))
+            total += m.log_pair[x[j], s] + g[m.of_class[s]] - norm + m.within[ids[a + j]]
+        want.append(total)
+    assert lm.score_ids(m, m.tables(), ids, bounds) == pytest.approx(want, rel=1e-5)
+
+
+def test_distinct_keys():
+    keys = np.random.default_rng(7).integers(0, 1 << 63, 50, dtype=np.uint64)[np.random.default_rng(8).integers(0, 50, 400)] * np.uint64(2)
+    for some in (keys, keys[:1], keys[:0]):
+        for got, want in zip(W.distinct(some), np.unique(some, return_index=True, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+
+
 def test_training_looks_at_every_position_once(small_model, monkeypatch):
     rng, plain, seen = np.random.default_rng(3), lm.window_gradient, []
 
