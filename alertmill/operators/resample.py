@@ -8,6 +8,7 @@ multiplied, and a task that runs again draws the same counts.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from alertmill.operators.ordered import quantiles, spread
 from alertmill.operators.stats import hedges_g
+from alertmill.session import settle
 
 _POISSON_CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(14)])
 
@@ -109,6 +111,52 @@ def selection_stability(
     return top.groupBy("feature").agg(F.avg(F.when(F.col("place") <= k, 1.0).otherwise(0.0)).alias("frequency"))
 
 
+#: Rows of a task and draws of a step. A row costs a draw per replicate, so tasks are cut by rows, not by bytes; a step
+#: stays in the cache of a core.
+PART_ROWS = 16_384
+
+_CUTS = np.array([int(np.ceil(c * 2.0**53)) for c in _POISSON_CDF], dtype=np.uint64)
+
+
+def _coarse_counts() -> np.ndarray:
+    """The count by the upper 16 bits of a draw; -1 where the lower bits decide."""
+    low = np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)
+    least, most = (np.searchsorted(_CUTS, m, side="right") for m in (low, low + np.uint64((1 << 37) - 1)))
+    return np.where(least == most, least, -1).astype(np.float32)
+
+
+_COARSE = _coarse_counts()
+
+
+def drawn(keys: np.ndarray, replicates: np.ndarray, seed: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """The counts of ``poisson_weights`` step by step: a slice of the replicates, and replicates x rows as floats.
+
+    The last mixing leaves the upper bits as they are, and nearly always they
+    alone give the count. The next step overwrites the array.
+    """
+    keys = keys.astype(np.uint64)
+    step = max(1, PART_ROWS // max(len(keys), 1))
+    made = np.empty((2, step, len(keys)), np.uint64)
+    counts = np.empty((step, len(keys)), np.float32)
+    with np.errstate(over="ignore"):
+        streams = (replicates + 1 + 1_000_003 * seed).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for i in range(0, len(replicates), step):
+            at = slice(i, min(i + step, len(replicates)))
+            x, t, w = made[0, : at.stop - i], made[1, : at.stop - i], counts[: at.stop - i]
+            np.add(streams[at, None], keys[None, :], out=x)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                np.right_shift(x, np.uint64(shift), out=t)
+                np.bitwise_xor(x, t, out=x)
+                np.multiply(x, np.uint64(factor), out=x)
+            np.right_shift(x, np.uint64(48), out=t)
+            np.take(_COARSE, t.view(np.int64), out=w, mode="clip")
+            unsure = np.flatnonzero(w < 0)
+            if len(unsure):
+                v = x.reshape(-1)[unsure]
+                w.reshape(-1)[unsure] = np.searchsorted(_CUTS, (v ^ (v >> np.uint64(31))) >> np.uint64(11), side="right")
+            yield at, w
+
+
 def replicate_metrics(
     df: DataFrame,
     weight_key: str,
@@ -121,42 +169,52 @@ def replicate_metrics(
     """AUC, average precision, TPR and FPR of every replicate.
 
     Rows that share ``weight_key`` (a block) are drawn together; use the row id
-    for independent draws. Rows are range partitioned by score. A first pass
-    sums the weights of each cell, the sums of earlier cells are then handed to
-    each cell, and a second pass finishes its share of the curves. Equal scores
-    must meet in one cell, so a score held by more than 1/64 of the rows is a
-    cell of its own that only ever exists as sums. A replicate without one of
-    the classes yields NULL.
+    for independent draws. Rows are cut by score into parts of even size, and a
+    score with many rows over several parts. A first pass sums the weights of
+    each cell: a score that parts share, or the rest of a part. The sums of
+    earlier cells are then handed to each cell. That settles a cell of one
+    score; for the others a second pass finishes their share of the curves.
+    Scores that are not known count as one, above all others. A replicate
+    without one of the classes yields NULL.
     """
-    rows = df.select(
-        F.xxhash64(F.col(weight_key)).alias("key"), F.col(p).cast("double").alias("p"), F.col(y).cast("int").alias("y")
+    rows = settle(
+        df.select(
+            F.xxhash64(F.col(weight_key)).alias("key"),
+            F.coalesce(F.col(p).cast("double"), F.lit(float("nan"))).alias("p"),
+            F.col(y).cast("int").alias("y"),
+            F.monotonically_increasing_id().alias("_at"),
+        ),
+        "drawn_rows",
+    )
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    rows = spread(rows, [], ["p", "_at"], parts).select("key", "p", "y", "_part")
+    cells = _cells(rows)
+    by_part = rows.repartition(parts, "_part")
+    sums = by_part.groupBy("_part").applyInPandas(
+        _cell_sums(cells, replicates, seed, threshold),
+        "cell int, _part int, replicate int, w1 double, w0 double, d double, f double",
     )
-    hot = _hot_scores(rows)
-    below = sum((F.when(F.col("p") > v, 1).otherwise(0) for v in hot), F.lit(0))
-    is_hot = F.col("p").isin(hot) if hot else F.lit(False)
-    cold = spread(rows.filter(~is_hot), [], ["p"]).select("key", "p", "y", (2 * below).alias("seg"), "_part")
-    heavy = rows.filter(is_hot).select("key", "p", "y", (2 * below + 1).alias("seg"), F.lit(0).alias("_part"))
-    schema = "seg int, part int, replicate int, w1 double, w0 double, d double, f double"
-    totals = (
-        cold.unionByName(heavy)
-        .mapInPandas(_cell_sums(replicates, seed, threshold), schema)
-        .groupBy("seg", "part", "replicate")
-        .agg(*[F.sum(c).alias(c) for c in ("w1", "w0", "d", "f")])
+    totals = settle(
+        sums.groupBy("cell", "replicate").agg(F.min("_part").alias("_part"), *[F.sum(c).alias(c) for c in ("w1", "w0", "d", "f")]),
+        "cell_sums",
     )
-    earlier = Window.partitionBy("replicate").orderBy("seg", "part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("replicate").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "*",
         F.coalesce(F.sum("w1").over(earlier), F.lit(0.0)).alias("before1"),
         F.coalesce(F.sum("w0").over(earlier), F.lit(0.0)).alias("before0"),
     )
-    keyed = cold.withColumnRenamed("_part", "part")
+    mixed = offsets.filter("cell % 2 = 1").select("_part", "replicate", "before1", "before0")
+    unsettled = totals.filter("cell % 2 = 1").select("_part").distinct()
     curve = (
-        keyed.groupBy("seg", "part")
-        .cogroup(offsets.filter("seg % 2 = 0").groupBy("seg", "part"))
-        .applyInPandas(_cell_curves(seed), "replicate int, wins double, ap double")
+        rows.join(F.broadcast(unsettled), "_part", "left_semi")
+        .repartition(parts, "_part")
+        .groupBy("_part")
+        .cogroup(mixed.repartition(parts, "_part").groupBy("_part"))
+        .applyInPandas(_cell_curves(cells, seed), "replicate int, wins double, ap double")
     )
     upto0, upto1 = F.col("before0") + F.col("w0"), F.col("before1") + F.col("w1")
-    single = offsets.filter("seg % 2 = 1").select(
+    single = offsets.filter("cell % 2 = 0").select(
         "replicate",
         (F.col("w1") * (F.col("before0") + F.col("w0") / 2.0)).alias("wins"),
         F.when(upto0 + upto1 > 0, F.col("w0") * upto0 / (upto0 + upto1)).otherwise(0.0).alias("ap"),
@@ -173,79 +231,112 @@ def replicate_metrics(
     )
 
 
-HOT_SHARE = 1 / 64
+def _same(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
+    return (a == b) | ((a != a) & (b != b))
 
 
-def _hot_scores(rows: DataFrame) -> list[float]:
-    """Scores that more than 1/64 of the rows share; there are fewer than 64."""
-    n = rows.count()
-    return sorted(r["p"] for r in rows.groupBy("p").count().filter(F.col("count") > n * HOT_SHARE).collect())
+def _cells(rows: DataFrame) -> dict[int, tuple[int | None, int | None, int]]:
+    """Of each part the cells of its least score, its greatest, and those between; None where a score has no cell of its own.
 
+    Cells are numbered upwards by score, those of one score evenly.
+    """
+    place = lambda v: (v != v, 0.0 if v != v else v)
+    spans = {
+        r["_part"]: (place(r["lo"]), place(r["hi"]))
+        for r in rows.groupBy("_part").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).collect()
+    }
+    held = Counter(v for span in spans.values() for v in set(span))
+    alone = {v for lo, hi in spans.values() for v in (lo, hi) if held[v] > 1 or lo == hi}
+    numbers = {v: 2 * i for i, v in enumerate(sorted({v for span in spans.values() for v in span}))}
+    return {
+        part: (numbers[lo] if lo in alone else None, numbers[hi] if hi in alone else None, numbers[lo] + 1)
+        for part, (lo, hi) in spans.items()
+    }
 
-def _chunks(replicates: np.ndarray, rows: int) -> Iterator[np.ndarray]:
-    step = max(1, int(4_000_000 // max(rows, 1)))
-    for i in range(0, len(replicates), step):
-        yield replicates[i : i + step]
 
+def _part_rows(pdf: pd.DataFrame, cells: dict[int, tuple[int | None, int | None, int]]) -> tuple[np.ndarray, ...]:
+    """Scores, labels and keys of a part by score, and the cell of each row."""
+    score, y, keys = (pdf.sort_values("p")[c].to_numpy() for c in ("p", "y", "key"))
+    low, high, rest = cells[int(pdf["_part"].iloc[0])]
+    own = np.full(len(score), rest)
+    for cell, edge in ((low, score[0]), (high, score[-1])):
+        if cell is not None:
+            own[_same(score, edge)] = cell
+    return score, y, keys, own
 
-def _cell_sums(replicates: int, seed: int, threshold: float) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[tuple[int, int], np.ndarray] = {}
-        for pdf in batches:
-            for cell, rows in pdf.groupby(["seg", "_part"]):
-                y, low = rows["y"].to_numpy(), rows["p"].to_numpy() < threshold
-                masks = np.stack([y == 1, y == 0, (y == 0) & low, (y == 1) & low]).astype(float)
-                keys = rows["key"].to_numpy()
-                sums = [masks @ poisson_weights(keys, c, seed) for c in _chunks(np.arange(replicates), len(rows))]
-                now = np.concatenate(sums, axis=1)
-                acc[cell] = acc[cell] + now if cell in acc else now
-        for (seg, part), s in acc.items():
-            yield pd.DataFrame(
+
+def _cell_sums(cells: dict, replicates: int, seed: int, threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    reps = np.arange(replicates)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        score, y, keys, own = _part_rows(pdf, cells)
+        low, found = score < threshold, np.unique(own)
+        kinds = [y == 1, y == 0, (y == 0) & low, (y == 1) & low]
+        masks = np.stack([(own == c) & k for c in found for k in kinds]).astype(np.float32)
+        sums = np.zeros((replicates, len(masks)))
+        for i in range(0, len(keys), PART_ROWS):
+            for at, w in drawn(keys[i : i + PART_ROWS], reps, seed):
+                sums[at] += w @ masks[:, i : i + PART_ROWS].T
+        out = [
+            pd.DataFrame(
                 {
-                    "seg": seg,
-                    "part": part,
-                    "replicate": np.arange(replicates),
-                    "w1": s[0],
-                    "w0": s[1],
-                    "d": s[2],
-                    "f": s[3],
+                    "cell": c,
+                    "_part": pdf["_part"].iloc[0],
+                    "replicate": reps,
+                    **{name: sums[:, 4 * j + k] for k, name in enumerate(("w1", "w0", "d", "f"))},
                 }
             )
+            for j, c in enumerate(found)
+        ]
+        return pd.concat(out)
 
     return run
 
 
-def _cell_curves(seed: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame, offsets: pd.DataFrame) -> pd.DataFrame:
-        rows, offsets = rows.sort_values("p"), offsets.sort_values("replicate")
-        score, y, keys = (rows[c].to_numpy() for c in ("p", "y", "key"))
-        if not len(score):
+_LOWER = (1 << 32) - 1
+
+
+def _cell_curves(cells: dict, seed: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame, offsets: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(offsets):
             return pd.DataFrame({"replicate": [], "wins": [], "ap": []})
-        starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        *columns, own = _part_rows(pdf, cells)
+        score, y, keys = (c[own % 2 == 1] for c in columns)
+        offsets = offsets.sort_values("replicate")
         reps, b1, b0 = (offsets[c].to_numpy() for c in ("replicate", "before1", "before0"))
-        out, done = [], 0
-        for chunk in _chunks(reps, len(rows)):
-            at = slice(done, done + len(chunk))
-            done += len(chunk)
-            w = poisson_weights(keys, chunk, seed)
-            pos = np.add.reduceat(np.where((y == 1)[:, None], w, 0.0), starts, axis=0)
-            neg = np.add.reduceat(np.where((y == 0)[:, None], w, 0.0), starts, axis=0)
-            cum0 = np.cumsum(neg, axis=0) + b0[at]
-            seen = cum0 + np.cumsum(pos, axis=0) + b1[at]
-            precision = np.divide(cum0, seen, out=np.zeros_like(seen), where=seen > 0)
-            wins = (pos * (cum0 - neg / 2.0)).sum(axis=0)
-            out.append(pd.DataFrame({"replicate": chunk, "wins": wins, "ap": (neg * precision).sum(axis=0)}))
-        return pd.concat(out)
+        starts = np.flatnonzero(np.r_[True, ~_same(score[1:], score[:-1])])
+        ends, attacked = np.r_[starts[1:], len(score)], np.logical_or.reduceat(y == 0, starts)
+        starts, ends = starts[attacked], ends[attacked]
+        # both classes in one running sum, attacks in the lower half; only scores with attacks add to the curves
+        unit = np.where(y == 1, 1 << 32, np.where(y == 0, 1, 0))
+        wins, ap = np.empty(len(reps)), np.empty(len(reps))
+        for at, w in drawn(keys, reps, seed):
+            c = np.zeros((len(w), len(score) + 1), np.int64)
+            np.cumsum(w.astype(np.int64) * unit, axis=1, out=c[:, 1:])
+            full = c.take(ends, axis=1)
+            here = full - c.take(starts, axis=1)
+            neg, normal, upto1 = (here & _LOWER).astype(float), c[:, -1:] >> 32, full >> 32
+            cum0 = (full & _LOWER) + b0[at, None]
+            higher = (normal - upto1) + (here >> 32) / 2.0
+            wins[at] = b0[at] * normal[:, 0] + (neg * higher).sum(axis=1)
+            ap[at] = (neg * cum0 / np.maximum(cum0 + upto1 + b1[at, None], 1.0)).sum(axis=1)
+        return pd.DataFrame({"replicate": reps, "wins": wins, "ap": ap})
 
     return run
 
 
+def _chunks(replicates: np.ndarray, rows: int) -> Iterator[np.ndarray]:
+    step = max(1, int(4_000_000 // max(rows, 1)))
+    for i in range(0, len(replicates), step):
+        yield replicates[i : i + step]
+
+
 METRICS = ["auc", "auprc", "tpr", "fpr"]
 
 
 def bootstrap_interval(replicated: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Percentile interval, mean and deviation of every metric over the valid replicates."""
-    long = replicated.unpivot(["replicate"], METRICS, "metric", "value").filter("value IS NOT NULL")
+    long = settle(replicated, "replicates").unpivot(["replicate"], METRICS, "metric", "value").filter("value IS NOT NULL")
     spans = quantiles(long, ["metric"], "value", {"ci_lo": alpha / 2, "ci_hi": 1 - alpha / 2})
     stats = long.groupBy("metric").agg(
         F.count("value").alias("n_valid"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_boot")

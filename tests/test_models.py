@@ -100,6 +100,56 @@ def test_replicate_metrics_equal_direct_weights(many_parts):
         assert got.loc[b, "tpr"] == pytest.approx(wn[p < 0.5].sum() / wn.sum())
 
 
+def test_drawn_counts_are_those_of_the_weights(monkeypatch):
+    keys = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 40_000)
+    for rows in (1, 100, 40_000):
+        got = np.concatenate([w.copy() for _, w in resample.drawn(keys[:rows], np.arange(9), 42)])
+        assert (got.T == resample.poisson_weights(keys[:rows], np.arange(9), 42)).all()
+    # also where the upper bits leave the count open
+    monkeypatch.setattr(resample, "_COARSE", np.full(1 << 16, -1, np.float32))
+    got = np.concatenate([w.copy() for _, w in resample.drawn(keys[:500], np.arange(9), 42)])
+    assert (got.T == resample.poisson_weights(keys[:500], np.arange(9), 42)).all()
+
+
+@pytest.mark.parametrize("kind", ["few scores", "own scores", "both"])
+def test_replicate_metrics_are_dealt_by_rows(many_parts, monkeypatch, kind):
+    """Tasks hold even numbers of rows, also where many rows share a score, and no cut shows in the result."""
+    monkeypatch.setattr(resample, "PART_ROWS", 50)
+    dealt, spread = [], resample.spread
+    monkeypatch.setattr(resample, "spread", lambda *a, **b: dealt.append(spread(*a, **b)) or dealt[-1])
+    rng = np.random.default_rng(8)
+    n = 2000
+    p, y, block = rng.random(n), rng.integers(0, 2, n), np.arange(n) // 6
+    if kind != "own scores":
+        p[: n if kind == "few scores" else n // 2] = rng.integers(0, 100, n)[: n if kind == "few scores" else n // 2] / 100
+    p[:30] = p[30]
+    table = [(int(k), float(a), int(b)) for k, a, b in zip(block, p, y, strict=True)]
+    df = many_parts.createDataFrame(table, "block long, p double, y int")
+    got = resample.replicate_metrics(df, "block", replicates=5).toPandas().set_index("replicate")
+    assert sorted(got.index) == list(range(5))
+    assert max(r["count"] for r in dealt[0].groupBy("_part").count().collect()) <= 3 * 50
+    keys = df.select("block", F.xxhash64("block").alias("k")).distinct().toPandas().set_index("block")["k"].loc[block].to_numpy()
+    w = resample.poisson_weights(keys, np.arange(5), 42)
+    for b in range(5):
+        wp, wn = w[:, b] * (y == 1), w[:, b] * (y == 0)
+        higher = (p[:, None] > p[None, :]) + 0.5 * (p[:, None] == p[None, :])
+        upto = p[:, None] <= p[None, :]
+        c0, c1 = wn @ upto, wp @ upto
+        assert got.loc[b, "auc"] == pytest.approx((wp @ higher @ wn) / (wp.sum() * wn.sum()))
+        assert got.loc[b, "auprc"] == pytest.approx((wn * c0 / np.maximum(c0 + c1, 1)).sum() / wn.sum())
+        assert got.loc[b, "tpr"] == pytest.approx(wn[p < 0.5].sum() / wn.sum())
+        assert got.loc[b, "fpr"] == pytest.approx(wp[p < 0.5].sum() / wp.sum())
+
+
+def test_replicate_metrics_take_unknown_scores_as_the_highest(many_parts, monkeypatch):
+    monkeypatch.setattr(resample, "PART_ROWS", 20)
+    table = [(i, None if i % 3 == 0 else float("nan") if i % 3 == 1 else (i % 10) / 10, i % 2) for i in range(300)]
+    df = many_parts.createDataFrame(table, "id long, p double, y int")
+    got = resample.replicate_metrics(df, "id", replicates=3).orderBy("replicate").collect()
+    want = resample.replicate_metrics(df.withColumn("p", F.when(F.col("id") % 3 == 2, F.col("p")).otherwise(9.0)), "id", replicates=3)
+    assert got == want.orderBy("replicate").collect()
+
+
 def test_replicate_moments_equal_direct_weights(cloud):
     df, pdf = cloud
     got = resample.replicate_moments(df, COLS, "y", "id", replicates=3).toPandas().set_index(["replicate", "cls", "feature"])
