@@ -141,6 +141,22 @@ def test_replicate_metrics_are_dealt_by_rows(many_parts, monkeypatch, kind):
         assert got.loc[b, "fpr"] == pytest.approx(wp[p < 0.5].sum() / wp.sum())
 
 
+def test_an_interval_evaluates_its_replicates_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def values(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf.assign(**{m: pdf["replicate"] / 100 for m in resample.METRICS})
+
+    made = spark.range(101).selectExpr("CAST(id AS INT) AS replicate").mapInPandas(
+        values, "replicate int, auc double, auprc double, tpr double, fpr double"
+    )
+    for r in resample.bootstrap_interval(made).collect():
+        assert (r["n_valid"], r["ci_lo"], r["ci_hi"]) == (101, pytest.approx(0.025), pytest.approx(0.975))
+    assert seen.value == 101
+
+
 def test_replicate_metrics_take_unknown_scores_as_the_highest(many_parts, monkeypatch):
     monkeypatch.setattr(resample, "PART_ROWS", 20)
     table = [(i, None if i % 3 == 0 else float("nan") if i % 3 == 1 else (i % 10) / 10, i % 2) for i in range(300)]
