@@ -271,12 +271,13 @@ def baseline_matrix(spark, sf_dir):
     }
     sequence = detectors.SequenceClassifier.fit(steps, "vec_id")
     refs = home.select(F.col("vec_id").alias("ref_id"), vector(VEC).alias("v"))
+    known = neighbours.reference_densities(refs, pivots=16)
     every = None
     for variant, rows in (("plain", target), ("coral", aligned)):
         scored = {name: model.transform(rows, "s") for name, model in fitted.items()}
         scored["sequence"] = sequence.transform(padded_sequences(rows, "dataset", ["vec_id"], VEC), "s")
         asked = rows.select(F.col("vec_id").alias("query_id"), vector(VEC).alias("v"))
-        factor = neighbours.local_outlier_factor(asked, refs, pivots=16).select(F.col("query_id").alias("vec_id"), F.col("score").alias("s"))
+        factor = neighbours.local_outlier_factor(asked, refs, pivots=16, known=known).select(F.col("query_id").alias("vec_id"), F.col("score").alias("s"))
         scored["neighbours"] = rows.join(factor, "vec_id")
         for name, found in scored.items():
             s = found.select(F.lit(name).alias("detector"), F.lit(variant).alias("variant"), "dataset", "y", "s")

@@ -72,6 +72,46 @@ def test_nearest_equals_brute_force(many_parts, monkeypatch):
         assert np.allclose([h["dist"] for h in got[i]], want, atol=1e-6)
 
 
+@pytest.mark.parametrize("least", [1, 6])
+def test_each_block_gives_a_query_its_best_hits_once(many_parts, monkeypatch, least):
+    """Many equal distances, ids as tie-break, the query itself left out; hits per query grow with blocks, not with cells."""
+    monkeypatch.setattr(neighbours, "CHUNK", 400)
+    monkeypatch.setattr(neighbours, "LEAST_BLOCKS", least)
+    seen, best = [], neighbours._best
+    monkeypatch.setattr(neighbours, "_best", lambda hits, k: seen.append(hits) or best(hits, k))
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 3, (300, 6)).astype(float)
+    ids = rng.permutation(300)
+    table = [(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)]
+    refs = many_parts.createDataFrame(table, "ref_id long, v array<double>")
+    found = neighbours.nearest(refs.withColumnRenamed("ref_id", "query_id"), refs, 5, pivots=30, skip_self=True).collect()
+    assert len(found) == 300
+    at = dict(zip(ids.tolist(), x, strict=True))
+    for row in found:
+        want = sorted((float(np.sqrt(((at[row["query_id"]] - v) ** 2).sum())), i) for i, v in at.items() if i != row["query_id"])[:5]
+        assert [h["ref_id"] for h in row["near"]] == [i for _, i in want]
+        assert [h["dist"] for h in row["near"]] == pytest.approx([d for d, _ in want])
+    # the own cell and the blocks; 30 cells would give up to 150 hits
+    assert max(r["count"] for r in seen[0].groupBy("query_id").count().collect()) <= 5 * (1 + least + 2)
+
+
+def test_outlier_factor_of_several_sets_takes_one_reference(many_parts):
+    rng = np.random.default_rng(12)
+    r, q = rng.normal(size=(120, 4)), rng.normal(size=(30, 4))
+    refs = many_parts.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r)], "ref_id long, v array<double>")
+    asks = many_parts.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "query_id long, v array<double>")
+    known = neighbours.reference_densities(refs, 6, pivots=5)
+    alone, shared = neighbours.local_outlier_factor(asks, refs, 6, pivots=5), neighbours.local_outlier_factor(asks, refs, 6, pivots=5, known=known)
+    assert alone.orderBy("query_id").collect() == shared.orderBy("query_id").collect()
+    among, between = (np.linalg.norm(a[:, None] - r[None], axis=2) for a in (r, q))
+    np.fill_diagonal(among, np.inf)
+    near, kdist = np.argsort(among, axis=1)[:, :6], np.sort(among, axis=1)[:, 5]
+    lrd = 1 / np.maximum(np.take_along_axis(among, near, 1), kdist[near]).mean(axis=1)
+    at = np.argsort(between, axis=1)[:, :6]
+    mine = 1 / np.maximum(np.take_along_axis(between, at, 1), kdist[at]).mean(axis=1)
+    assert [x["score"] for x in shared.orderBy("query_id").collect()] == pytest.approx(list(-lrd[at].mean(axis=1) / mine), rel=1e-6)
+
+
 def test_poisson_weights_are_poisson():
     w = resample.poisson_weights(np.arange(20000) * 7919, np.arange(5), 42)
     assert np.allclose(w.mean(axis=0), 1.0, atol=0.03)
